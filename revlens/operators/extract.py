@@ -93,7 +93,7 @@ _SIMPLE = re.compile(r"""^(?P<tag>[a-zA-Z][\w-]*)?(?:\.(?P<cls>[\w-]+))?"""
 
 def _compile(selector: str):
     parts = []
-    for tok in selector.split():
+    for tok in re.findall(r"(?:[^\s\[]|\[[^\]]*\])+", selector):
         m = _SIMPLE.match(tok)
         if not m:
             raise ValueError(f"unsupported selector: {tok}")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import label_by_confidence, parse_review_date, upper_strip
+from ..functions import label_by_confidence, parse_review_date, upper_strip, with_columns_once
 from ..functions.text import WS
 from ..operators.filters import drop_missing, filter_contradiction, filter_status, filter_untraced
 from ..operators.shape import dedup_keep_first
@@ -56,8 +56,8 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return (reviews(spark, sf).withColumn("sentiment", label_by_confidence())
-            .withColumn("ts", parse_review_date(F.col("date"))))
+    return with_columns_once(reviews(spark, sf), {"sentiment": label_by_confidence(),
+                                                   "ts": parse_review_date(F.col("date"))})
 
 
 def final_reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,4 +168,6 @@ def full_sql(e: Entry) -> str | None:
     if e.doubles:
         rep = ", ".join(f'round("{c}", 6) AS "{c}"' for c in e.doubles)
         return f"WITH {ctes}\nSELECT * REPLACE ({rep}) FROM (\n{body}\n) _q"
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -54,10 +54,10 @@ def q_filter_optional(spark, sf):
 
 
 @register("filter_datetime_range",
-          "SELECT * FROM labelled WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-12 12:30:00'",
+          "SELECT * FROM labelled WHERE ts >= TIMESTAMP '2024-01-01 12:00:00' AND ts <= TIMESTAMP '2024-01-02 18:30:00'",
           doubles=P3)
 def q_filter_datetime_range(spark, sf):
-    return round_doubles(FL.filter_datetime_range(labelled(spark, sf), "ts", "2024-01-05T00:00", "2024-01-12T12:30"))
+    return round_doubles(FL.filter_datetime_range(labelled(spark, sf), "ts", "2024-01-01T12:00", "2024-01-02T18:30"))
 
 
 @register("filter_near_value", "SELECT * FROM reviews WHERE abs(NEGATIVE - 0.751) <= 0.001 + 1e-5 * 0.751",
