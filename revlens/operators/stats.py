@@ -18,7 +18,7 @@ LOW_EXPECTED = 5.0
 SIGNIFICANT_RESIDUAL = 1.96
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None, ordered: bool = True) -> DataFrame:
     """Counts of ``row`` × ``col``: one row per row label, one column per column
     label (sorted), absent cells 0. NULL labels are left out.
 
@@ -31,8 +31,8 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None)
     pv = pv.pivot(col, list(values)) if values is not None else pv.pivot(col)
     wide = pv.agg(F.sum("_n"))
     labels = [c for c in wide.columns if c != row]
-    return wide.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in labels]) \
-               .orderBy(row)
+    out = wide.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in labels])
+    return out.orderBy(row) if ordered else out
 
 
 def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None
     included); row totals are summed inside each table row, column totals join
     back from a table with one row per column label, the grand total is a
     scalar subquery."""
-    wide = crosstab(df, row, col, values)
+    wide = crosstab(df, row, col, values, ordered=False)
     labels = [c for c in wide.columns if c != row]
     row_total = None
     for c in labels:
