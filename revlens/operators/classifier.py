@@ -15,6 +15,7 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import with_columns_once
 from ..functions.labels import grade_to_label
 from ..functions.text import clean_text
 from .filters import drop_missing, filter_min_length, filter_status
@@ -28,7 +29,8 @@ def prepare_training(df: DataFrame, text: str = "review", grade: str = "grade",
     x = filter_status(df)
     x = drop_missing(x, [text])
     x = filter_min_length(x, text, min_raw)
-    x = x.withColumn("label", grade_to_label(F.col(grade))).withColumn("cleaned_review", clean_text(F.col(text)))
+    # computed once: the length filter must not re-run the clean-up regexes
+    x = with_columns_once(x, {"label": grade_to_label(F.col(grade)), "cleaned_review": clean_text(F.col(text))})
     x = filter_min_length(x, "cleaned_review", min_clean)
     return x.select(*keep, "cleaned_review", "label")
 

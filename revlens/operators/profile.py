@@ -58,8 +58,8 @@ def count_distinct(df: DataFrame, cols: Sequence[str], approx_rsd: float | None
 def top_k_remainder(df: DataFrame, col: str, k: int) -> DataFrame:
     """Top ``k`` values with rank, plus how many values and rows fall outside them."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    n_values = counts.select(F.count(F.lit(1))).scalar()
-    n_rows = counts.select(F.sum("count")).scalar()
+    st = _stats(counts, n_values=F.count(F.lit(1)), n_rows=F.sum("count"))
+    n_values, n_rows = st["n_values"], st["n_rows"]
     top = top_k_sorted(counts, "count", col, k)
     w = Window.orderBy(F.col("count").desc(), F.col(col).asc())
     return (top.withColumn("rank", F.row_number().over(w))
@@ -261,13 +261,17 @@ def binned_distribution(df: DataFrame, value: Column, edges: Sequence[float] = C
             .withColumn("pct", _pct(F.col("count"), n_all)).orderBy("bin"))
 
 
-def _range_bounds(df: DataFrame, x: Column):
-    s = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    mn = s.select(F.min("_x")).scalar()
-    mx = s.select(F.max("_x")).scalar()
+def _stats(df: DataFrame, **aggs):
+    """One scalar subquery returning a struct of statistics. Every use of a
+    field refers to the same subquery, which Spark plans once and reuses."""
+    st = df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("_st")).scalar()
+    return {k: st.getField(k) for k in aggs}
+
+
+def _range_bounds(mn, mx):
     lo = F.when(mx == mn, mn - F.lit(0.5)).otherwise(mn)
     hi = F.when(mx == mn, mx + F.lit(0.5)).otherwise(mx)
-    return s, lo, hi
+    return lo, hi
 
 
 def histogram_equal_width(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
@@ -276,10 +280,10 @@ def histogram_equal_width(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
     Bin index = least(floor((x − lo) · (k / (hi − lo))), k − 1).
     """
-    x = F.col(col).cast("double")
-    s, lo, hi = _range_bounds(df, x)
-    mean = s.select(F.avg("_x")).scalar()
-    med = s.select(F.median("_x")).scalar()
+    s = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    st = _stats(s, mn=F.min("_x"), mx=F.max("_x"), mean=F.avg("_x"), med=F.median("_x"))
+    lo, hi = _range_bounds(st["mn"], st["mx"])
+    mean, med = st["mean"], st["med"]
     k = F.lit(bins)
     idx = F.least(F.floor((F.col("_x") - lo) * (k.cast("double") / (hi - lo))), k - 1).cast("int")
     counts = s.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -305,10 +309,8 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5) -> Data
     """
     x = F.col(col).cast("double")
     s = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    n = s.select(F.count(F.lit(1))).scalar()
-    mn = s.select(F.min("_x")).scalar()
-    mx = s.select(F.max("_x")).scalar()
-    sd = s.select(F.stddev_samp("_x")).scalar()
+    st = _stats(s, n=F.count(F.lit(1)), mn=F.min("_x"), mx=F.max("_x"), sd=F.stddev_samp("_x"))
+    n, mn, mx, sd = st["n"], st["mn"], st["mx"], st["sd"]
     bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
     width = (mx - mn) / F.lit(float(bins))
     vc = s.groupBy("_x").agg(F.count(F.lit(1)).alias("_cnt"))

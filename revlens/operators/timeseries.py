@@ -37,8 +37,8 @@ def counts_over_time(df: DataFrame, ts: str, max_hourly_days: int = 7) -> DataFr
     """Hourly counts when the whole-day span (max − min) is at most
     ``max_hourly_days`` days, daily counts otherwise."""
     s = df.select(F.col(ts).alias("_t")).where(F.col("_t").isNotNull())
-    mn = s.select(F.min("_t")).scalar()
-    mx = s.select(F.max("_t")).scalar()
+    st = s.agg(F.struct(F.min("_t").alias("mn"), F.max("_t").alias("mx")).alias("_st")).scalar()
+    mn, mx = st.getField("mn"), st.getField("mx")
     span = F.floor(F.timestamp_diff("SECOND", mn, mx) / F.lit(86400))
     hourly = span <= max_hourly_days
     period = F.when(hourly, trunc_hour(F.col("_t"))).otherwise(trunc_day(F.col("_t")))
