@@ -108,20 +108,34 @@ def missing_profile(df: DataFrame) -> DataFrame:
             .select("column", "missing", _pct(F.col("missing"), F.col("_rows")).alias("pct")))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], approx_accuracy: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str], approx_accuracy: int | None = None,
+                     method: str | None = None) -> DataFrame:
     """count, mean, std (n−1), min, 25/50/75 % (linear interpolation), max per column.
 
-    Exact percentiles keep a value→count map per column: right for ratings and
-    other small domains. For continuous columns at scale pass
-    ``approx_accuracy`` to use the bounded-memory ``percentile_approx``.
+    ``method`` picks the quartiles: ``"map"`` (Spark's exact ``percentile``: a
+    value→count map per column, right for ratings and other small domains),
+    ``"bucketed"`` (exact in bounded memory, for continuous columns at scale;
+    see ``operators.quantiles``) or ``"approx"`` (``percentile_approx`` with
+    ``approx_accuracy``).
     """
+    method = method or ("approx" if approx_accuracy is not None else "map")
+    if method == "bucketed":
+        from .quantiles import exact_quantiles
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                              for c in cols])))
+        moments = long.groupBy("column").agg(
+            F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"), F.max("v").alias("max"))
+        q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"], names=["p25", "p50", "p75"])
+        return moments.join(q.drop("n"), on="column", how="left").select(
+            "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     aggs, structs = [], []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        if approx_accuracy is None:
+        if method == "map":
             q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         else:
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], approx_accuracy).cast("array<double>")
+            q = F.percentile_approx(x, [0.25, 0.5, 0.75], approx_accuracy or 10000).cast("array<double>")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                  F.min(x).alias(f"min{i}"), q.alias(f"q{i}"), F.max(x).alias(f"max{i}")]
         structs.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
@@ -232,14 +246,20 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
             .withColumn("label_name", label_name(F.col(label))).orderBy(label))
 
 
-def confidence_summary(df: DataFrame, conf: Column, hi: float = 0.8, lo: float = 0.75) -> DataFrame:
+def confidence_summary(df: DataFrame, conf: Column, hi: float = 0.8, lo: float = 0.75,
+                       median_method: str = "map") -> DataFrame:
     """Total rows, rows at or above two confidence cuts (and their % of all
     rows), mean and median confidence."""
     x = df.select(conf.alias("_c"))
     c = F.col("_c")
+    if median_method == "bucketed":
+        from .quantiles import exact_quantiles
+        med = exact_quantiles(x, "_c", [0.5]).select("q0").scalar()
+    else:
+        med = F.median(c)
     return (x.agg(F.count(F.lit(1)).alias("total_reviews"), F.count_if(c >= hi).alias("confidence_above_08"),
                   F.count_if(c >= lo).alias("confidence_above_075"), F.avg(c).alias("mean_confidence"),
-                  F.median(c).alias("median_confidence"))
+                  med.alias("median_confidence"))
             .withColumn("percent_above_08", _pct(F.col("confidence_above_08"), F.col("total_reviews")))
             .withColumn("percent_above_075", _pct(F.col("confidence_above_075"), F.col("total_reviews"))))
 
@@ -274,16 +294,22 @@ def _range_bounds(mn, mx):
     return lo, hi
 
 
-def histogram_equal_width(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
+def histogram_equal_width(df: DataFrame, col: str, bins: int = 20, median_method: str = "map") -> DataFrame:
     """``bins`` equal-width bins from min to max (last bin right-closed, a zero
     range widened by ±0.5), every bin listed, with the mean and median marks.
 
     Bin index = least(floor((x − lo) · (k / (hi − lo))), k − 1).
     """
     s = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    st = _stats(s, mn=F.min("_x"), mx=F.max("_x"), mean=F.avg("_x"), med=F.median("_x"))
+    if median_method == "bucketed":
+        from .quantiles import exact_quantiles
+        st = _stats(s, mn=F.min("_x"), mx=F.max("_x"), mean=F.avg("_x"))
+        med = exact_quantiles(s, "_x", [0.5]).select("q0").scalar()
+    else:
+        st = _stats(s, mn=F.min("_x"), mx=F.max("_x"), mean=F.avg("_x"), med=F.median("_x"))
+        med = st["med"]
     lo, hi = _range_bounds(st["mn"], st["mx"])
-    mean, med = st["mean"], st["med"]
+    mean = st["mean"]
     k = F.lit(bins)
     idx = F.least(F.floor((F.col("_x") - lo) * (k.cast("double") / (hi - lo))), k - 1).cast("int")
     counts = s.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -325,7 +351,7 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5) -> Data
 
 
 def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
-              approx_accuracy: int | None = None) -> DataFrame:
+              approx_accuracy: int | None = None, method: str | None = None) -> DataFrame:
     """Per group: quartiles (linear interpolation), whiskers = most extreme data
     within ``whis``·IQR of the box, and the outlier count.
 
@@ -335,12 +361,17 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
     """
     base = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")) \
              .where(F.col("_g").isNotNull() & F.col("_v").isNotNull())
-    if approx_accuracy is None:
-        q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    method = method or ("approx" if approx_accuracy is not None else "map")
+    if method == "bucketed":
+        from .quantiles import exact_quantiles
+        quart = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], ["_g"], names=["q1", "median", "q3"])
     else:
-        q = F.percentile_approx("_v", [0.25, 0.5, 0.75], approx_accuracy).cast("array<double>")
-    quart = base.groupBy("_g").agg(q.alias("_q"), F.count(F.lit(1)).alias("n")).select(
-        "_g", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+        if method == "map":
+            q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        else:
+            q = F.percentile_approx("_v", [0.25, 0.5, 0.75], approx_accuracy or 10000).cast("array<double>")
+        quart = base.groupBy("_g").agg(q.alias("_q"), F.count(F.lit(1)).alias("n")).select(
+            "_g", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_lim = F.col("q1") - F.lit(whis) * iqr
     hi_lim = F.col("q3") + F.lit(whis) * iqr

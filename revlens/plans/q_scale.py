@@ -19,7 +19,7 @@ _DESC_D = ("mean", "std", "min", "p25", "p50", "p75", "max")
 
 @register("describe_numeric_lineitem", _describe_sql(LI_NUM, "lineitem"), doubles=_DESC_D)
 def q_describe_numeric_lineitem(spark, sf):
-    return round_doubles(PR.describe_numeric(table(spark, sf, "lineitem"), LI_NUM))
+    return round_doubles(PR.describe_numeric(table(spark, sf, "lineitem"), LI_NUM, method="bucketed"))
 
 
 @register("corr_matrix_lineitem", _corr_sql(LI_NUM, "lineitem"), doubles=("r",))
@@ -39,7 +39,8 @@ SELECT q.g AS l_returnflag, q.n, q1, median, q3,
 FROM b JOIN q ON q.g = b.g GROUP BY q.g, q.n, q1, median, q3""",
           doubles=("q1", "median", "q3", "whisker_low", "whisker_high"))
 def q_box_stats_lineitem(spark, sf):
-    return round_doubles(PR.box_stats(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
+    return round_doubles(PR.box_stats(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice",
+                                      method="bucketed"))
 
 
 @register("chi_square_lineitem", f"""
@@ -63,7 +64,8 @@ def q_chi_square_lineitem(spark, sf):
 @register("histogram_lineitem", _hist_sql("lineitem", "l_extendedprice", 20),
           doubles=("bin_lo", "bin_hi", "mean_mark", "median_mark"))
 def q_histogram_lineitem(spark, sf):
-    return round_doubles(PR.histogram_equal_width(table(spark, sf, "lineitem"), "l_extendedprice", 20))
+    return round_doubles(PR.histogram_equal_width(table(spark, sf, "lineitem"), "l_extendedprice", 20,
+                                                  median_method="bucketed"))
 
 
 @register("kde_lineitem", _kde_sql("lineitem", "l_quantity", 200, 20), doubles=("x", "density"))
