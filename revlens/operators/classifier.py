@@ -19,6 +19,7 @@ from ..functions import with_columns_once
 from ..functions.labels import grade_to_label
 from ..functions.text import clean_text
 from .filters import drop_missing, filter_min_length, filter_status
+from .shape import join_small
 
 
 
@@ -54,7 +55,7 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, test_f
     cum = per_bucket.withColumn("_cum", F.sum("_c").over(w)).join(sizes, on=label)
     cut = cum.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))) \
              .select(label, F.col("_b").alias("_cut_b"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-    y = x.join(cut, on=label, how="left")
+    y = join_small(x, cut, on=label, how="left")  # one row per label: broadcast, never a shuffle by label
     edge = (y.where(F.col("_b") == F.col("_cut_b"))
             .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
             .where(F.col("_r") <= F.col("_need")).select(key, F.lit(True).alias("_in_edge")))

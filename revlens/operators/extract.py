@@ -208,7 +208,10 @@ def extract_pages(pages: DataFrame, rules: dict | None = None, title_start: str
     """pages(page_id, url, html) → one raw review record per page.
 
     ``bank`` is the title text between ``title_start`` and ``title_end``,
-    computed natively after the Python pass.
+    computed natively after the Python pass. Pages travel to Python in Arrow
+    batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows; for
+    full-size pages (hundreds of KB each) lower it to about 1,000 so a batch
+    stays small in worker memory.
     """
     r = dict(DEFAULT_RULES, **(rules or {}))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import assign_bin, CONFIDENCE_EDGES, percent_label, label_name
-from .shape import top_k_sorted
+from .shape import join_small, top_k_sorted
 
 
 
@@ -356,8 +356,8 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
     within ``whis``·IQR of the box, and the outlier count.
 
     Quartiles are one grouped aggregate; joining them back (one row per group,
-    broadcast by AQE when small) lets a second aggregate find whiskers and
-    outliers, so no group is ever gathered into a single task.
+    measured and broadcast when small) lets a second aggregate find whiskers
+    and outliers, so no group is ever gathered into a single task.
     """
     base = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")) \
              .where(F.col("_g").isNotNull() & F.col("_v").isNotNull())
@@ -376,7 +376,7 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
     lo_lim = F.col("q1") - F.lit(whis) * iqr
     hi_lim = F.col("q3") + F.lit(whis) * iqr
     v = F.col("_v")
-    j = base.join(quart, on="_g")
+    j = join_small(base, quart, on="_g")
     out = j.groupBy("_g", "n", "q1", "median", "q3").agg(
         F.min(F.when(v >= lo_lim, v)).alias("whisker_low"),
         F.max(F.when(v <= hi_lim, v)).alias("whisker_high"),

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
+from .shape import join_small
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
@@ -46,42 +47,48 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Se
     for p in probs:
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         ranks += [F.floor(pos).cast("long"), F.ceil(pos).cast("long")]
-    targets = base.select(*key, F.explode(F.array_distinct(F.array(*ranks))).alias("_r"),
+    targets = base.select(*key, "_n", F.explode(F.array_distinct(F.array(*ranks))).alias("_r"),
                           F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
                           F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
     settled = (F.col("_lo") == F.col("_hi")) | (F.col("_cnt") <= small)
 
-    def join_targets(t: DataFrame) -> DataFrame:
-        t = t.select(*key, "_r", "_lo", "_hi", "_below")
-        side = F.broadcast(t) if not g else t  # without groups: at most 2·len(probs) rows
-        return x.join(side, on=key).where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+    def rows_in(intervals: DataFrame) -> DataFrame:
+        # rows inside each distinct interval; the interval table is measured and
+        # broadcast when it fits, else shuffled on the group key
+        return join_small(x, intervals, on=key).where(
+            (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
 
     targets = targets.checkpoint()
     for _ in range(max_levels):
         open_t = targets.where(~settled)
-        if open_t.isEmpty():
+        if open_t.isEmpty():  # reads the small checkpointed table only
             break
-        cand = join_targets(open_t)
+        # targets sharing an interval share its bucket counts: count each interval once
+        iv = open_t.select(*key, "_lo", "_hi").distinct()
         width = F.col("_hi") - F.col("_lo")
         b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(buckets))), F.lit(buckets - 1))
-        per = cand.groupBy(*key, "_r", "_below", b.cast("int").alias("_b")).agg(
+        per_iv = rows_in(iv).groupBy(*key, "_lo", "_hi", b.cast("int").alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmn"), F.max("_x").alias("_bmx"))
+        per = open_t.select(*key, "_n", "_r", "_lo", "_hi", "_below").join(per_iv, on=[*key, "_lo", "_hi"])
         w = Window.partitionBy(*key, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         per = per.withColumn("_cb", F.coalesce(F.sum("_c").over(w), F.lit(0)))
         start = F.col("_below") + F.col("_cb")
         pick = per.where((start <= F.col("_r")) & (F.col("_r") < start + F.col("_c"))).select(
-            *key, "_r", F.col("_bmn").alias("_lo"), F.col("_bmx").alias("_hi"), start.cast("long").alias("_below"),
+            *key, "_n", "_r", F.col("_bmn").alias("_lo"), F.col("_bmx").alias("_hi"), start.cast("long").alias("_below"),
             F.col("_c").alias("_cnt"))
         targets = targets.where(settled).unionByName(pick).checkpoint()
 
-    single = targets.where(F.col("_lo") == F.col("_hi")).select(*key, "_r", F.col("_lo").alias("_v"))
+    single = targets.where(F.col("_lo") == F.col("_hi")).select(*key, "_n", "_r", F.col("_lo").alias("_v"))
     rest = targets.where(F.col("_lo") != F.col("_hi"))
-    rw = Window.partitionBy(*key, "_r").orderBy("_x")
-    ranked = (join_targets(rest).withColumn("_rn", F.row_number().over(rw) - 1)
-              .where(F.col("_rn") == F.col("_r") - F.col("_below")).select(*key, "_r", F.col("_x").alias("_v")))
-    vals = single.unionByName(ranked).groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
-    out = base.select(*key, "_n").join(vals, on=key)
+    # rank the few rows of each remaining interval once, then read each target's rank
+    rw = Window.partitionBy(*key, "_lo", "_hi").orderBy("_x")
+    ranked_iv = rows_in(rest.select(*key, "_lo", "_hi").distinct()).select(
+        *key, "_lo", "_hi", "_x", (F.row_number().over(rw) - 1).alias("_rn"))
+    ranked = (rest.select(*key, "_n", "_r", "_lo", "_hi", "_below").join(ranked_iv, on=[*key, "_lo", "_hi"])
+              .where(F.col("_rn") == F.col("_r") - F.col("_below")).select(*key, "_n", "_r", F.col("_x").alias("_v")))
+    # at most 2·len(probs) entries per group: the collected map is bounded
+    out = single.unionByName(ranked).groupBy(*key).agg(
+        F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
     cols = []
     for p, name in zip(probs, names):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))

@@ -90,12 +90,13 @@ def semi_join_top(df: DataFrame, col: str, k: int) -> DataFrame:
 def semi_join_qualified(df: DataFrame, group: str | Sequence[str], n: int) -> DataFrame:
     """Rows of groups having at least ``n`` rows (HAVING + semi join).
 
-    The qualified-group table has one row per group; AQE broadcasts it when it is
-    small and falls back to a shuffle join (with skew splitting) when it is not.
+    The qualified-group table has one row per group: it is measured and
+    broadcast when small (``join_small``), so a hot group is never shuffled
+    into one task.
     """
     keys = [group] if isinstance(group, str) else list(group)
     q = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(*keys)
-    return df.join(q, on=keys, how="left_semi")
+    return join_small(df, q, on=keys, how="left_semi")
 
 
 def left_join_domain(df: DataFrame, key: str, domain: Sequence, order_col: str = "position") -> DataFrame:
@@ -112,3 +113,38 @@ def join_scores(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
 
 def rename_map(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
+
+
+def _width(t) -> int:
+    """Rough in-memory bytes of one value (strings and nested values assumed short)."""
+    from pyspark.sql import types as T
+    if isinstance(t, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(t, (T.ShortType, T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(t, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
+        return 8
+    return 48
+
+
+# Byte budget for broadcasting a measured per-key table.
+BROADCAST_BUDGET_BYTES = 64 << 20
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               budget_bytes: int = BROADCAST_BUDGET_BYTES) -> DataFrame:
+    """Join a large frame with a per-key table that is usually small (one row
+    per group, per label, per target).
+
+    Joining on a low-cardinality key by shuffle would send each hot key's rows
+    to one task, so the small side is materialised in the shared checkpoint
+    folder and measured: it is broadcast only when rows × row width fits
+    ``budget_bytes``; beyond that both sides shuffle on the key and AQE splits
+    skewed partitions.
+    """
+    from ..session import checkpoint_root
+    checkpoint_root(big.sparkSession)
+    s = small.checkpoint()
+    width = max(8, sum(_width(f.dataType) for f in s.schema.fields))
+    fits = s.limit(budget_bytes // width + 1).count() * width <= budget_bytes
+    return big.join(F.broadcast(s) if fits else s, on=on, how=how)

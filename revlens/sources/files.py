@@ -21,11 +21,11 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 _CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
-def _reader(spark: SparkSession):
+def _reader(spark: SparkSession, multi_line: bool = True):
     r = spark.read
     for k, v in _CSV_OPTS.items():
         r = r.option(k, v)
-    return r
+    return r.option("multiLine", "true" if multi_line else "false")
 
 
 def _bind(df: DataFrame, schema: T.StructType | None, na_tokens: Sequence[str]) -> DataFrame:
@@ -42,17 +42,21 @@ def _bind(df: DataFrame, schema: T.StructType | None, na_tokens: Sequence[str])
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+             na_tokens: Sequence[str] = NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """Headered CSV (quoted newlines and doubled quotes allowed; a UTF-8 BOM is
-    dropped) → typed DataFrame bound by header name."""
-    raw = _reader(spark).option("inferSchema", "false").csv(path)
+    dropped) → typed DataFrame bound by header name.
+
+    ``multi_line=False`` lets Spark split large files across tasks; use it
+    only when no quoted field contains a line break."""
+    raw = _reader(spark, multi_line).option("inferSchema", "false").csv(path)
     return _bind(raw, schema, na_tokens)
 
 
 def scan_csv_renamed(spark: SparkSession, path: str, names: Mapping[str, str],
-                     schema: T.StructType | None = None, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+                     schema: T.StructType | None = None, na_tokens: Sequence[str] = NA_TOKENS,
+                     multi_line: bool = True) -> DataFrame:
     """Read by header, then give the columns new names (``{header: name}``)."""
-    raw = _reader(spark).option("inferSchema", "false").csv(path).withColumnsRenamed(dict(names))
+    raw = _reader(spark, multi_line).option("inferSchema", "false").csv(path).withColumnsRenamed(dict(names))
     return _bind(raw, schema, na_tokens)
 
 
