@@ -63,7 +63,14 @@ def filter_datetime_range(df: DataFrame, ts_col: str, start: str | None, end: st
     if lo is None or hi is None:
         return df
     c = F.col(ts_col)
-    return df.where((c >= F.lit(lo).cast("timestamp_ntz")) & (c <= F.lit(hi).cast("timestamp_ntz")))
+    return df.where((c >= _ntz(lo)) & (c <= _ntz(hi)))
+
+
+def _ntz(t: _dt.datetime) -> Column:
+    """A wall-clock literal built from its parts (independent of any time zone)."""
+    sec = t.second + t.microsecond / 1e6
+    return F.make_timestamp_ntz(F.lit(t.year), F.lit(t.month), F.lit(t.day), F.lit(t.hour), F.lit(t.minute),
+                                F.lit(sec).cast("decimal(16,6)"))
 
 
 def filter_near_value(df: DataFrame, col: str, target: float = 0.751, atol: float = 0.001,

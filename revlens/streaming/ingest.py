@@ -73,10 +73,11 @@ def stream_counts(spark: SparkSession, source: str, schema: T.StructType, event_
     sink = sink or scratch_path(spark, "counts-sink")
     checkpoint = checkpoint or scratch_path(spark, "counts-ckpt")
     s = _source(spark, source, schema, max_files_per_trigger)
-    agg = (s.groupBy(F.window(F.col(event_time).cast("timestamp"), window).alias("w"))
+    # windows over the wall-clock (timestamp_ntz) column: boundaries do not
+    # depend on the session time zone
+    agg = (s.groupBy(F.window(F.col(event_time), window).alias("w"))
            .agg(F.count(F.lit(1)).alias("count"))
-           .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                   F.col("w.end").cast("timestamp_ntz").alias("window_end"), "count"))
+           .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(sink)

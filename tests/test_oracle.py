@@ -56,3 +56,18 @@ def test_entry(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) > 0 and df.columns == ["bank", "rank", "count", "pct", "label"]
+
+
+@pytest.mark.parametrize("key", ["stream_counts", "filter_datetime_range", "counts_over_time", "date_parts",
+                                 "weekday_counts", "parse_review_date", "monthly_counts"])
+def test_time_keys_ignore_session_zone(spark, con, key):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = QUERIES[key](spark, SF001)
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    cur = con.execute(SQL[key])
+    ocols = [d[0] for d in cur.description]
+    assert _rows(df.columns, got) == _rows(ocols, cur.fetchall())
