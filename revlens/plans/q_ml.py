@@ -62,21 +62,23 @@ def q_stratified_split(spark, sf):
 
 
 def _split_docs(spark, sf):
+    """Split once and cut the lineage: training and validation both read the
+    checkpointed table (shared checkpoint folder) instead of re-deriving it."""
     x = _labelled_docs(spark, sf).withColumn("cleaned_review", F.col("text"))
-    return CL.stratified_split(x, "label", "doc_id", seed=42, test_frac=0.2)
+    return CL.stratified_split(x, "label", "doc_id", seed=42, test_frac=0.2).checkpoint()
 
 
 @register("train_classifier", None, note="model fitting is iterative; rows-only check")
 def q_train_classifier(spark, sf):
     s = _split_docs(spark, sf)
-    model = CL.train_classifier(s.where(~F.col("is_validation")), max_iter=30)
+    model = CL.train_classifier(s.where(~F.col("is_validation")), num_features=1 << 16, max_iter=30)
     return CL.predict(model, s.where(F.col("is_validation")), ["doc_id", "label"])
 
 
 @register("select_best_model", None, note="iterative model selection; rows-only check")
 def q_select_best_model(spark, sf):
     s = _split_docs(spark, sf)
-    grid = [{"reg_param": 0.0, "max_iter": 20}, {"reg_param": 0.01, "max_iter": 20}, {"reg_param": 0.1, "max_iter": 20}]
+    grid = [{"reg_param": r, "max_iter": 20, "num_features": 1 << 16} for r in (0.0, 0.01, 0.1)]
     _, rows = CL.select_best_model(s.where(~F.col("is_validation")), s.where(F.col("is_validation")), grid,
                                    save_path=scratch_path(spark, "best-model"))
     return spark.createDataFrame(rows, "candidate int, params string, accuracy double, best boolean")
