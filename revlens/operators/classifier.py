@@ -1,6 +1,6 @@
 """Training data, stratified split and a text classifier (§2.11).
 
-The classifier is a Spark ML pipeline (tokenize → hashed term frequencies →
+The classifier is a chain of Spark ML stages (tokenize → hashed term frequencies →
 IDF → multinomial logistic regression): fitting is distributed tree
 aggregation over the partitions, and every text is used whole.
 """
@@ -64,7 +64,7 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, test_f
     return out.withColumn("is_validation", F.coalesce(valid, F.lit(False))).select(*df.columns, "is_validation")
 
 
-def text_pipeline(text: str = "cleaned_review", label: str = "label", num_features: int = 1 << 18,
+def text_classifier_stages(text: str = "cleaned_review", label: str = "label", num_features: int = 1 << 18,
                   reg_param: float = 0.0, max_iter: int = 50) -> Pipeline:
     tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
@@ -77,7 +77,7 @@ def text_pipeline(text: str = "cleaned_review", label: str = "label", num_featur
 
 def train_classifier(train: DataFrame, text: str = "cleaned_review", label: str = "label",
                      **params) -> PipelineModel:
-    return text_pipeline(text, label, **params).fit(train)
+    return text_classifier_stages(text, label, **params).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:

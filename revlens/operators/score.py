@@ -35,7 +35,7 @@ def score_text(df: DataFrame, make_predict_fn: Callable, input_col: str, classes
 def embedding_head_model(classes: Sequence[str] = CLASS_NAMES, scale: float = 10.0):
     """Stand-in model factory: softmax over ``scale ×`` the first len(classes)
     components of an embedding. Real callers pass a factory that loads their
-    own model (ONNX, a fitted pipeline, …)."""
+    own model (ONNX, a fitted Spark ML model, …)."""
     k = len(classes)
 
     def make():

@@ -1,4 +1,4 @@
-"""Classifier pipeline, model selection and metrics on a tiny labelled frame."""
+"""Classifier stages, model selection and metrics on a tiny labelled frame."""
 
 import pytest
 from pyspark.sql import functions as F
