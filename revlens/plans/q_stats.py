@@ -117,17 +117,11 @@ UNION ALL SELECT 'negative_share_en_gt_fr', 'two_proportion_z', z, p_value, reje
 UNION ALL SELECT 'product_vs_sentiment', 'chi_square', statistic, p_value, reject_h0
 FROM ({_chi_sql('product', f'product IN {_in(H3_PRODUCTS)}')}) h3""", doubles=("statistic", "p_value"))
 def q_decide_alpha(spark, sf):
-    cols = ["hypothesis", "test", "statistic", "p_value", "reject_h0"]
-    h1 = ST.chi_square(_h1(spark, sf), "bank", "sentiment").select(
-        F.lit("bank_vs_sentiment").alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic", "p_value",
-        "reject_h0")
-    h2 = ST.two_proportion_z(hypothesis_base(spark, sf), "product", "en", "fr", "sentiment", "NEGATIVE").select(
-        F.lit("negative_share_en_gt_fr").alias("hypothesis"), F.lit("two_proportion_z").alias("test"),
-        F.col("z").alias("statistic"), "p_value", "reject_h0")
-    h3 = ST.chi_square(_h3(spark, sf), "product", "sentiment").select(
-        F.lit("product_vs_sentiment").alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic", "p_value",
-        "reject_h0")
-    return round_doubles(h1.unionByName(h2).unionByName(h3).select(*cols))
+    from ..operators.filters import filter_status
+    from .reports import hypothesis_report
+    rep = hypothesis_report(filter_status(labelled(spark, sf)), H1_BANKS, ("en", "fr"), H3_PRODUCTS,
+                            labels=("bank_vs_sentiment", "negative_share_en_gt_fr", "product_vs_sentiment"))
+    return round_doubles(rep.select("hypothesis", "test", "statistic", "p_value", "reject_h0"))
 
 
 # ----------------------------------------------------------------- time series

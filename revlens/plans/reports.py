@@ -50,8 +50,12 @@ def dashboard(df: DataFrame, bank: str = ALL, product: str = ALL, city: str = AL
     }
 
 
+HYPOTHESES = ("bank_vs_sentiment", "negative_share_first_gt_second", "product_vs_sentiment")
+
+
 def hypothesis_report(df: DataFrame, banks: list[str], products_pair: tuple[str, str], products: list[str],
-                      bank: str = "bank", product: str = "product", sentiment: str = "sentiment") -> DataFrame:
+                      bank: str = "bank", product: str = "product", sentiment: str = "sentiment",
+                      labels: tuple[str, str, str] = HYPOTHESES) -> DataFrame:
     """The three checks: bank × sentiment (χ²), negative share of one product
     above another (z), product × sentiment (χ²) — one row per hypothesis."""
     FL.require_columns(df, [bank, product, sentiment])
@@ -62,14 +66,14 @@ def hypothesis_report(df: DataFrame, banks: list[str], products_pair: tuple[str,
     base = base.checkpoint()
     cols = ["hypothesis", "test", "statistic", "p_value", "reject_h0", "expected_low"]
     h1 = ST.chi_square(base.where(F.col(bank).isin(banks)), bank, sentiment).select(
-        F.lit("bank_vs_sentiment").alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic", "p_value",
+        F.lit(labels[0]).alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic", "p_value",
         "reject_h0", "expected_low")
     a, b = products_pair
     h2 = ST.two_proportion_z(base, product, a, b, sentiment, "NEGATIVE").select(
-        F.lit("negative_share_first_gt_second").alias("hypothesis"), F.lit("two_proportion_z").alias("test"),
+        F.lit(labels[1]).alias("hypothesis"), F.lit("two_proportion_z").alias("test"),
         F.col("z").alias("statistic"), "p_value", "reject_h0", F.lit(None).cast("boolean").alias("expected_low"))
     h3 = ST.chi_square(base.where(F.col(product).isin(products)), product, sentiment).select(
-        F.lit("product_vs_sentiment").alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic",
+        F.lit(labels[2]).alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic",
         "p_value", "reject_h0", "expected_low")
     return h1.unionByName(h2).unionByName(h3).select(*cols)
 
