@@ -88,3 +88,49 @@ def confidence_report(df: DataFrame, median_method: str = "bucketed") -> dict[st
         "bins": PR.binned_distribution(x, F.col("max_confidence")),
         "histogram": PR.histogram_equal_width(x, "max_confidence", 20, median_method=median_method),
     }
+
+
+def multi_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Value counts of several categorical columns in one job: each row is
+    expanded to (column, value) pairs and counted by one grouped aggregate
+    (partial aggregation first), instead of one scan per column."""
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                         for c in cols])))
+    return (pairs.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+            .orderBy("column", F.col("count").desc(), "value"))
+
+
+def eda_report(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None,
+               group: str = "bank", ts: str = "ts", top: int = 10) -> dict[str, DataFrame]:
+    """The exploratory report over one materialised projection: profile,
+    missing values, category counts (fused), location and spread,
+    correlations, group means, time series and headline figures."""
+    from ..schemas import RATING_COLS
+    numeric = numeric or [c for c in RATING_COLS if c in df.columns]
+    categorical = categorical or [c for c in ("bank", "product", "status", "city") if c in df.columns]
+    if ts not in df.columns and "date" in df.columns:
+        df = df.withColumn(ts, parse_review_date(F.col("date")))
+    keep = list(dict.fromkeys([*categorical, *numeric, group, ts, "review"]))
+    checkpoint_root(df.sparkSession)
+    x = df.select(*[c for c in keep if c in df.columns]).checkpoint()
+    return {
+        "table_info": PR.table_info(x),
+        "describe": PR.describe_numeric(x, numeric),
+        "missing": PR.missing_profile(x),
+        "category_counts": multi_value_counts(x, categorical),
+        "location_spread": PR.location_spread(x, numeric),
+        "corr": PR.corr_matrix(x, numeric),
+        "high_corr_pairs": PR.high_corr_pairs(x, numeric, 0.5),
+        "top_group_means": PR.group_mean_top(x, group, numeric, top),
+        "qualified_group_means": PR.group_mean_min_count(x, group, numeric, 5, 15),
+        "product_stats": PR.group_multi_agg(x, "product", numeric) if "product" in x.columns else None,
+        "top5_box": PR.box_stats(SH.semi_join_top(x, group, 5), group, numeric[0]),
+        "monthly_counts": TS.monthly_counts(x, ts),
+        "monthly_mean": TS.monthly_mean(x, ts, numeric[0]),
+        "weekday_counts": TS.weekday_counts(x, ts),
+        "hour_counts": TS.hour_counts(x, ts),
+        "kpis": PR.global_kpis(x, numeric[0], [c for c in ("bank", "product", "city") if c in x.columns]),
+        "grade_distribution": PR.grade_distribution(x, numeric[0]),
+        "satisfaction": PR.satisfaction_levels(x, numeric[0]),
+        "top_products": PR.top_k_coverage(x, "product", 8) if "product" in x.columns else None,
+    }

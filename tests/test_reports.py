@@ -46,3 +46,14 @@ def test_confidence_report(spark):
     ref = E.queries()["confidence_summary"](spark, SF001).first()
     assert s.total_reviews == ref.total_reviews and round(s.median_confidence, 6) == ref.median_confidence
     assert sum(x["count"] for x in r["histogram"].collect()) == reviews(spark, SF001).where("NEGATIVE IS NOT NULL").count()
+
+
+def test_eda_report_runs_and_fuses_counts(spark):
+    from revlens.plans.reports import eda_report
+    from revlens.operators import profile as PR
+    rep = eda_report(labelled(spark, SF001))
+    for k, v in rep.items():
+        assert v is None or v.count() >= 0, k
+    fused = {(r.column, r.value): r["count"] for r in rep["category_counts"].collect()}
+    single = {("city", r.city): r["count"] for r in PR.value_counts(reviews(spark, SF001), "city").collect()}
+    assert {k: v for k, v in fused.items() if k[0] == "city"} == single
