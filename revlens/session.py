@@ -63,6 +63,15 @@ def is_local_path(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 
 
+def local_fs_path(path: str) -> str:
+    """``file:/x``, ``file:///x`` or ``/x`` → ``/x`` (for Python's own file calls)."""
+    if path.startswith("file:"):
+        path = path[len("file:"):]
+        while path.startswith("//"):
+            path = path[1:]
+    return path
+
+
 def ensure_dir(path: str) -> None:
     if is_local_path(path):
-        os.makedirs(path.replace("file://", ""), exist_ok=True)
+        os.makedirs(local_fs_path(path), exist_ok=True)

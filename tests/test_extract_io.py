@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.extract import extract_pages, extract_record, DEFAULT_RULES
 from revlens.schemas import REVIEWS
-from revlens.session import scratch_path
+from revlens.session import local_fs_path, scratch_path
 from revlens.sources import page_batches, page_url_range, scan_csv
 from revlens.sources.files import NA_TOKENS
 
@@ -68,7 +68,7 @@ def test_page_ranges(spark):
 
 def test_scan_csv_dialect(spark):
     d = scratch_path(spark, "csv-edge")
-    d = d[len("file:"):] if d.startswith("file:") else d
+    d = local_fs_path(d)
     os.makedirs(d)
     with open(os.path.join(d, "a.csv"), "w", encoding="utf-8-sig") as f:
         f.write('review_id,bank,review,grade\n1,"Банк ""A""","line one\nline two",5\n2,NA,,\n3,x,"",3\n')
