@@ -61,7 +61,8 @@ def hypothesis_report(df: DataFrame, banks: list[str], products_pair: tuple[str,
     FL.require_columns(df, [bank, product, sentiment])
     base = FL.drop_missing(df, [bank, product, sentiment]).withColumn(
         sentiment, strip_ws(F.upper(F.col(sentiment))))
-    base = base.where(F.col(sentiment).isin("NEGATIVE", "NEUTRAL", "POSITIVE"))
+    # only the three test columns are materialised, never the review text
+    base = base.where(F.col(sentiment).isin("NEGATIVE", "NEUTRAL", "POSITIVE")).select(bank, product, sentiment)
     checkpoint_root(df.sparkSession)
     base = base.checkpoint()
     cols = ["hypothesis", "test", "statistic", "p_value", "reject_h0", "expected_low"]
