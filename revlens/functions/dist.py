@@ -1,17 +1,28 @@
 """Upper-tail probabilities for test statistics.
 
 Neither Spark nor ANSI SQL has ``erfc`` or the incomplete gamma function, so
-the final p-value of a test is one Python call on the test's one-row result
-(the statistic itself is computed by Spark aggregates). Everything is
-evaluated in log space with the standard library only.
+both tails are written here as native expressions: finite recursions over
+``sequence`` evaluated by ``aggregate`` inside the JVM, in log space where a
+term could overflow. They run on a test's one-row result, so no Python worker
+is started. ``chi2_sf`` and ``norm_sf`` are the same formulas in plain Python
+(standard library only), used to cross-check the expressions.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+# Ln Γ(3/2) = ln(√π / 2); erf's series factor 2/√π.
+_LGAMMA_1_5 = math.log(math.sqrt(math.pi) / 2.0)
+_TWO_OVER_SQRT_PI = 2.0 / math.sqrt(math.pi)
+# erfc(8) < 1.2e-29: above this the tail is 0 at double precision used here.
+_ERF_CAP = 8.0
+# Terms of the erf series: for |x| ≤ 8 the terms peak near n = x² = 64 and
+# are below 1e-30 of the sum long before n = 200.
+_ERF_TERMS = 200
 
 
 def chi2_sf(x: float | None, dof: int | None) -> float | None:
@@ -37,5 +48,59 @@ def norm_sf(z: float | None) -> float | None:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-chi2_sf_udf = F.udf(lambda x, k: chi2_sf(x, k), T.DoubleType())
-norm_sf_udf = F.udf(lambda z: norm_sf(z), T.DoubleType())
+def erfc_col(x: Column) -> Column:
+    """erfc(x) as a native expression.
+
+    erf(a) = 2/√π · e^(−a²) · Σ_{n≥0} a^(2n+1) · 2^n / (1·3·…·(2n+1)) for
+    a = |x|: every term is positive, so the sum has no cancellation; the
+    terms follow t_n = t_(n−1) · 2a² / (2n+1). erfc(−a) = 2 − erfc(a).
+    """
+    a = F.least(F.abs(x.cast("double")), F.lit(_ERF_CAP))
+    acc = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_ERF_TERMS)),
+        F.struct(a.alias("t"), a.alias("s")),
+        lambda st, n: F.struct((st["t"] * F.lit(2.0) * a * a / (F.lit(2.0) * n + F.lit(1.0))).alias("t"),
+                               (st["s"] + st["t"] * F.lit(2.0) * a * a / (F.lit(2.0) * n + F.lit(1.0))).alias("s")),
+        lambda st: st["s"])
+    tail = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(_TWO_OVER_SQRT_PI) * F.exp(-a * a) * acc)
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(x < 0, F.lit(2.0) - tail).otherwise(tail)
+
+
+def norm_sf_col(z: Column) -> Column:
+    """P(Z ≥ z) = ½ · erfc(z / √2); NULL or NaN in, NULL out."""
+    zz = F.when(~F.isnan(z), z.cast("double"))
+    return F.lit(0.5) * erfc_col(zz / F.lit(math.sqrt(2.0)))
+
+
+def chi2_sf_col(x: Column, dof: Column) -> Column:
+    """P(X ≥ x) for a chi-square variable, as a native expression.
+
+    Even dof: e^(−h) · Σ_{j<dof/2} h^j / j!, with h = x/2.
+    Odd dof: erfc(√h) + Σ_{j=1}^{(dof−1)/2} e^(−h) · h^(j−½) / Γ(j+½).
+    Each term is carried as its logarithm (ln t_j = ln t_(j−1) + ln h − ln j,
+    resp. − ln(j−½)), so large statistics or many degrees of freedom never
+    overflow.
+    """
+    xd, k = x.cast("double"), dof.cast("long")
+    h = xd / F.lit(2.0)
+    lh = F.log(h)
+    m_even, m_odd = F.floor(k / F.lit(2)), F.floor((k - F.lit(1)) / F.lit(2))
+    even = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.greatest(m_even, F.lit(1).cast("long"))),
+        F.struct((-h).alias("lt"), F.exp(-h).alias("s")),
+        lambda st, j: F.struct((st["lt"] + lh - F.log(j.cast("double"))).alias("lt"),
+                               F.when(j < m_even, st["s"] + F.exp(st["lt"] + lh - F.log(j.cast("double"))))
+                               .otherwise(st["s"]).alias("s")),
+        lambda st: st["s"])
+    odd_terms = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.greatest(m_odd, F.lit(1).cast("long"))),
+        F.struct((-h + F.lit(0.5) * lh - F.lit(_LGAMMA_1_5)).alias("lt"), F.lit(0.0).alias("s")),
+        lambda st, j: F.struct(
+            (st["lt"] + lh - F.log(j.cast("double") + F.lit(0.5))).alias("lt"),
+            F.when(j <= m_odd, st["s"] + F.exp(st["lt"])).otherwise(st["s"]).alias("s")),
+        lambda st: st["s"])
+    odd = erfc_col(F.sqrt(h)) + odd_terms
+    p = F.least(F.lit(1.0), F.when(k % 2 == 0, even).otherwise(odd))
+    return (F.when(xd.isNull() | k.isNull(), F.lit(None).cast("double"))
+            .when((k <= 0) | (xd <= 0), F.lit(1.0))
+            .otherwise(p))

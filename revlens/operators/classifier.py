@@ -59,7 +59,7 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, test_f
     edge = (y.where(F.col("_b") == F.col("_cut_b"))
             .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
             .where(F.col("_r") <= F.col("_need")).select(key, F.lit(True).alias("_in_edge")))
-    out = y.join(edge, on=key, how="left")
+    out = join_small(y, edge, on=key, how="left")  # ≈ n / 2^20 rows per label: measured, then broadcast
     valid = (F.col("_b") < F.col("_cut_b")) | F.coalesce(F.col("_in_edge"), F.lit(False))
     return out.withColumn("is_validation", F.coalesce(valid, F.lit(False))).select(*df.columns, "is_validation")
 

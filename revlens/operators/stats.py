@@ -1,6 +1,6 @@
 """Contingency tables and hypothesis tests (§2.7).
 
-Counts are Spark aggregates; only the final tail probability is a Python call
+Counts are Spark aggregates; the final tail probability is a native expression
 on the one-row result (``functions.dist``).
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dist import chi2_sf_udf, norm_sf_udf
+from ..functions.dist import chi2_sf_col, norm_sf_col
 
 ALPHA = 0.05
 LOW_EXPECTED = 5.0
@@ -35,25 +35,40 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None,
     return out.orderBy(row) if ordered else out
 
 
-def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None = None) -> DataFrame:
+# Most column labels a contingency table may have: the array of column totals
+# is carried into every grid row, so its size is checked, never assumed
+# (the same bound as ``spark.sql.pivotMaxValues``).
+MAX_COLUMN_LABELS = 10_000
+
+
+def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None = None,
+                      max_labels: int = MAX_COLUMN_LABELS) -> DataFrame:
     """Long form of the table with margins: (row, col, observed, row_total,
-    col_total, total, expected). Every row × column cell is present (zeros
-    included); row totals are summed inside each table row, column totals join
-    back from a table with one row per column label, the grand total is a
-    scalar subquery."""
-    wide = crosstab(df, row, col, values, ordered=False)
-    labels = [c for c in wide.columns if c != row]
-    row_total = None
-    for c in labels:
-        row_total = F.col(f"`{c}`") if row_total is None else row_total + F.col(f"`{c}`")
-    wide = wide.withColumn("_row_total", row_total)
-    cells = wide.select(F.col(row), F.col("_row_total").alias("row_total"),
-                        F.inline(F.array(*[F.struct(F.lit(c).alias(col), F.col(f"`{c}`").alias("observed"))
-                                           for c in labels])))
-    col_tot = cells.groupBy(col).agg(F.sum("observed").alias("col_total"))
+    col_total, total, expected), one row for every row label × column label
+    present (zero cells included). ``values`` limits the column labels.
+
+    One lazy plan, no pivot and no cross join: counts per cell (a partial
+    aggregate), totals per row and per column from those counts, and the grid
+    generated from the row totals by ``inline`` over the array of column
+    totals (a scalar subquery whose size is checked against ``max_labels``);
+    the counts are then left-joined onto the grid. The data is read once, in
+    the cell count, and no distinct labels are collected ahead of the query.
+    """
+    base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    if values is not None:
+        base = base.where(F.col(col).isin(list(values)))
+    counts = base.groupBy(row, col).agg(F.count(F.lit(1)).alias("observed"))
+    row_tot = counts.groupBy(row).agg(F.sum("observed").alias("row_total"))
+    col_tot = counts.groupBy(col).agg(F.sum("observed").alias("col_total"))
+    arr = col_tot.select(F.collect_list(F.struct(F.col(col), F.col("col_total"))).alias("_a")).scalar()
+    arr = F.when(F.size(arr) <= F.lit(max_labels), arr).otherwise(
+        F.raise_error(F.lit(f"contingency table has more than {max_labels} column labels in {col}")))
     total = col_tot.select(F.sum("col_total")).scalar()
-    return (cells.join(F.broadcast(col_tot), on=col)
-            .withColumn("total", total)
+    grid = row_tot.select(F.col(row), "row_total", F.inline(arr))
+    return (grid.join(counts, on=[row, col], how="left")
+            .select(F.col(row), F.col(col), F.coalesce(F.col("observed"), F.lit(0)).cast("long").alias("observed"),
+                    F.col("row_total").cast("long").alias("row_total"),
+                    F.col("col_total").cast("long").alias("col_total"), total.cast("long").alias("total"))
             .withColumn("expected", F.col("row_total").cast("double") * F.col("col_total") / F.col("total")))
 
 
@@ -73,7 +88,7 @@ def chi_square(df: DataFrame, row: str, col: str, values: Sequence | None = None
     stat = F.when(F.col("dof") == 0, F.lit(0.0)) \
             .when((F.col("dof") == 1) & F.lit(correction), F.col("_yates")).otherwise(F.col("_plain"))
     out = stats.select(stat.alias("statistic"), F.col("dof").cast("long").alias("dof"), "expected_low")
-    out = out.withColumn("p_value", chi2_sf_udf(F.col("statistic"), F.col("dof")))
+    out = out.withColumn("p_value", chi2_sf_col(F.col("statistic"), F.col("dof")))
     return out.withColumn("reject_h0", decide_alpha(F.col("p_value"), alpha))
 
 
@@ -103,7 +118,7 @@ def two_proportion_z(df: DataFrame, group: str, first, second, outcome: str, suc
     z = F.try_divide(k1 / n1 - k2 / n2, se)
     out = (agg.where((F.col("n1") > 0) & (F.col("n2") > 0))
            .select("n1", "k1", (k1 / n1).alias("share1"), "n2", "k2", (k2 / n2).alias("share2"), z.alias("z")))
-    out = out.withColumn("p_value", norm_sf_udf(F.col("z")))
+    out = out.withColumn("p_value", norm_sf_col(F.col("z")))
     return out.withColumn("reject_h0", decide_alpha(F.col("p_value"), alpha))
 
 

@@ -9,7 +9,7 @@ from revlens.functions import (assign_bin, categorise_product, clean_text, extra
                                grade_to_label, label_by_confidence, label_name, normalise_bank, parse_digits,
                                parse_review_date, percent_label, upper_strip, softmax_array, max_confidence,
                                argmax_label)
-from revlens.functions.dist import chi2_sf, norm_sf
+from revlens.functions.dist import chi2_sf, chi2_sf_col, norm_sf, norm_sf_col
 from revlens.operators import filters as FL
 
 
@@ -115,3 +115,17 @@ def test_tail_probabilities():
     assert chi2_sf(0.0, 0) == 1.0 and chi2_sf(5.0, 0) == 1.0
     assert norm_sf(1.6448536269514722) == pytest.approx(0.05, abs=1e-12)
     assert norm_sf(0.0) == 0.5 and norm_sf(None) is None
+
+
+def test_native_tails_match_python(spark):
+    xs = [None, 0.0, 1e-9, 0.5, 1.0, 3.841458820694124, 7.814727903251178, 24.7222, 50.0, 300.0, 2000.0]
+    rows = [(x, k) for k in (0, 1, 2, 3, 4, 5, 6, 7, 12, 101) for x in xs] + [(1.0, None)]
+    df = spark.createDataFrame(rows, "x double, k long")
+    for r in df.select("x", "k", chi2_sf_col(F.col("x"), F.col("k")).alias("p")).collect():
+        want = chi2_sf(r.x, r.k)
+        assert (r.p is None and want is None) or r.p == pytest.approx(want, abs=1e-12), (r, want)
+    zs = [None, float("nan"), -9.0, -1.96, -0.3, 0.0, 0.7, 1.6448536269514722, 3.0, 7.5, 40.0]
+    dz = spark.createDataFrame([(z,) for z in zs], "z double")
+    for r in dz.select("z", norm_sf_col(F.col("z")).alias("p")).collect():
+        want = norm_sf(r.z)
+        assert (r.p is None and want is None) or r.p == pytest.approx(want, abs=1e-14), (r, want)
