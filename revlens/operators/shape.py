@@ -39,14 +39,19 @@ def reverse_order(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per ``key`` value: the one with the smallest ``order``.
+    """One row per ``key`` value: the one with the smallest ``order`` (a unique id).
 
     ``min_by`` is a partial aggregate, so copies collapse map-side before the
     shuffle: a text repeated in a third of all rows still ships one row per task.
+    Each column is its own ``min_by`` over the same unique ``order``, so all
+    values come from the same row, and Catalyst drops the aggregates (and the
+    scans and joins behind them) of columns the caller never reads.
     """
     rest = [c for c in df.columns if c != key]
-    kept = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return kept.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    aggs = [(F.min(F.col(f"`{order}`")) if c == order else F.min_by(F.col(f"`{c}`"), F.col(f"`{order}`"))).alias(c)
+            for c in rest]
+    kept = df.where(F.col(f"`{order}`").isNotNull()).groupBy(key).agg(*aggs)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def distinct_options(df: DataFrame, col: str, all_value: str = "All", name: str = "option") -> DataFrame:
