@@ -38,3 +38,17 @@ def test_global_integers(spark):
     got = exact_quantiles(df, "v", PROBS, buckets=8, small=5).first()
     ref = df.select(F.percentile(F.col("v").cast("double"), F.array(*[F.lit(p) for p in PROBS]))).first()[0]
     assert [got[f"q{i}"] for i in range(len(PROBS))] == list(ref) and got.n == 1001
+
+
+def test_extreme_magnitudes_signs_and_infinities(spark):
+    # n − 1 divisible by 4: every quartile is an exact order statistic
+    vals = [float("-inf"), -1e308, -3.5, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 2.0, 2.0, 1e308, float("inf"), 7.25]
+    vals += [(-1) ** i * 10.0 ** (i % 40 - 20) for i in range(40)]
+    vals = vals[:len(vals) - (len(vals) - 1) % 4]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    s = sorted(vals)
+    want = [s[int(p * (len(s) - 1))] for p in probs]
+    for buckets, small in [(4096, 65536), (4, 2)]:
+        got = exact_quantiles(df, "v", probs, buckets=buckets, small=small).first()
+        assert [got[f"q{i}"] for i in range(len(probs))] == want and got.n == len(vals)
