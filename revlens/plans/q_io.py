@@ -13,7 +13,7 @@ from ..sources import (ingest_summary, page_batches, page_url_range, scan_csv, s
                        sink_csv_overwrite, sink_json)
 from ..sources.files import scan_json
 from ..sources.pages import DEFAULT_BASE_URL
-from ..streaming import ingest_incremental, stage_files, stream_counts, stream_dedup
+from ..streaming import files_per_batch, ingest_incremental, stage_files, stream_counts, stream_dedup
 from .base import WS, register, reviews, round_doubles, sql_strip, table
 
 P3 = ("NEGATIVE", "NEUTRAL", "POSITIVE")
@@ -164,10 +164,22 @@ def q_extract_status(spark, sf):
 
 
 # ----------------------------------------------------------------- streaming
+# Replays split the input into about this many micro-batches.
+REPLAY_BATCHES = 4
+
+
+def _replay(spark, df, rows_bound: int, name: str) -> tuple[str, int]:
+    """Stage ``df`` as files of ⌈rows_bound / batches⌉ rows; return (path, files per trigger)."""
+    src = stage_files(df, scratch_path(spark, name), -(-max(1, rows_bound) // REPLAY_BATCHES))
+    return src, files_per_batch(spark, src, REPLAY_BATCHES)
+
+
 @register("ingest_incremental", "SELECT * FROM reviews", doubles=P3)
 def q_ingest_incremental(spark, sf):
-    src = stage_files(reviews(spark, sf), scratch_path(spark, "ingest-src"), files=4)
-    return round_doubles(ingest_incremental(spark, src, REVIEWS))
+    # one review per document at most: the documents' row count (parquet
+    # metadata) bounds the file size
+    src, per = _replay(spark, reviews(spark, sf), table(spark, sf, "documents").count(), "ingest-src")
+    return round_doubles(ingest_incremental(spark, src, REVIEWS, max_files_per_trigger=per))
 
 
 _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -177,8 +189,9 @@ _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
-    src = stage_files(table(spark, sf, "events"), scratch_path(spark, "dedup-src"), files=4)
-    d = stream_dedup(spark, src, _EVENTS, ["user_id", "event_type"], "ts", "31 days")
+    ev = table(spark, sf, "events")
+    src, per = _replay(spark, ev, ev.count(), "dedup-src")
+    d = stream_dedup(spark, src, _EVENTS, ["user_id", "event_type"], "ts", "31 days", max_files_per_trigger=per)
     return d.select("user_id", "event_type")
 
 
@@ -186,5 +199,6 @@ def q_stream_dedup(spark, sf):
           "CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, count(*) AS \"count\" "
           "FROM events GROUP BY 1, 2")
 def q_stream_counts(spark, sf):
-    src = stage_files(table(spark, sf, "events"), scratch_path(spark, "counts-src"), files=4)
-    return stream_counts(spark, src, _EVENTS, "ts", "1 day")
+    ev = table(spark, sf, "events")
+    src, per = _replay(spark, ev, ev.count(), "counts-src")
+    return stream_counts(spark, src, _EVENTS, "ts", "1 day", max_files_per_trigger=per)

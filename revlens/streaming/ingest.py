@@ -19,13 +19,21 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 
-def stage_files(df: DataFrame, path: str, files: int = 4) -> str:
-    """Write a table as ``files`` parquet parts: the file source then delivers
-    them as successive micro-batches (used to replay a table as a stream)."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def stage_files(df: DataFrame, path: str, rows_per_file: int) -> str:
+    """Write a table as parquet parts of at most ``rows_per_file`` rows, so a
+    file source can replay it as successive micro-batches. No shuffle: every
+    task splits its own output, so the write is as parallel as the input."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", max(1, int(rows_per_file))).parquet(path)
     return path
 
 
+def files_per_batch(spark: SparkSession, path: str, batches: int = 4) -> int:
+    """``maxFilesPerTrigger`` that replays the files under ``path`` in about
+    ``batches`` micro-batches (a file listing on the driver; no data read)."""
+    n = len(spark.read.parquet(path).inputFiles())
+    return max(1, -(-n // max(1, batches)))
+
+
 def _source(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None) -> DataFrame:
     r = spark.readStream.schema(schema)
     if max_files:
