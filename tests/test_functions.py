@@ -129,3 +129,26 @@ def test_native_tails_match_python(spark):
     for r in dz.select("z", norm_sf_col(F.col("z")).alias("p")).collect():
         want = norm_sf(r.z)
         assert (r.p is None and want is None) or r.p == pytest.approx(want, abs=1e-14), (r, want)
+
+
+def test_clean_text_single_pass_matches_python(spark):
+    import random
+    import re
+
+    def py_clean(t):
+        if not isinstance(t, str):
+            return ""
+        return re.sub(r"\s+", " ", re.sub(r"http\S+", "", t)).strip().lower()
+
+    rnd = random.Random(3)
+    parts = ["http", "https://x.y/z", " ", "\t", "\n", "a", "B", "xhttp", "http:", "Ü", "　", "\xa0", ".", "ttp"]
+    rows = [(None,), ("",), ("http",), ("http ",), (" http://a b",), ("ahttp://x",), ("a  http://q\tB  ",)]
+    rows += [("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "t string")
+    for r in df.select("t", clean_text(F.col("t")).alias("c")).collect():
+        assert r.c == py_clean(r.t), repr(r.t)
+
+
+def test_ws_chars_are_python_whitespace():
+    from revlens.functions.text import WS_CHARS
+    assert set(WS_CHARS) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
