@@ -21,14 +21,26 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "revlens",
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "revlens",
                   extra: dict | None = None) -> SparkSession:
-    """Local or cluster session with AQE on. ``master=None`` leaves it to spark-submit."""
+    """Local or cluster session with AQE on.
+
+    ``master=None`` leaves the master, and the shuffle partition count unless
+    one is given, to spark-submit and the cluster's defaults; AQE then
+    coalesces small partitions to the advisory size rather than keeping
+    parallelism, and splits skewed ones. Local sessions (tests, bench) pass a
+    partition count sized for their cores.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    elif master and master.startswith("local"):
+        conf["spark.sql.shuffle.partitions"] = "8"
+    if not master:
+        conf["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
