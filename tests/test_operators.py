@@ -190,3 +190,23 @@ def test_stratified_split_exact_counts(spark):
         return {i for _, i in ids[:math.ceil(0.2 * n)]}
     expect = pick(0, n0) | pick(1, n1)
     assert {r.id for r in out.where("is_validation").collect()} == expect
+
+
+def test_kde_reach_window_matches_full_grid(spark):
+    import math
+    import random
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) for _ in range(3000)] + [1e6, 2.5e5]  # far outliers: the reach window is active
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = {r.point: (r.x, r.density) for r in PR.kde_curve(df, "v", 200, 5).collect()}
+    n, mn, mx = len(vals), min(vals), max(vals)
+    mean = sum(vals) / n
+    sd = math.sqrt(sum((v - mean) ** 2 for v in vals) / (n - 1))
+    bw = sd * n ** -0.2
+    width = (mx - mn) / 5
+    assert (mx - mn) > 2 * 39 * bw  # the window really skips grid points
+    for p in range(200):
+        gx = mn + p * (mx - mn) / 199
+        dens = sum(math.exp(-0.5 * ((gx - v) / bw) ** 2) for v in vals) * width / (bw * math.sqrt(2 * math.pi))
+        assert got[p][1] == pytest.approx(dens, rel=1e-9, abs=1e-300)
+    assert len(got) == 200 and any(d == 0.0 for _, d in got.values())
