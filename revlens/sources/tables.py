@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import softmax_probs
+from ..operators.shape import BROADCAST_BUDGET_BYTES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -15,6 +16,22 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_ROWS: dict[str, int] = {}
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a stored table (a parquet count reads file metadata only),
+    remembered per path in this driver process; used to bound broadcast sizes."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _ROWS:
+        _ROWS[path] = load_table(spark, sf_dir, name).count()
+    return _ROWS[path]
+
+
+# Bytes per row of the (key, city) lookup: a long and a short string.
+_CITY_ROW_BYTES = 8 + 48
+
+
 def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review per document, with ratings, city and class scores drawn from
     the other tables (FIXTURES §3).
@@ -24,7 +41,10 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     exchanged at most once, on ``doc_id``: every join of the main plan is on
     that one id, and the city is looked up on a narrow (event id, city) table
     (events ⋈ customer ⋈ nation, where AQE splits a hot user) that is joined
-    back on the id, so the text never moves to a ``user_id`` partitioning.
+    back on the id, so the text never moves to a ``user_id`` partitioning. When
+    the customers' row count (file metadata) bounds the customer → city table
+    within the broadcast budget, that table is broadcast onto the rows instead
+    and nothing is exchanged for the city.
     Catalyst prunes every column not used downstream; nation's 25 rows are
     fixed by the TPC-H specification and always broadcast.
     """
@@ -34,15 +54,23 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load_table(spark, sf_dir, "customer")
     n = load_table(spark, sf_dir, "nation")
 
-    city = (e.select(F.col("event_id").alias("city_event_id"), "user_id")
-            .join(c, F.col("c_custkey") == F.col("user_id"), "left")
-            .join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-            # one row per event (ids are unique): grouping states it, so Catalyst
-            # drops this join from plans that never read the city
-            .groupBy("city_event_id").agg(F.max("n_name").alias("n_name")).alias("k"))
+    # one row per customer (grouping states it, so Catalyst drops the lookup
+    # from plans that never read the city)
+    cust_city = (c.join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+                 .groupBy("c_custkey").agg(F.max("n_name").alias("n_name")))
     j = (d.join(e.alias("e"), F.col("e.event_id") == F.col("d.doc_id"), "inner")
-         .join(v, F.col("v.vec_id") == F.col("d.doc_id"), "left")
-         .join(city, F.col("k.city_event_id") == F.col("d.doc_id"), "left"))
+         .join(v, F.col("v.vec_id") == F.col("d.doc_id"), "left"))
+    if table_rows(spark, sf_dir, "customer") * _CITY_ROW_BYTES <= BROADCAST_BUDGET_BYTES:
+        # the customers' row count bounds the lookup within the budget: broadcast
+        # it onto the rows by user id, and nothing is exchanged for the city
+        j = j.join(F.broadcast(cust_city).alias("k"), F.col("k.c_custkey") == F.col("e.user_id"), "left")
+    else:
+        # narrow (event id, city) table, joined back on the id the rows are
+        # already partitioned by; one row per event, so it is removable as well
+        city = (e.select(F.col("event_id").alias("city_event_id"), "user_id")
+                .join(cust_city, F.col("c_custkey") == F.col("user_id"), "left")
+                .groupBy("city_event_id").agg(F.max("n_name").alias("n_name")).alias("k"))
+        j = j.join(city, F.col("k.city_event_id") == F.col("d.doc_id"), "left")
 
     emb = F.col("v.embedding")
     logits = [F.lit(10.0) * emb.getItem(i).cast("double") for i in range(3)]

@@ -76,3 +76,12 @@ def test_repartition_invariance(rv, op):
             out = SH.dedup_keep_first(df, "review", "review_id").select("review_id")
         return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect())
     assert run(rv.repartition(1)) == run(rv.repartition(17))
+
+
+def test_review_table_same_rows_with_and_without_city_broadcast(spark, monkeypatch):
+    import revlens.sources.tables as T
+    a = sorted(map(tuple, T.reviews_standin(spark, SF001).collect()), key=repr)
+    monkeypatch.setattr(T, "_CITY_ROW_BYTES", 10 ** 12)  # customer "too large": the join-back branch
+    b = T.reviews_standin(spark, SF001)
+    assert "city_event_id" in b._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, b.collect()), key=repr) == a
