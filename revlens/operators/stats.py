@@ -42,7 +42,7 @@ MAX_COLUMN_LABELS = 10_000
 
 
 def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None = None,
-                      max_labels: int = MAX_COLUMN_LABELS) -> DataFrame:
+                      max_labels: int = MAX_COLUMN_LABELS, weight: str | None = None) -> DataFrame:
     """Long form of the table with margins: (row, col, observed, row_total,
     col_total, total, expected), one row for every row label × column label
     present (zero cells included). ``values`` limits the column labels.
@@ -53,11 +53,13 @@ def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None
     totals (a scalar subquery whose size is checked against ``max_labels``);
     the counts are then left-joined onto the grid. The data is read once, in
     the cell count, and no distinct labels are collected ahead of the query.
+    ``weight`` names a count column when ``df`` is already aggregated.
     """
     base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
     if values is not None:
         base = base.where(F.col(col).isin(list(values)))
-    counts = base.groupBy(row, col).agg(F.count(F.lit(1)).alias("observed"))
+    n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+    counts = base.groupBy(row, col).agg(n.alias("observed"))
     row_tot = counts.groupBy(row).agg(F.sum("observed").alias("row_total"))
     col_tot = counts.groupBy(col).agg(F.sum("observed").alias("col_total"))
     arr = col_tot.select(F.collect_list(F.struct(F.col(col), F.col("col_total"))).alias("_a")).scalar()
@@ -73,12 +75,13 @@ def contingency_cells(df: DataFrame, row: str, col: str, values: Sequence | None
 
 
 def chi_square(df: DataFrame, row: str, col: str, values: Sequence | None = None, correction: bool = True,
-               alpha: float = ALPHA) -> DataFrame:
+               alpha: float = ALPHA, weight: str | None = None) -> DataFrame:
     """Pearson chi-square test of independence on ``row`` × ``col``: statistic,
     p, dof, whether any expected count is below 5, and the decision at
     ``alpha``. With one degree of freedom each observed count first moves
-    toward its expected count by min(0.5, |o − e|) (Yates)."""
-    cells = contingency_cells(df, row, col, values)
+    toward its expected count by min(0.5, |o − e|) (Yates). ``weight``: as in
+    ``contingency_cells``."""
+    cells = contingency_cells(df, row, col, values, weight=weight)
     o, e = F.col("observed").cast("double"), F.col("expected")
     dof_expr = (F.count_distinct(F.col(row)) - 1) * (F.count_distinct(F.col(col)) - 1)
     stats = cells.agg(dof_expr.alias("dof"),
@@ -102,16 +105,23 @@ def pearson_residuals(df: DataFrame, row: str, col: str, values: Sequence | None
 
 
 def two_proportion_z(df: DataFrame, group: str, first, second, outcome: str, success,
-                     alpha: float = ALPHA) -> DataFrame:
+                     alpha: float = ALPHA, weight: str | None = None) -> DataFrame:
     """Pooled two-sample z test of H1: share(first) > share(second).
 
     One aggregate yields the four counts; no row when either group is empty.
+    ``weight`` names a count column when ``df`` is already aggregated.
     """
     g, y = F.col(group), F.col(outcome)
-    agg = df.agg(F.count_if(g == F.lit(first)).alias("n1"),
-                 F.count_if((g == F.lit(first)) & (y == F.lit(success))).alias("k1"),
-                 F.count_if(g == F.lit(second)).alias("n2"),
-                 F.count_if((g == F.lit(second)) & (y == F.lit(success))).alias("k2"))
+
+    def n(cond):
+        if weight is None:
+            return F.count_if(cond)
+        return F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0)).cast("long")
+
+    agg = df.agg(n(g == F.lit(first)).alias("n1"),
+                 n((g == F.lit(first)) & (y == F.lit(success))).alias("k1"),
+                 n(g == F.lit(second)).alias("n2"),
+                 n((g == F.lit(second)) & (y == F.lit(success))).alias("k2"))
     n1, k1, n2, k2 = (F.col(c).cast("double") for c in ("n1", "k1", "n2", "k2"))
     p = (k1 + k2) / (n1 + n2)
     se = F.sqrt(p * (F.lit(1.0) - p) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))

@@ -61,19 +61,21 @@ def hypothesis_report(df: DataFrame, banks: list[str], products_pair: tuple[str,
     FL.require_columns(df, [bank, product, sentiment])
     base = FL.drop_missing(df, [bank, product, sentiment]).withColumn(
         sentiment, strip_ws(F.upper(F.col(sentiment))))
-    # only the three test columns are materialised, never the review text
-    base = base.where(F.col(sentiment).isin("NEGATIVE", "NEUTRAL", "POSITIVE")).select(bank, product, sentiment)
+    # one pass: counts per (bank, product, sentiment), a partial aggregate whose
+    # size is bounded by the label domains; all three tests read it, weighted
+    base = (base.where(F.col(sentiment).isin("NEGATIVE", "NEUTRAL", "POSITIVE"))
+            .groupBy(bank, product, sentiment).agg(F.count(F.lit(1)).alias("_w")))
     checkpoint_root(df.sparkSession)
     base = base.checkpoint()
     cols = ["hypothesis", "test", "statistic", "p_value", "reject_h0", "expected_low"]
-    h1 = ST.chi_square(base.where(F.col(bank).isin(banks)), bank, sentiment).select(
+    h1 = ST.chi_square(base.where(F.col(bank).isin(banks)), bank, sentiment, weight="_w").select(
         F.lit(labels[0]).alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic", "p_value",
         "reject_h0", "expected_low")
     a, b = products_pair
-    h2 = ST.two_proportion_z(base, product, a, b, sentiment, "NEGATIVE").select(
+    h2 = ST.two_proportion_z(base, product, a, b, sentiment, "NEGATIVE", weight="_w").select(
         F.lit(labels[1]).alias("hypothesis"), F.lit("two_proportion_z").alias("test"),
         F.col("z").alias("statistic"), "p_value", "reject_h0", F.lit(None).cast("boolean").alias("expected_low"))
-    h3 = ST.chi_square(base.where(F.col(product).isin(products)), product, sentiment).select(
+    h3 = ST.chi_square(base.where(F.col(product).isin(products)), product, sentiment, weight="_w").select(
         F.lit(labels[2]).alias("hypothesis"), F.lit("chi_square").alias("test"), "statistic",
         "p_value", "reject_h0", "expected_low")
     return h1.unionByName(h2).unionByName(h3).select(*cols)

@@ -210,3 +210,17 @@ def test_kde_reach_window_matches_full_grid(spark):
         dens = sum(math.exp(-0.5 * ((gx - v) / bw) ** 2) for v in vals) * width / (bw * math.sqrt(2 * math.pi))
         assert got[p][1] == pytest.approx(dens, rel=1e-9, abs=1e-300)
     assert len(got) == 200 and any(d == 0.0 for _, d in got.values())
+
+
+def test_weighted_tests_equal_row_level(spark):
+    rows = [("a", "x")] * 12 + [("a", "y")] * 5 + [("b", "x")] * 3 + [("b", "y")] * 10 + [("c", "y")] * 7
+    df = spark.createDataFrame(rows, "r string, c string")
+    agg = df.groupBy("r", "c").agg(F.count(F.lit(1)).alias("w"))
+    for vals in (None, ["x", "y"]):
+        a = ST.chi_square(df, "r", "c", vals).first().asDict()
+        b = ST.chi_square(agg, "r", "c", vals, weight="w").first().asDict()
+        assert a == pytest.approx(b)
+    a = ST.two_proportion_z(df, "r", "a", "b", "c", "x").first().asDict()
+    b = ST.two_proportion_z(agg, "r", "a", "b", "c", "x", weight="w").first().asDict()
+    assert a == pytest.approx(b) and b["n1"] == 17 and b["k2"] == 3
+    assert ST.two_proportion_z(agg, "r", "a", "zz", "c", "x", weight="w").count() == 0
