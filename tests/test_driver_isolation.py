@@ -29,3 +29,11 @@ def test_queries_run_from_foreign_directory():
         out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=d, env=env, capture_output=True, text=True,
                              timeout=600)
     assert "ISOLATED-OK" in out.stdout, out.stderr[-3000:]
+
+
+def test_local_fs_path_forms():
+    from revlens.session import is_local_path, local_fs_path
+    assert local_fs_path("file:/tmp/a") == "/tmp/a"
+    assert local_fs_path("file:///tmp/a") == "/tmp/a"
+    assert local_fs_path("/tmp/a") == "/tmp/a"
+    assert is_local_path("file:/x") and is_local_path("/x") and not is_local_path("s3a://b/x")
