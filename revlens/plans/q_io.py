@@ -13,6 +13,7 @@ from ..sources import (ingest_summary, page_batches, page_url_range, scan_csv, s
                        sink_csv_overwrite, sink_json)
 from ..sources.files import scan_json
 from ..sources.pages import DEFAULT_BASE_URL
+from ..sources.tables import table_rows
 from ..streaming import files_per_batch, ingest_incremental, stage_files, stream_counts, stream_dedup
 from .base import WS, register, reviews, round_doubles, sql_strip, table
 
@@ -178,7 +179,7 @@ def _replay(spark, df, rows_bound: int, name: str) -> tuple[str, int]:
 def q_ingest_incremental(spark, sf):
     # one review per document at most: the documents' row count (parquet
     # metadata) bounds the file size
-    src, per = _replay(spark, reviews(spark, sf), table(spark, sf, "documents").count(), "ingest-src")
+    src, per = _replay(spark, reviews(spark, sf), table_rows(spark, sf, "documents"), "ingest-src")
     return round_doubles(ingest_incremental(spark, src, REVIEWS, max_files_per_trigger=per))
 
 
@@ -190,7 +191,7 @@ _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
     ev = table(spark, sf, "events")
-    src, per = _replay(spark, ev, ev.count(), "dedup-src")
+    src, per = _replay(spark, ev, table_rows(spark, sf, "events"), "dedup-src")
     d = stream_dedup(spark, src, _EVENTS, ["user_id", "event_type"], "ts", "31 days", max_files_per_trigger=per)
     return d.select("user_id", "event_type")
 
@@ -200,5 +201,5 @@ def q_stream_dedup(spark, sf):
           "FROM events GROUP BY 1, 2")
 def q_stream_counts(spark, sf):
     ev = table(spark, sf, "events")
-    src, per = _replay(spark, ev, ev.count(), "counts-src")
+    src, per = _replay(spark, ev, table_rows(spark, sf, "events"), "counts-src")
     return stream_counts(spark, src, _EVENTS, "ts", "1 day", max_files_per_trigger=per)
