@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import assign_bin, CONFIDENCE_EDGES, percent_label, label_name
-from .shape import join_small, top_k_sorted
+from .shape import join_small, number_top, top_k_sorted
 
 
 
@@ -61,10 +61,10 @@ def top_k_remainder(df: DataFrame, col: str, k: int) -> DataFrame:
     st = _stats(counts, n_values=F.count(F.lit(1)), n_rows=F.sum("count"))
     n_values, n_rows = st["n_values"], st["n_rows"]
     top = top_k_sorted(counts, "count", col, k)
-    w = Window.orderBy(F.col("count").desc(), F.col(col).asc())
-    return (top.withColumn("rank", F.row_number().over(w))
+    in_top = top.select(F.sum("count")).scalar()
+    return (number_top(top, "count", col)
             .withColumn("other_values", F.greatest(n_values - F.lit(k), F.lit(0)).cast("long"))
-            .withColumn("other_rows", (n_rows - F.sum("count").over(Window.partitionBy())).cast("long")))
+            .withColumn("other_rows", (n_rows - in_top).cast("long")))
 
 
 def top_k_other(df: DataFrame, col: str, k: int = 15, other: str = "Other") -> DataFrame:
@@ -73,8 +73,7 @@ def top_k_other(df: DataFrame, col: str, k: int = 15, other: str = "Other") -> D
     rank k+1 for ``Other``. Only the ``k`` top keys are broadcast."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = counts.select(F.sum("count")).scalar()
-    top = top_k_sorted(counts, "count", col, k)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col(col).asc())))
+    top = number_top(top_k_sorted(counts, "count", col, k), "count", col)
     tagged = counts.join(F.broadcast(top.select(col, "rank")), on=col, how="left")
     grouped = (tagged.groupBy(F.when(F.col("rank").isNull(), F.lit(other)).otherwise(F.col(col)).alias(col),
                               F.coalesce(F.col("rank"), F.lit(k + 1)).alias("rank"))
@@ -90,10 +89,10 @@ def top_k_coverage(df: DataFrame, col: str, k: int) -> DataFrame:
     n_all = row_count(df)
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     top = top_k_sorted(counts, "count", col, k)
-    w = Window.orderBy(F.col("count").desc(), F.col(col).asc())
-    return (top.withColumn("rank", F.row_number().over(w))
+    in_top = top.select(F.sum("count")).scalar()
+    return (number_top(top, "count", col)
             .withColumn("pct", _pct(F.col("count"), n_all))
-            .withColumn("coverage_pct", _pct(F.sum("count").over(Window.partitionBy()), n_all)))
+            .withColumn("coverage_pct", _pct(in_top, n_all)))
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,37 @@ def top_k_sorted(df: DataFrame, value: str, key: str | Sequence[str], k: int, as
     return df.orderBy(*_order(value, key, ascending)).limit(k)
 
 
+def number_top(top: DataFrame, value: str, key: str | Sequence[str], rank_col: str = "rank",
+               ascending: bool = False) -> DataFrame:
+    """Rank 1..k of a top-k result, in the order of ``top_k_sorted``.
+
+    ``top`` holds at most ``k`` rows, so they are gathered into one bounded
+    array, sorted by (value, then key ascending, NULLs last) with an explicit
+    comparator and numbered by ``posexplode``: no window without a partition.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = top.columns
+
+    def cmp(a, b):
+        va, vb = a[value], b[value]
+        null_side = -1 if ascending else 1  # NULL value: first when ascending, last when descending (as Spark)
+        c = (F.when(va.isNull() & vb.isNotNull(), F.lit(null_side))
+             .when(va.isNotNull() & vb.isNull(), F.lit(-null_side))
+             .when(va < vb, F.lit(-1 if ascending else 1)).when(va > vb, F.lit(1 if ascending else -1)))
+        for k in keys:
+            ka, kb = a[k], b[k]
+            c = (c.when(ka.isNull() & kb.isNotNull(), F.lit(1)).when(ka.isNotNull() & kb.isNull(), F.lit(-1))
+                 .when(ka < kb, F.lit(-1)).when(ka > kb, F.lit(1)))
+        return c.otherwise(F.lit(0))
+
+    arr = F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in cols])), cmp)
+    return (top.agg(arr.alias("_a")).select(F.posexplode("_a").alias("_p", "_r"))
+            .select(*[F.col("_r").getField(c).alias(c) for c in cols], (F.col("_p") + 1).alias(rank_col)))
+
+
 def rank_rows(df: DataFrame, value: str, key: str | Sequence[str], k: int, rank_col: str = "rank") -> DataFrame:
-    """Top ``k`` with a running rank 1..k. The rank window only sees the ``k`` kept rows."""
-    top = top_k_sorted(df, value, key, k)
-    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*_order(value, key))))
+    """Top ``k`` with a running rank 1..k, assigned on the ``k`` kept rows only."""
+    return number_top(top_k_sorted(df, value, key, k), value, key, rank_col)
 
 
 def sort_by_key(df: DataFrame, *keys: str) -> DataFrame:

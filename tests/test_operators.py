@@ -224,3 +224,19 @@ def test_weighted_tests_equal_row_level(spark):
     b = ST.two_proportion_z(agg, "r", "a", "b", "c", "x", weight="w").first().asDict()
     assert a == pytest.approx(b) and b["n1"] == 17 and b["k2"] == 3
     assert ST.two_proportion_z(agg, "r", "a", "zz", "c", "x", weight="w").count() == 0
+
+
+def test_number_top_equals_row_number(spark):
+    from pyspark.sql import Window
+    rows = [("b", 3.0, 1), ("a", 3.0, 2), (None, 3.0, 3), ("c", None, 4), ("d", 1.5, 5), ("a", 9.0, 6),
+            ("e", None, 7), (None, 1.5, 8)]
+    df = spark.createDataFrame(rows, "k string, v double, id int")
+    for asc in (False, True):
+        top = SH.top_k_sorted(df, "v", ["k", "id"], 6, ascending=asc)
+        got = [(r.id, r.rank) for r in SH.number_top(top, "v", ["k", "id"], ascending=asc).collect()]
+        w = Window.orderBy(F.col("v").asc() if asc else F.col("v").desc(),
+                           F.col("k").asc_nulls_last(), F.col("id").asc_nulls_last())
+        want = [(r.id, r.rank) for r in top.withColumn("rank", F.row_number().over(w)).collect()]
+        assert sorted(got) == sorted(want) and len(got) == 6
+    empty = SH.top_k_sorted(df.where("false"), "v", "k", 3)
+    assert SH.number_top(empty, "v", "k").count() == 0
