@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe_chunks import op8_bpe_chunks
 from .packing import op4_packing
 from .token_file import op10_token_file
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op8_bpe_chunks": op8_bpe_chunks,
     "op10_token_file": op10_token_file,
 }
 ORACLE_SQL: dict[str, str] = {}

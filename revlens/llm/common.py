@@ -23,9 +23,11 @@ def stored(spark: SparkSession, df: DataFrame, name: str, partition_by: str | No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_key(id_col: str, text_col: str):
-    """(id, 64-bit text hash): tells apart rows that share an id but not a text."""
-    return F.col(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_hash")
+def row_key(id_col: str, text_col: str):
+    """Two 64-bit hashes of (id, text), never null: rows that share an id but not a text stay apart, and joins on
+    the key need no null-safe comparison."""
+    i, t = F.col(id_col), F.col(text_col)
+    return F.xxhash64(i, t).alias("k1"), F.xxhash64(F.lit(7), t, i).alias("k2")
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -61,3 +63,22 @@ def text_slices(sizes, limit: int):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def zip_texts(*passed: str):
+    """mapInArrow function: column ``text`` becomes ``z``, its UTF-8 bytes compressed (null: of the empty text); the
+    ``passed`` columns stay. Texts cross exchanges in this form."""
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+        c = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for b in batches:
+            z = pa.array([c.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(p) for p in passed), z], names=[*passed, "z"])
+    return run
+
+
+def unzip_texts(column) -> list[bytes]:
+    import zstandard
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(z) for z in column.to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..session import scratch_path
-from .common import worker_state
+from .common import unzip_texts, worker_state, zip_texts
 from .tokens import default_tokenizer, encoder
 
 BLOCK_IDS = 1 << 16
@@ -141,15 +141,13 @@ class CodeBook:
 
 def _encode(tokenizer: str, eos: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
         from pyspark import TaskContext
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        enc, unzip = encoder(tokenizer), zstandard.ZstdDecompressor()
+        enc = encoder(tokenizer)
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = pa.array([unzip.decompress(z) for z in b.column("z").to_pylist()], pa.large_binary())
-            ids, ends = enc.encode(texts.cast(pa.large_string()).cast(pa.string()))
+            ids, ends = enc.encode(pa.array(unzip_texts(b.column("z")), pa.binary()).cast(pa.string()))
             rows = []
             for i in range(b.num_rows):
                 own = ids[ends[i]:ends[i + 1]]
@@ -163,16 +161,6 @@ def _encode(tokenizer: str, eos: int | None):
     return run
 
 
-def _zip(batches):
-    import zstandard
-    z = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("h"),
-             pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())],
-            names=["doc_id", "h", "z"])
-
-
 def _dtype(tokenizer: str):
     return encoder(tokenizer).dtype
 
@@ -238,7 +226,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, i
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"),
                       F.col(text_col).alias("text"))
-    z = src.mapInArrow(_zip, "doc_id long, h long, z binary")
+    z = src.mapInArrow(zip_texts("doc_id", "h"), "doc_id long, h long, z binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = z.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     stage_path = scratch_path(spark, "token-ids")

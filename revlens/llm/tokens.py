@@ -186,31 +186,41 @@ def encoder(path: str) -> TextEncoder:
     return worker_state(("encoder", path), lambda: TextEncoder(path))
 
 
-class TokenBytes:
-    """The bytes of every id of a byte-level tokenizer, for decoding in bulk."""
+class Pool:
+    """Byte strings by number, joined in bulk."""
 
-    def __init__(self, path: str):
-        tok = Tokenizer.from_file(path)
-        shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
-        hidden = [b for b in range(256) if b not in set(shown)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        vocab = tok.get_vocab(with_added_tokens=True)
-        parts = [b""] * (max(vocab.values()) + 1)
-        for s, i in vocab.items():
-            # a character that stands for no byte makes the library use the token's own text
-            parts[i] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
+    def __init__(self, parts: list[bytes]):
         self.lens = np.fromiter(map(len, parts), np.int64, len(parts))
         self.starts = np.cumsum(self.lens) - self.lens
-        self.pool = np.frombuffer(b"".join(parts), np.uint8)
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
 
     def join(self, ids: np.ndarray):
         """(bytes of all ids in order, end of each id's bytes)."""
         lens = self.lens[ids]
         stops = np.cumsum(lens)
         total = int(stops[-1]) if len(stops) else 0
-        data = self.pool[np.repeat(self.starts[ids] - (stops - lens), lens) + np.arange(total)]
-        return data, stops
+        return self.data[np.repeat(self.starts[ids] - (stops - lens), lens) + np.arange(total)], stops
+
+
+def _token_bytes(path: str) -> Pool:
+    tok = Tokenizer.from_file(path)
+    shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocab = tok.get_vocab(with_added_tokens=True)
+    parts = [b""] * (max(vocab.values()) + 1)
+    for s, i in vocab.items():
+        # a character that stands for no byte makes the library use the token's own text
+        parts[i] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
+    return Pool(parts)
+
+
+def token_bytes(path: str) -> Pool:
+    """The bytes of every id of a byte-level tokenizer, for decoding in bulk."""
+    return worker_state(("token_bytes", path), lambda: _token_bytes(path))
 
 
-def token_bytes(path: str) -> TokenBytes:
-    return worker_state(("token_bytes", path), lambda: TokenBytes(path))
+def id_decimals(path: str) -> Pool:
+    """Every id in decimal with a comma."""
+    n = encoder(path).tok.get_vocab_size()
+    return worker_state(("decimals", path), lambda: Pool([b"%d," % i for i in range(n)]))
