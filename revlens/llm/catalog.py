@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe_chunks import op8_bpe_chunks
 from .packing import op4_packing
+from .quality_rules import op3_quality_rules
 from .token_file import op10_token_file
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op8_bpe_chunks": op8_bpe_chunks,
     "op10_token_file": op10_token_file,
