@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from .bpe_chunks import op8_bpe_chunks
+from .licenses import op9_license_scan
+from .licenses import oracle_sql as license_sql
 from .packing import op4_packing
+from .pii import op6_pii
 from .quality_rules import op3_quality_rules
 from .token_file import op10_token_file
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op6_pii": op6_pii,
     "op8_bpe_chunks": op8_bpe_chunks,
+    "op9_license_scan": op9_license_scan,
     "op10_token_file": op10_token_file,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_license_scan": license_sql()}
 
 
 def queries():
