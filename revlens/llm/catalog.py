@@ -8,12 +8,14 @@ from .licenses import oracle_sql as license_sql
 from .packing import op4_packing
 from .pii import op6_pii
 from .quality_rules import op3_quality_rules
+from .sentence_spans import op5_sentence_spans
 from .simhash import op7_simhash
 from .token_file import op10_token_file
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_bpe_chunks": op8_bpe_chunks,
