@@ -8,12 +8,14 @@ from .licenses import oracle_sql as license_sql
 from .packing import op4_packing
 from .pii import op6_pii
 from .product_quantiser import op2_product_quantiser
+from .quality_classifier import op1_quality_classifier
 from .quality_rules import op3_quality_rules
 from .sentence_spans import op5_sentence_spans
 from .simhash import op7_simhash
 from .token_file import op10_token_file
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_product_quantiser": op2_product_quantiser,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
