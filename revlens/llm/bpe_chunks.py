@@ -60,7 +60,7 @@ def chunk_ends(texts: list[bytes]) -> list[list[int]]:
         edge = 0
         for t in part:
             stop, last, ends = edge + len(t), edge, []
-            for p in at[np.searchsorted(at, edge):np.searchsorted(at, stop)].tolist():
+            for p in at[np.searchsorted(at, edge + WINDOW):np.searchsorted(at, stop)].tolist():   # windows inside t
                 while p - last > MAX_CHUNK:
                     last = _char_start(start_of_char, last + MAX_CHUNK)
                     ends.append(last - edge)

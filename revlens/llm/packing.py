@@ -124,7 +124,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order_cols=("doc_id", "piece")):
-    """Place every row of ``pieces`` (lengths 1 to ``capacity``): adds ``sequence_id`` and ``offset``.
+    """Place every row of ``pieces`` (lengths 1 to ``capacity``): adds ``sequence_id`` and ``offset`` (with an
+    underscore where such a name is taken).
 
     ``pieces`` is read several times, so pass a stored table. Ranks among equal lengths are taken in hash buckets of
     about RANK_ROWS rows, whose sizes are added up, so a length that many pieces share is not one task's work. Equal
@@ -140,23 +141,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     # plan rows are found by rank: a length's ranges lie end to end, numbered by where they begin
     plan = spark.createDataFrame(rows, "p_length long, r_from long, r_to long, copies long, first_offset long, "
                                        "first_bin long")
-    salt, rank, before = (fresh(pieces, n) for n in ("salt", "rank", "rows_before"))
-    order = [F.col(c) for c in order_cols]
-    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy(length_col, salt).count()
-    upto = Window.partitionBy(length_col).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(length_col).alias("s_length"), F.col(salt).alias("s_salt"),
-                         F.coalesce(F.sum("count").over(upto), F.lit(0)).alias(before))
-    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, salt).orderBy(*order)) - 1)
-    ranked = ranked.join(sizes, (F.col(length_col) == F.col("s_length")) & (F.col(salt) == F.col("s_salt"))) \
-        .withColumn(rank, F.col(rank) + F.col(before))
-    placed = ranked.join(F.broadcast(plan), (F.col(length_col) == F.col("p_length")) & (F.col(rank) >= F.col("r_from"))
-                         & (F.col(rank) < F.col("r_to")))
-    nth = F.col(rank) - F.col("r_from")
+    # working names by position, so that no column of the caller's clashes with those made here
+    names = [f"c{i}" for i in range(len(pieces.columns))]
+    at = {c.lower(): n for n, c in zip(names, pieces.columns)}
+    length, order = at[length_col.lower()], [at[c.lower()] for c in order_cols]
+    salted = pieces.toDF(*names).withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy(length, "salt").count()
+    upto = Window.partitionBy(length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(length).alias("s_length"), F.col("salt").alias("s_salt"),
+                         F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy(length, "salt").orderBy(*order)) - 1)
+    ranked = ranked.join(sizes, (F.col(length) == F.col("s_length")) & (F.col("salt") == F.col("s_salt"))) \
+        .withColumn("rank", F.col("nth") + F.col("before"))
+    placed = ranked.join(F.broadcast(plan), (F.col(length) == F.col("p_length")) & (F.col("rank") >= F.col("r_from"))
+                         & (F.col("rank") < F.col("r_to")))
+    nth = F.col("rank") - F.col("r_from")
     return placed.select(
-        *[F.col(c) for c in pieces.columns],
-        (F.col("first_bin") + F.floor(nth / F.col("copies"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + (nth % F.col("copies")) * F.col(length_col)).cast("long").alias("offset"))
+        *names, (F.col("first_bin") + F.floor(nth / F.col("copies"))).cast("long").alias("sequence_id"),
+        (F.col("first_offset") + (nth % F.col("copies")) * F.col(length)).cast("long").alias("offset")) \
+        .toDF(*pieces.columns, fresh(pieces, "sequence_id"), fresh(pieces, "offset"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
