@@ -26,7 +26,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3,5}\)?[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9.-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3,5}\)?[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9-]|\.[0-9])")
 
 # Words near a span that speak for its kind. Fixed values.
 CONTEXT = {
