@@ -28,10 +28,13 @@ def grade_to_label(c, is_string: bool = False) -> Column:
     """0–2 → 0, 3 → 1, any other integer → 2; unparsable or NULL → 1.
 
     Strings parse as Python ``int(text)`` would (so ``'4.0'`` is unparsable);
-    numbers truncate toward zero like ``int(4.7)``.
+    numbers truncate toward zero like ``int(4.7)``. Integers of any length
+    count: digits beyond 64 bits are some "other integer".
     """
-    g = _col(c).try_cast("int")
-    return (F.when(g.isNull(), F.lit(1))
+    x = _col(c)
+    g = x.try_cast("bigint")
+    beyond = g.isNull() & x.cast("string").rlike(r"^\s*[+-]?[0-9]{19,}\s*\z")
+    return (F.when(beyond, F.lit(2)).when(g.isNull(), F.lit(1))
             .when(g.isin(0, 1, 2), F.lit(0))
             .when(g == 3, F.lit(1))
             .otherwise(F.lit(2)))

@@ -171,6 +171,7 @@ def extract_between(c, start: str = TITLE_START, end: str = TITLE_END, default:
 
 
 def parse_digits(c) -> Column:
-    """Integer value of an all-ASCII-digit string (after stripping), else NULL."""
+    """Value of an all-ASCII-digit string (after stripping) as a long, else
+    NULL; so is a number beyond 64 bits, which no column here can hold."""
     t = strip_ws(_col(c))
-    return F.when(t.rlike(r"^[0-9]+\z"), t.try_cast("int"))
+    return F.when(t.rlike(r"^[0-9]+\z"), t.try_cast("bigint"))

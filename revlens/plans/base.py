@@ -99,7 +99,7 @@ def sql_label(n="NEGATIVE", u="NEUTRAL", p="POSITIVE", cut="0.75") -> str:
 
 
 def sql_grade_label(g: str) -> str:
-    gi = f"TRY_CAST({g} AS INTEGER)"
+    gi = f"TRY_CAST({g} AS BIGINT)"
     return (f"CASE WHEN {gi} IS NULL THEN 1 WHEN {gi} IN (0, 1, 2) THEN 0 WHEN {gi} = 3 THEN 1 ELSE 2 END")
 
 

@@ -203,7 +203,7 @@ _SEG_RX = "/([^/?#]*)([?#].*)?$"
 
 @register("parse_digits", f"""
 SELECT page_id, seg AS segment,
-       CASE WHEN regexp_matches({sql_strip('seg')}, '^[0-9]+$') THEN TRY_CAST({sql_strip('seg')} AS INTEGER) END AS digits
+       CASE WHEN regexp_matches({sql_strip('seg')}, '^[0-9]+$') THEN TRY_CAST({sql_strip('seg')} AS BIGINT) END AS digits
 FROM (SELECT page_id, regexp_extract(url, '{_SEG_RX}', 1) AS seg FROM pages) t""")
 def q_parse_digits(spark, sf):
     seg = F.regexp_extract(F.col("url"), _SEG_RX, 1)

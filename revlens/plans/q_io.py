@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.extract import extract_pages
+from ..operators.extract import GROUP_FIELDS, extract_pages
 from ..operators.filters import filter_unknown_bank
 from ..schemas import HEADER_NAMES, REVIEWS
 from ..session import scratch_path
@@ -88,39 +88,69 @@ def q_ingest_summary(spark, sf):
 
 
 # ----------------------------------------------------------------- extraction
-def _pages(spark, sf):
-    return extract_pages(table(spark, sf, "pages"))
+def _pages(spark, sf, *fields):
+    return extract_pages(table(spark, sf, "pages"), fields=fields)
 
 
 _DECODE = [("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"),
            ("&nbsp;", " "), ("&amp;", "&")]
 
 
-def _sql_title(html: str = "html") -> str:
-    t = f"regexp_extract({html}, '(?s)<title[^>]*>(.*?)</title>', 1)"
+def _sql_decode(t: str) -> str:
     for ent, ch in _DECODE:
         t = f"replace({t}, '{ent}', '{ch}')"
+    return t
+
+
+def _sql_text(inner: str) -> str:
+    """Text of an element's inner HTML: line breaks kept, tags dropped, entities decoded, stripped."""
+    return sql_strip(_sql_decode(f"regexp_replace(replace({inner}, '<br>', chr(10)), '<[^>]*>', '', 'g')"))
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+# a paragraph begins at <p> and ends at the next <p> or </p>
+_PARAGRAPHS = (f"list_transform(string_split({_ARTICLE}, '<p>')[2:], "
+               f"lambda x: {_sql_text('regexp_replace(x, $$(?s)</p>.*$$, $$$$)')} || ' ')")
+
+
+def _sql_title(html: str = "html") -> str:
+    t = _sql_decode(f"regexp_extract({html}, '(?s)<title[^>]*>(.*?)</title>', 1)")
     return f"CASE WHEN regexp_matches({html}, '(?s)<title[^>]*>.*?</title>') THEN {sql_strip(t)} ELSE 'No title' END"
 
 
 @register("extract_title", f"SELECT page_id, {_sql_title()} AS title FROM pages")
 def q_extract_title(spark, sf):
-    return _pages(spark, sf).select("page_id", "title")
+    return _pages(spark, sf, "title").select("page_id", "title")
 
 
-@register("extract_paragraphs", None, note="paragraph text needs an HTML tokenizer; rows-only check")
+@register("extract_paragraphs", f"SELECT page_id, CASE WHEN html LIKE '%<article%' THEN array_to_string({_PARAGRAPHS}, '') "
+          "ELSE '' END AS review FROM pages")
 def q_extract_paragraphs(spark, sf):
-    return _pages(spark, sf).select("page_id", "review")
+    return _pages(spark, sf, "review").select("page_id", "review")
 
 
-@register("extract_class_rating", None, note="no generated page carries rating marks; hand-made rows in tests")
+@register("extract_class_rating", "SELECT page_id, CASE WHEN page_id % 7 < 6 THEN page_id * 1000003 ELSE 0 END AS grade, "
+          "page_id % 7 BETWEEN 1 AND 5 AS grade_accepted FROM pages WHERE html LIKE '%<article%'")
 def q_extract_class_rating(spark, sf):
-    return _pages(spark, sf).select("page_id", "grade", "grade_accepted")
+    # the stored pages carry no rating mark: one is put into each article, with a step and a value from the page id
+    p = F.col("page_id")
+    mark = F.concat(F.lit('<div class="x grade-'), (p % 7).cast("string"), F.lit('"> '),
+                    (p * 1000003).cast("string"), F.lit(" </div></article>"))
+    pages = table(spark, sf, "pages").withColumn("html", F.replace(F.col("html"), F.lit("</article>"), mark))
+    rec = extract_pages(pages, {"rating_prefix": "div[class^='x grade-{i}']"}, fields=["grade", "grade_accepted"])
+    return rec.where("status = 'good'").select("page_id", "grade", "grade_accepted")
+
+
+def _sql_element(tag: str) -> str:
+    return (f"CASE WHEN html LIKE '%<{tag}%' THEN "
+            + _sql_text(f"regexp_extract(html, '(?s)<{tag}[^>]*>(.*?)</{tag}>', 1)") + " ELSE 'Unknown' END")
 
 
-@register("extract_text_default", None, note="element text with defaults; rows-only check")
+@register("extract_text_default", f"SELECT page_id, {_sql_element('h1')} AS product, {_sql_element('footer')} AS city, "
+          "'0' AS date FROM pages WHERE html LIKE '%<article%'")
 def q_extract_text_default(spark, sf):
-    return _pages(spark, sf).select("page_id", "product", "city", "date")
+    rec = _pages(spark, sf, "product", "city", "date").where("status = 'good'")
+    return rec.select("page_id", "product", "city", "date")
 
 
 def _sql_between(t: str, a: str, b: str, default: str = "Unknown") -> str:
@@ -138,13 +168,14 @@ _MARKS = ("***", "###")
           f"FROM (SELECT page_id, {_sql_title()} AS title FROM pages) t")
 def q_extract_between(spark, sf):
     from ..functions import extract_between
-    return _pages(spark, sf).select("page_id", extract_between(F.col("title"), *_MARKS).alias("between_marks"))
+    return _pages(spark, sf, "title").select("page_id", extract_between(F.col("title"), *_MARKS).alias("between_marks"))
 
 
 @register("filter_unknown_bank", f"SELECT page_id, bank FROM (SELECT page_id, {_sql_between('title', *_MARKS)} AS bank "
           f"FROM (SELECT page_id, {_sql_title()} AS title FROM pages) t) u WHERE bank IS DISTINCT FROM 'Unknown'")
 def q_filter_unknown_bank(spark, sf):
-    recs = extract_pages(table(spark, sf, "pages"), title_start=_MARKS[0], title_end=_MARKS[1])
+    recs = extract_pages(table(spark, sf, "pages"), title_start=_MARKS[0], title_end=_MARKS[1],
+                         fields=["bank"])
     return filter_unknown_bank(recs).select("page_id", "bank")
 
 
@@ -152,7 +183,7 @@ def q_filter_unknown_bank(spark, sf):
 SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<li[ >]')) AS INTEGER)
          AS group_1, 0 AS group_2, 0 AS group_3, 0 AS group_4 FROM pages""")
 def q_extract_group_counts(spark, sf):
-    return _pages(spark, sf).select("page_id", F.col("clear_conditions").alias("group_1"),
+    return _pages(spark, sf, *GROUP_FIELDS).select("page_id", F.col("clear_conditions").alias("group_1"),
                                     F.col("polite_employee").alias("group_2"), F.col("availability").alias("group_3"),
                                     F.col("convenience").alias("group_4"))
 
@@ -161,7 +192,7 @@ def q_extract_group_counts(spark, sf):
 SELECT CASE WHEN html IS NULL OR html = '' THEN 'Error:No content' WHEN html LIKE '%<article%' THEN 'good'
             ELSE 'Error:no element matches article' END AS status, count(*) AS "count" FROM pages GROUP BY 1""")
 def q_extract_status(spark, sf):
-    return _pages(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("count"))
+    return _pages(spark, sf, "status").groupBy("status").agg(F.count(F.lit(1)).alias("count"))
 
 
 # ----------------------------------------------------------------- streaming

@@ -68,7 +68,8 @@ def _writer(df: DataFrame, mode: str):
     w = df.write.mode(mode)
     for k in ("header", "quote", "escape"):
         w = w.option(k, _CSV_OPTS[k])
-    return w
+    # the writer's defaults would trim blanks off every text
+    return w.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
 
 
 def sink_csv_append(df: DataFrame, path: str) -> str:

@@ -4,12 +4,13 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.operators.extract import extract_pages, extract_record, DEFAULT_RULES
 from revlens.schemas import REVIEWS
 from revlens.session import local_fs_path, scratch_path
 from revlens.sources import page_batches, page_url_range, scan_csv
-from revlens.sources.files import NA_TOKENS
+from revlens.sources.files import NA_TOKENS, sink_csv_overwrite
 
 RATED = """<html><head><title> Банк – отзыв о вкладе от клиента &amp; Co </title></head><body>
 <div class="rate"><div class="rating-grade rating-grade--color-0 x">n/a</div>
@@ -20,7 +21,7 @@ RATED = """<html><head><title> Банк – отзыв о вкладе от кл
 <span class="town">Москва</span></body></html>"""
 
 RULES = dict(DEFAULT_RULES, rating_container="div.rate", date="span.when", product="h2.prod", group="div.grp",
-             group_mark="i.m", city="span.town")
+             group_mark="i.m", city="span.town", rating_prefix="div[class^='rating-grade rating-grade--color-{i}']")
 
 
 def test_extract_record_fields():
@@ -46,6 +47,45 @@ def test_extract_record_defaults_and_errors():
     assert r["review"] == "a "
 
 
+def test_selectors_of_several_classes_compile_once():
+    page = "<article><div class='a b c'><p>in</p></div><div class='a'><p>out</p></div></article>"
+    rules = dict(DEFAULT_RULES, review_container="div.a.b")
+    assert extract_record(page, rules)["review"] == "in "
+    with pytest.raises(ValueError, match="unsupported selector"):
+        extract_pages(None, {"title": "a > b"})
+    with pytest.raises(ValueError, match="empty selector"):
+        extract_pages(None, {"title": ""})
+
+
+def test_deep_pages_keep_their_text():
+    deep = "<article>" + "<div><b>" * 3000 + "<p>kept</p>" + "</article>"
+    r = extract_record(deep, DEFAULT_RULES)
+    assert (r["status"], r["review"]) == ("good", "kept ")
+
+
+def test_ratings_of_any_length(spark):
+    page = "<article><div class='grade-2'>{}</div></article>"
+    pages = spark.createDataFrame([(1, "u", page.format("0" * 30 + "99999999999")), (2, "u", page.format("9" * 25)),
+                                   (3, "u", page.format("5"))], "page_id long, url string, html string")
+    got = {r.page_id: r for r in extract_pages(pages).collect()}
+    assert got[1].grade == 99999999999 and got[3].grade == 5
+    assert got[2].status.startswith("Error:rating out of range")
+
+
+def test_only_the_fields_asked_for():
+    r = extract_record("<title>t</title><article><p>x</p></article>", DEFAULT_RULES, ["title"])
+    assert "review" not in r and r["title"] == "t" and r["status"] == "good"
+
+
+def test_csv_round_trip_keeps_blanks(spark):
+    texts = [" lead", "trail ", " both, comma ", "tab\t", "line\nbreak ", 'quote " here', "back\\slash"]
+    path = sink_csv_overwrite(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"),
+                              scratch_path(spark, "blank-csv"))
+    back = {r.i: r.t for r in scan_csv(spark, path, T.StructType([T.StructField("i", T.IntegerType()),
+                                                                  T.StructField("t", T.StringType())])).collect()}
+    assert [back[i] for i in range(len(texts))] == texts
+
+
 def test_extract_pages_job(spark):
     pages = spark.createDataFrame([(1, "u1", RATED), (2, "u2", None), (3, "u3", "<p>broken")],
                                   "page_id long, url string, html string")
