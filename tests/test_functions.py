@@ -123,7 +123,27 @@ def test_native_tails_match_python(spark):
     df = spark.createDataFrame(rows, "x double, k long")
     for r in df.select("x", "k", chi2_sf_col(F.col("x"), F.col("k")).alias("p")).collect():
         want = chi2_sf(r.x, r.k)
-        assert (r.p is None and want is None) or r.p == pytest.approx(want, abs=1e-12), (r, want)
+        assert (r.p is None and want is None) or r.p == pytest.approx(want, rel=1e-9), (r, want)
+
+
+def test_tails_keep_their_digits(spark):
+    zs = [-30.0, -9.0, -0.3, 0.0, 0.3, 0.99, 1.0, 1.4142, 1.5, 3.0, 9.0, 20.0, 37.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", norm_sf_col(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(norm_sf(r.z), rel=1e-9)
+    cases = [(x, k) for k in (1, 2, 3, 4, 9, 10, 21, 50, 200, 999) for x in (0.5, k * 0.9, k * 1.05, k * 1.5, k * 3 + 30.0, 90.0)]
+    got = spark.createDataFrame([(float(x), k) for x, k in cases], "x double, k long") \
+        .select("x", "k", chi2_sf_col(F.col("x"), F.col("k")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(chi2_sf(r.x, r.k), rel=1e-9), r
+
+
+def test_very_many_degrees_of_freedom(spark):
+    """Where the normal law takes over, the tail goes on smoothly; one step of dof moves it by its derivative."""
+    rows = [(2e8 + 1e5, 199_999_998), (2e8 + 1e5, 200_000_000), (2e8 + 1e5, 200_000_002), (6e9, 6_000_000_000)]
+    p = [r.p for r in spark.createDataFrame(rows, "x double, k long")
+         .select(chi2_sf_col(F.col("x"), F.col("k")).alias("p")).collect()]
+    assert p[1] / p[0] == pytest.approx(p[2] / p[1], rel=1e-6) and 0.4999 < p[3] < 0.5
     zs = [None, float("nan"), -9.0, -1.96, -0.3, 0.0, 0.7, 1.6448536269514722, 3.0, 7.5, 40.0]
     dz = spark.createDataFrame([(z,) for z in zs], "z double")
     for r in dz.select("z", norm_sf_col(F.col("z")).alias("p")).collect():

@@ -1,5 +1,6 @@
 """Operators on small hand-made frames: NULL logic, ties, empty input, repartitioning."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,32 @@ def test_chi_square_3x3(spark):
     assert out.dof == 4 and out.p_value == pytest.approx(5.7e-05, abs=1e-6) and out.reject_h0
 
 
+def test_chi_square_without_rows_gives_none(spark):
+    empty = spark.createDataFrame([("a", None), (None, "b")], "r string, c string")
+    assert ST.chi_square(empty, "r", "c").count() == 0
+    assert ST.contingency_cells(empty, "r", "c").count() == 0
+
+
+@pytest.mark.parametrize("table", [[[5, 0], [3, 9]], [[5, 0], [0, 9]], [[4, 0, 2], [0, 7, 1], [3, 3, 0]], [[1, 2, 3, 4]],
+                                   [[10, 20, 30], [0, 0, 5]]])
+def test_chi_square_with_empty_cells_equals_the_full_grid(spark, table):
+    rows = [(f"r{i}", f"c{j}") for i, line in enumerate(table) for j, n in enumerate(line) for _ in range(n)]
+    out = ST.chi_square(spark.createDataFrame(rows, "r string, c string"), "r", "c").first()
+    t = np.array(table, float)
+    e = t.sum(1)[:, None] * t.sum(0)[None] / t.sum()
+    dof = (t.shape[0] - 1) * (t.shape[1] - 1)
+    d = np.abs(t - e) - (np.minimum(0.5, np.abs(t - e)) if dof == 1 else 0)
+    assert out.dof == dof and out.expected_low == bool((e < 5).any())
+    assert out.statistic == pytest.approx((d ** 2 / e).sum() if dof else 0.0, rel=1e-9)
+
+
+def test_contingency_grid_of_any_width(spark, monkeypatch):
+    monkeypatch.setattr(ST, "LABELS_PER_ARRAY", 3)
+    df = spark.range(60).select(F.concat(F.lit("r"), F.col("id") % 4).alias("r"), F.concat(F.lit("c"), F.col("id") % 15).alias("c"))
+    cells = ST.contingency_cells(df, "r", "c").collect()
+    assert len(cells) == 60 and sum(c.observed for c in cells) == 60
+
+
 def test_chi_square_single_row_and_yates(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y")], "r string, c string")
     out = ST.chi_square(df, "r", "c").first()
