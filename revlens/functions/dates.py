@@ -31,6 +31,22 @@ def parse_review_date(c) -> Column:
     return F.try_make_timestamp_ntz(part(3), part(2), part(1), part(4), part(5), F.lit(0))
 
 
+def _digits(x: Column, width: int) -> Column:
+    return F.lpad(x.cast("string"), width, "0")
+
+
+def weekday_name(ts) -> Column:
+    """English weekday from the calendar date (``date_format`` would go through the session time zone)."""
+    return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.weekday(_col(ts)) + 1)
+
+
+def review_date_text(ts) -> Column:
+    """``DD.MM.YYYY HH:MM``, the inverse of ``parse_review_date``, from the wall-clock parts."""
+    t = _col(ts)
+    return F.concat(_digits(F.dayofmonth(t), 2), F.lit("."), _digits(F.month(t), 2), F.lit("."), _digits(F.year(t), 4),
+                    F.lit(" "), _digits(F.hour(t), 2), F.lit(":"), _digits(F.minute(t), 2))
+
+
 def trunc_month(ts) -> Column:
     return F.trunc(F.to_date(_col(ts)), "MM").cast("timestamp_ntz")
 
@@ -50,11 +66,14 @@ def date_parts(ts) -> dict[str, Column]:
     return {
         "month": trunc_month(t),
         "year": F.year(t),
-        "day_name": F.date_format(t, "EEEE"),
+        "day_name": weekday_name(t),
         "hour": F.hour(t),
     }
 
 
 def format_datetime_local(ts) -> Column:
     """``YYYY-MM-DDTHH:MM``; NULL → ''."""
-    return F.coalesce(F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm"), F.lit(""))
+    t = _col(ts)
+    text = F.concat(_digits(F.year(t), 4), F.lit("-"), _digits(F.month(t), 2), F.lit("-"), _digits(F.dayofmonth(t), 2),
+                    F.lit("T"), _digits(F.hour(t), 2), F.lit(":"), _digits(F.minute(t), 2))
+    return F.coalesce(text, F.lit(""))

@@ -29,8 +29,19 @@ def _is_missing(df: DataFrame, c: str) -> Column:
     return F.col(c).isNull()
 
 
-def row_count(df: DataFrame) -> Column:
-    return df.select(F.count(F.lit(1))).scalar()
+def _number(df: DataFrame, c: str) -> Column:
+    """The column as double; NaN counts as missing in every statistic."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x
+
+
+def _counts_of_all(df: DataFrame, key: str, name: str = "count"):
+    """(rows per non-NULL key, number of all rows), from one pass: the NULL
+    group is counted too and left out afterwards, by a flag that is part of the
+    aggregate, so that both uses share one exchange."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name), F.max(F.col(key).isNotNull()).alias("_known"))
+    total = counts.agg(F.sum(F.when(F.col("_known").isNotNull(), F.col(name)))).scalar()
+    return counts.where("_known").drop("_known"), total
 
 
 def value_counts(df: DataFrame, col: str, count_name: str = "count") -> DataFrame:
@@ -86,8 +97,7 @@ def top_k_other(df: DataFrame, col: str, k: int = 15, other: str = "Other") -> D
 def top_k_coverage(df: DataFrame, col: str, k: int) -> DataFrame:
     """Top ``k`` values, each with rank and % of all rows (NULL included in the
     base), plus the share of all rows the top ``k`` cover together."""
-    n_all = row_count(df)
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    counts, n_all = _counts_of_all(df, col)
     top = top_k_sorted(counts, "count", col, k)
     in_top = top.select(F.sum("count")).scalar()
     return (number_top(top, "count", col)
@@ -120,7 +130,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], approx_accuracy: int |
     method = method or ("approx" if approx_accuracy is not None else "map")
     if method == "bucketed":
         from .quantiles import exact_quantiles
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _number(df, c).alias("v"))
                                               for c in cols])))
         moments = long.groupBy("column").agg(
             F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
@@ -130,7 +140,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], approx_accuracy: int |
             "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     aggs, structs = [], []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _number(df, c)
         if method == "map":
             q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         else:
@@ -208,9 +218,8 @@ def mean_scores_by_grade(df: DataFrame, grade: str = "grade",
 
 def grade_distribution(df: DataFrame, grade: str = "grade") -> DataFrame:
     """Count and % of all rows per grade, ascending."""
-    n_all = row_count(df)
-    return (df.where(F.col(grade).isNotNull()).groupBy(grade).agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("pct", _pct(F.col("count"), n_all)).orderBy(grade))
+    counts, n_all = _counts_of_all(df, grade)
+    return counts.withColumn("pct", _pct(F.col("count"), n_all)).orderBy(grade)
 
 
 def satisfaction_levels(df: DataFrame, grade: str = "grade", high: float = 4, low: float = 2) -> DataFrame:
@@ -239,9 +248,9 @@ def date_bounds(df: DataFrame, ts: str) -> DataFrame:
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Count and % per class label, with its name."""
-    n_all = row_count(df)
-    return (df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("pct", _pct(F.col("count"), n_all))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+    n_all = counts.agg(F.sum("count")).scalar()
+    return (counts.withColumn("pct", _pct(F.col("count"), n_all))
             .withColumn("label_name", label_name(F.col(label))).orderBy(label))
 
 
@@ -270,9 +279,7 @@ def binned_distribution(df: DataFrame, value: Column, edges: Sequence[float] = C
     join that restores empty bins is against a fixed, tiny side.
     """
     spark = df.sparkSession
-    n_all = row_count(df)
-    counts = (df.select(assign_bin(value, edges).alias("bin")).where(F.col("bin").isNotNull())
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    counts, n_all = _counts_of_all(df.select(assign_bin(value, edges).alias("bin")), "bin")
     bins = spark.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(len(edges) - 1)],
                                  "bin int, bin_lo double, bin_hi double")
     return (bins.join(counts, on="bin", how="left")
@@ -299,7 +306,7 @@ def histogram_equal_width(df: DataFrame, col: str, bins: int = 20, median_method
 
     Bin index = least(floor((x − lo) · (k / (hi − lo))), k − 1).
     """
-    s = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    s = df.select(_number(df, col).alias("_x")).where(F.col("_x").isNotNull())
     if median_method == "bucketed":
         from .quantiles import exact_quantiles
         st = _stats(s, mn=F.min("_x"), mx=F.max("_x"), mean=F.avg("_x"))
@@ -340,8 +347,7 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5) -> Data
     as n^(−1/5), far fewer rows at scale. A column with zero variance has no
     curve (no rows).
     """
-    x = F.col(col).cast("double")
-    s = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    s = df.select(_number(df, col).alias("_x")).where(F.col("_x").isNotNull())
     st = _stats(s, n=F.count(F.lit(1)), mn=F.min("_x"), mx=F.max("_x"), sd=F.stddev_samp("_x"))
     n, mn, mx, sd = st["n"], st["mn"], st["mx"], st["sd"]
     bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
@@ -367,13 +373,13 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5) -> Data
 def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
               approx_accuracy: int | None = None, method: str | None = None) -> DataFrame:
     """Per group: quartiles (linear interpolation), whiskers = most extreme data
-    within ``whis``·IQR of the box, and the outlier count.
+    within ``whis``·IQR of the box (never inside it), and the outlier count.
 
     Quartiles are one grouped aggregate; joining them back (one row per group,
     measured and broadcast when small) lets a second aggregate find whiskers
     and outliers, so no group is ever gathered into a single task.
     """
-    base = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")) \
+    base = df.select(F.col(group).alias("_g"), _number(df, value).alias("_v")) \
              .where(F.col("_g").isNotNull() & F.col("_v").isNotNull())
     method = method or ("approx" if approx_accuracy is not None else "map")
     if method == "bucketed":
@@ -392,8 +398,8 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5,
     v = F.col("_v")
     j = join_small(base, quart, on="_g")
     out = j.groupBy("_g", "n", "q1", "median", "q3").agg(
-        F.min(F.when(v >= lo_lim, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi_lim, v)).alias("whisker_high"),
+        F.least(F.col("q1"), F.min(F.when(v >= lo_lim, v))).alias("whisker_low"),
+        F.greatest(F.col("q3"), F.max(F.when(v <= hi_lim, v))).alias("whisker_high"),
         F.count_if((v < lo_lim) | (v > hi_lim)).alias("outliers"))
     return out.withColumnRenamed("_g", group).orderBy(group)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,24 +61,29 @@ def sort_by_key(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def reverse_order(df: DataFrame, *cols: str) -> DataFrame:
-    """Ascending order of a ranked result, for display."""
+    """Ascending order of a ranked result, for display; name the key last, so ties have one order."""
     return df.orderBy(*[F.col(c).asc() for c in cols])
 
 
+def number_shown(df: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a small sorted result (a top list, a table of classes) with
+    their places 1, 2, … as a column, so that the order survives a sink."""
+    rows = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return (df.coalesce(1).agg(rows.alias("_rows")).select(F.posexplode("_rows").alias("_at", "_row"))
+            .select("_row.*", (F.col("_at") + 1).cast("int").alias(name)))
+
+
 def dedup_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per ``key`` value: the one with the smallest ``order`` (a unique id).
 
-    ``min_by`` is a partial aggregate, so copies collapse map-side before the
-    shuffle: a text repeated in a third of all rows still ships one row per task.
-    Each column is its own ``min_by`` over the same unique ``order``, so all
-    values come from the same row, and Catalyst drops the aggregates (and the
-    scans and joins behind them) of columns the caller never reads.
+    Grouped by a 256-bit digest of the key with the smallest id as a plain hash
+    aggregate, so copies collapse map-side and a long text is neither sorted nor
+    used as a shuffle key; the rows kept are then found by a semi join on the
+    unique id. NULL keys are one group.
     """
-    rest = [c for c in df.columns if c != key]
-    aggs = [(F.min(F.col(f"`{order}`")) if c == order else F.min_by(F.col(f"`{c}`"), F.col(f"`{order}`"))).alias(c)
-            for c in rest]
-    kept = df.where(F.col(f"`{order}`").isNotNull()).groupBy(key).agg(*aggs)
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    first = (df.where(F.col(f"`{order}`").isNotNull()).groupBy(F.sha2(F.col(f"`{key}`").cast("string"), 256).alias("_d"))
+             .agg(F.min(F.col(f"`{order}`")).alias("_first")).select("_first"))
+    return df.join(first, F.col(f"`{order}`") == F.col("_first"), "left_semi")
 
 
 def distinct_options(df: DataFrame, col: str, all_value: str = "All", name: str = "option") -> DataFrame:
@@ -143,20 +148,16 @@ def join_scores(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     return df.join(scores, on=key, how="left")
 
 
-def rename_map(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(mapping))
-
-
-def _width(t) -> int:
-    """Rough in-memory bytes of one value (strings and nested values assumed short)."""
+def _bytes_of(field) -> Column:
+    """Bytes of one value as stored in a row: 8 for fixed widths, the measured length of anything else."""
     from pyspark.sql import types as T
-    if isinstance(t, (T.BooleanType, T.ByteType)):
-        return 1
-    if isinstance(t, (T.ShortType, T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(t, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
-        return 8
-    return 48
+    fixed = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType,
+             T.TimestampType, T.TimestampNTZType)
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, fixed):
+        return F.lit(8)
+    text = c if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))
+    return F.lit(8) + F.coalesce(F.octet_length(text), F.lit(0))
 
 
 # Byte budget for broadcasting a measured per-key table.
@@ -170,13 +171,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 
     Joining on a low-cardinality key by shuffle would send each hot key's rows
     to one task, so the small side is materialised in the shared checkpoint
-    folder and measured: it is broadcast only when rows × row width fits
-    ``budget_bytes``; beyond that both sides shuffle on the key and AQE splits
+    folder and measured: it is broadcast only when the bytes of its rows (texts
+    by their actual lengths) fit ``budget_bytes``; beyond that both sides shuffle on the key and AQE splits
     skewed partitions.
     """
     from ..session import checkpoint_root
     checkpoint_root(big.sparkSession)
     s = small.checkpoint()
-    width = max(8, sum(_width(f.dataType) for f in s.schema.fields))
-    fits = s.limit(budget_bytes // width + 1).count() * width <= budget_bytes
+    size = sum((_bytes_of(f) for f in s.schema.fields), F.lit(16))
+    fits = (s.agg(F.sum(size.cast("long"))).first()[0] or 0) <= budget_bytes
     return big.join(F.broadcast(s) if fits else s, on=on, how=how)

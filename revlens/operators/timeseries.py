@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import DAY_NAMES, trunc_day, trunc_hour, trunc_month
+from ..functions.dates import DAY_NAMES, trunc_day, trunc_hour, trunc_month, weekday_name
 from .shape import left_join_domain
 
 
@@ -23,7 +23,7 @@ def monthly_mean(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 def weekday_counts(df: DataFrame, ts: str) -> DataFrame:
     """Rows per weekday, Monday..Sunday; a weekday without rows has NULL count."""
-    counts = (df.where(F.col(ts).isNotNull()).groupBy(F.date_format(F.col(ts), "EEEE").alias("day_name"))
+    counts = (df.where(F.col(ts).isNotNull()).groupBy(weekday_name(F.col(ts)).alias("day_name"))
               .agg(F.count(F.lit(1)).alias("count")))
     return left_join_domain(counts, "day_name", DAY_NAMES, order_col="day_index")
 

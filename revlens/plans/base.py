@@ -60,6 +60,11 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
                                                    "ts": parse_review_date(F.col("date"))})
 
 
+def dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews with the parsed time and without class scores: time series read no embedding."""
+    return reviews_standin(spark, sf, scores=False).withColumn("ts", parse_review_date(F.col("date")))
+
+
 def final_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned, labelled table: good status, text present, one row per
     text (earliest id), no contradiction, no untraced label."""

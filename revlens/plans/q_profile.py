@@ -9,7 +9,7 @@ from ..operators import profile as PR
 from ..operators import shape as SH
 from ..operators.stats import contingency_cells
 from ..schemas import RATING_COLS, REVIEWS, SUB_RATING_COLS
-from .base import hypothesis_base, labelled, register, reviews, round_doubles, sql_pct, sql_softmax, table
+from .base import dated, hypothesis_base, labelled, register, reviews, round_doubles, sql_pct, sql_softmax, table
 
 P3 = ("NEGATIVE", "NEUTRAL", "POSITIVE")
 RC = RATING_COLS
@@ -133,9 +133,11 @@ def q_top_k_other(spark, sf):
     return round_doubles(PR.top_k_other(reviews(spark, sf), "bank", 15))
 
 
-@register("reverse_order", _top_other_sql("reviews", "bank", 15), doubles=("pct",))
+@register("reverse_order", f'SELECT *, CAST(row_number() OVER (ORDER BY "count", bank) AS INTEGER) AS position '
+          f'FROM ({_top_other_sql("reviews", "bank", 15)}) t', doubles=("pct",))
 def q_reverse_order(spark, sf):
-    return round_doubles(SH.reverse_order(PR.top_k_other(reviews(spark, sf), "bank", 15), "count"))
+    shown = SH.reverse_order(PR.top_k_other(reviews(spark, sf), "bank", 15), "count", "bank")
+    return round_doubles(SH.number_shown(shown))
 
 
 @register("top_k_coverage", f"""
@@ -240,11 +242,12 @@ def q_grade_distribution(spark, sf):
     return round_doubles(PR.grade_distribution(reviews(spark, sf)))
 
 
-@register("sort_by_key", 'SELECT grade, count(*) AS "count" FROM reviews WHERE grade IS NOT NULL GROUP BY grade')
+@register("sort_by_key", 'SELECT grade, count(*) AS "count", CAST(row_number() OVER (ORDER BY grade) AS INTEGER) AS position '
+          'FROM reviews WHERE grade IS NOT NULL GROUP BY grade')
 def q_sort_by_key(spark, sf):
     r = reviews(spark, sf)
-    return SH.sort_by_key(r.where(F.col("grade").isNotNull()).groupBy("grade").agg(F.count(F.lit(1)).alias("count")),
-                          "grade")
+    counts = r.where(F.col("grade").isNotNull()).groupBy("grade").agg(F.count(F.lit(1)).alias("count"))
+    return SH.number_shown(SH.sort_by_key(counts, "grade"))
 
 
 @register("satisfaction_levels", f"""
@@ -265,7 +268,7 @@ def q_global_kpis(spark, sf):
 
 @register("date_bounds", "SELECT min(ts) AS min_date, max(ts) AS max_date FROM labelled")
 def q_date_bounds(spark, sf):
-    return PR.date_bounds(labelled(spark, sf), "ts")
+    return PR.date_bounds(dated(spark, sf), "ts")
 
 
 _MX = "greatest(NEGATIVE, NEUTRAL, POSITIVE)"
@@ -280,7 +283,7 @@ FROM (SELECT count(*) AS total_reviews, count(*) FILTER (WHERE {_MX} >= 0.8) AS
              CAST(median({_MX}) AS DOUBLE) AS median_confidence FROM reviews) t""",
           doubles=("mean_confidence", "median_confidence", "percent_above_08", "percent_above_075"))
 def q_confidence_summary(spark, sf):
-    return round_doubles(PR.confidence_summary(reviews(spark, sf), max_confidence()))
+    return round_doubles(PR.confidence_summary(reviews(spark, sf), max_confidence(), median_method="bucketed"))
 
 
 _EDGES = [0.0, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0]
@@ -340,8 +343,8 @@ WITH b AS ({src_sql}),
 q AS (SELECT g, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
              quantile_cont(v, 0.75) AS q3 FROM b GROUP BY g)
 SELECT q.g AS variable, q.n, q1, median, q3,
-       min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
-       max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+       least(q1, min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1))) AS whisker_low,
+       greatest(q3, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1))) AS whisker_high,
        count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM b JOIN q ON q.g = b.g GROUP BY q.g, q.n, q1, median, q3"""
 
@@ -393,10 +396,11 @@ def q_rank_rows(spark, sf):
     return SH.rank_rows(counts, "count", "bank", 5)
 
 
-@register("top_k_sorted", 'SELECT city, count(*) AS "count" FROM reviews WHERE city IS NOT NULL GROUP BY city '
-          'ORDER BY "count" DESC, city LIMIT 10')
+@register("top_k_sorted", 'SELECT city, count(*) AS "count", '
+          'CAST(row_number() OVER (ORDER BY count(*) DESC, city) AS INTEGER) AS position FROM reviews '
+          'WHERE city IS NOT NULL GROUP BY city ORDER BY "count" DESC, city LIMIT 10')
 def q_top_k_sorted(spark, sf):
-    return SH.top_k_sorted(PR.value_counts(reviews(spark, sf), "city"), "count", "city", 10)
+    return SH.number_shown(SH.top_k_sorted(PR.value_counts(reviews(spark, sf), "city"), "count", "city", 10))
 
 
 @register("dedup_keep_first", "SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY review ORDER BY review_id) = 1",

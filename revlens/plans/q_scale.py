@@ -33,8 +33,8 @@ WITH b AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem
 q AS (SELECT g, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
              quantile_cont(v, 0.75) AS q3 FROM b GROUP BY g)
 SELECT q.g AS l_returnflag, q.n, q1, median, q3,
-       min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
-       max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+       least(q1, min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1))) AS whisker_low,
+       greatest(q3, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1))) AS whisker_high,
        count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM b JOIN q ON q.g = b.g GROUP BY q.g, q.n, q1, median, q3""",
           doubles=("q1", "median", "q3", "whisker_low", "whisker_high"))

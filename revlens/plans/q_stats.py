@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DAY_NAMES
 from ..operators import stats as ST
 from ..operators import timeseries as TS
-from .base import hypothesis_base, labelled, register, round_doubles
+from .base import dated, hypothesis_base, labelled, register, round_doubles
 
 H1_BANKS = ["src0", "src1", "src2"]
 H3_PRODUCTS = ["de", "en", "es", "fr"]
@@ -128,13 +128,13 @@ def q_decide_alpha(spark, sf):
 @register("monthly_counts", "SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, count(*) AS \"count\" "
           "FROM labelled WHERE ts IS NOT NULL GROUP BY 1")
 def q_monthly_counts(spark, sf):
-    return TS.monthly_counts(labelled(spark, sf), "ts")
+    return TS.monthly_counts(dated(spark, sf), "ts")
 
 
 @register("monthly_mean", "SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, avg(grade) AS mean_grade "
           "FROM labelled WHERE ts IS NOT NULL GROUP BY 1", doubles=("mean_grade",))
 def q_monthly_mean(spark, sf):
-    return round_doubles(TS.monthly_mean(labelled(spark, sf), "ts", "grade"))
+    return round_doubles(TS.monthly_mean(dated(spark, sf), "ts", "grade"))
 
 
 @register("weekday_counts", "SELECT CAST(d.i AS INTEGER) AS day_index, d.day_name, c.\"count\" FROM (VALUES "
@@ -142,13 +142,13 @@ def q_monthly_mean(spark, sf):
           + ") d(i, day_name) LEFT JOIN (SELECT dayname(ts) AS day_name, count(*) AS \"count\" FROM labelled "
           "WHERE ts IS NOT NULL GROUP BY 1) c ON c.day_name = d.day_name")
 def q_weekday_counts(spark, sf):
-    return TS.weekday_counts(labelled(spark, sf), "ts").select("day_index", "day_name", "count")
+    return TS.weekday_counts(dated(spark, sf), "ts").select("day_index", "day_name", "count")
 
 
 @register("hour_counts", "SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS \"count\" FROM labelled "
           "WHERE ts IS NOT NULL GROUP BY 1")
 def q_hour_counts(spark, sf):
-    return TS.hour_counts(labelled(spark, sf), "ts")
+    return TS.hour_counts(dated(spark, sf), "ts")
 
 
 @register("counts_over_time", """
@@ -157,4 +157,4 @@ sp AS (SELECT floor(date_diff('second', min(ts), max(ts)) / 86400) AS span FROM
 SELECT CAST(CASE WHEN span <= 7 THEN date_trunc('hour', ts) ELSE date_trunc('day', ts) END AS TIMESTAMP) AS period,
        CASE WHEN span <= 7 THEN 'hour' ELSE 'day' END AS granularity, count(*) AS "count" FROM s, sp GROUP BY 1, 2""")
 def q_counts_over_time(spark, sf):
-    return TS.counts_over_time(labelled(spark, sf), "ts")
+    return TS.counts_over_time(dated(spark, sf), "ts")

@@ -40,7 +40,7 @@ def dashboard(df: DataFrame, bank: str = ALL, product: str = ALL, city: str = AL
     probs = [c for c in ("NEUTRAL", "POSITIVE", "NEGATIVE") if c in f.columns]
     return {
         "reviews_table": FL.project_columns(f, ["bank", "product", "city", "review", "grade", "sentiment"]),
-        "reviews_by_bank": SH.reverse_order(PR.top_k_other(f, "bank", top_n), "rank"),
+        "reviews_by_bank": PR.top_k_other(f, "bank", top_n),      # Other first, then k..1: the chart's order
         "grade_histogram": PR.histogram_equal_width(f, "grade", 5),
         "grade_kde": PR.kde_curve(f, "grade", 200, 5),
         "reviews_over_time": TS.counts_over_time(f, "ts"),

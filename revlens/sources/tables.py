@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import review_date_text
 from ..functions.labels import softmax_probs
 from ..operators.shape import BROADCAST_BUDGET_BYTES
 
@@ -16,23 +17,17 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_ROWS: dict[str, int] = {}
-
-
 def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of a stored table (a parquet count reads file metadata only),
-    remembered per path in this driver process; used to bound broadcast sizes."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _ROWS:
-        _ROWS[path] = load_table(spark, sf_dir, name).count()
-    return _ROWS[path]
+    """Row count of a stored table (a parquet count reads file metadata only);
+    used to bound broadcast sizes, so it is taken anew for every plan."""
+    return load_table(spark, sf_dir, name).count()
 
 
 # Bytes per row of the (key, city) lookup: a long and a short string.
 _CITY_ROW_BYTES = 8 + 48
 
 
-def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reviews_standin(spark: SparkSession, sf_dir: str, scores: bool = True) -> DataFrame:
     """One review per document, with ratings, city and class scores drawn from
     the other tables (FIXTURES §3).
 
@@ -45,6 +40,8 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     the customers' row count (file metadata) bounds the customer → city table
     within the broadcast budget, that table is broadcast onto the rows instead
     and nothing is exchanged for the city.
+    ``scores=False`` leaves out the class scores, and with them the scan and
+    join of the embeddings (a left join is not pruned with its columns).
     Catalyst prunes every column not used downstream; nation's 25 rows are
     fixed by the TPC-H specification and always broadcast.
     """
@@ -58,8 +55,9 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     # from plans that never read the city)
     cust_city = (c.join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"), "left")
                  .groupBy("c_custkey").agg(F.max("n_name").alias("n_name")))
-    j = (d.join(e.alias("e"), F.col("e.event_id") == F.col("d.doc_id"), "inner")
-         .join(v, F.col("v.vec_id") == F.col("d.doc_id"), "left"))
+    j = d.join(e.alias("e"), F.col("e.event_id") == F.col("d.doc_id"), "inner")
+    if scores:
+        j = j.join(v, F.col("v.vec_id") == F.col("d.doc_id"), "left")
     if table_rows(spark, sf_dir, "customer") * _CITY_ROW_BYTES <= BROADCAST_BUDGET_BYTES:
         # the customers' row count bounds the lookup within the budget: broadcast
         # it onto the rows by user id, and nothing is exchanged for the city
@@ -72,9 +70,11 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .groupBy("city_event_id").agg(F.max("n_name").alias("n_name")).alias("k"))
         j = j.join(city, F.col("k.city_event_id") == F.col("d.doc_id"), "left")
 
-    emb = F.col("v.embedding")
-    logits = [F.lit(10.0) * emb.getItem(i).cast("double") for i in range(3)]
-    neg, neu, pos = softmax_probs(logits)
+    probs = []
+    if scores:
+        emb = F.col("v.embedding")
+        neg, neu, pos = softmax_probs([F.lit(10.0) * emb.getItem(i).cast("double") for i in range(3)])
+        probs = [neg.alias("NEGATIVE"), neu.alias("NEUTRAL"), pos.alias("POSITIVE")]
     value = F.col("e.value")
     return j.select(
         F.col("d.doc_id").alias("review_id"),
@@ -82,7 +82,7 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("d.lang").alias("product"),
         F.col("k.n_name").alias("city"),
         F.col("d.text").alias("review"),
-        F.date_format(F.col("e.ts"), "dd.MM.yyyy HH:mm").alias("date"),
+        review_date_text(F.col("e.ts")).alias("date"),
         F.when(F.col("e.event_type") == "error", F.lit("error")).otherwise(F.lit("good")).alias("status"),
         F.least(F.lit(5), F.floor(value / 25)).cast("int").alias("grade"),
         (F.lit(1) + F.col("d.n_chars") % 5).cast("int").alias("clear_conditions"),
@@ -90,5 +90,5 @@ def reviews_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + F.floor(value) % 5).cast("int").alias("availability"),
         F.when(F.col("e.event_id") % 7 == 0, F.lit(None).cast("int"))
          .otherwise(F.least(F.lit(5), F.lit(1) + F.floor(value / 25)).cast("int")).alias("convenience"),
-        neg.alias("NEGATIVE"), neu.alias("NEUTRAL"), pos.alias("POSITIVE"),
+        *probs,
     )
