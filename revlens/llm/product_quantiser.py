@@ -25,7 +25,7 @@ from .components import Forest, components
 
 MIN_COSINE = 0.9
 SAMPLE_ROWS = 20_000      # classes that centroids and code words are fitted on
-LIST_ROWS = 2048          # classes per list aimed at
+LIST_ROWS = 4096          # classes per list aimed at
 MAX_LISTS = 1024
 SUBSPACES = 8
 WORDS = 256
@@ -81,10 +81,10 @@ class Quantiser:
         return codes, np.sqrt(err)
 
     def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
-        """Per subspace, squared distances of the residuals of ``x`` in list ``at`` to all code words."""
+        """Per subspace, squared distances of all code words (rows) to the residuals of ``x`` in list ``at``."""
         rest = x - self.coarse[at]
-        return [((rest[:, a:b] ** 2).sum(1)[:, None] + (w * w).sum(1)[None] - 2 * rest[:, a:b] @ w.T)
-                .astype(np.float32) for a, b, w in zip(self.cuts, self.cuts[1:], self.words)]
+        return [np.ascontiguousarray(((w * w).sum(1)[:, None] + (rest[:, a:b] ** 2).sum(1)[None] - 2 * w @ rest[:, a:b].T)
+                                     .astype(np.float32)) for a, b, w in zip(self.cuts, self.cuts[1:], self.words)]
 
 
 def _unit(vectors: list, dim: int) -> np.ndarray:
@@ -137,8 +137,9 @@ def _search(q: Quantiser, min_cosine: float):
                 self.rep = np.array([c[0] for c in self.coded], np.int64)
                 self.n = np.array([c[1] for c in self.coded], np.int64)
                 self.x = np.frombuffer(b"".join(c[2] for c in self.coded)).reshape(len(self.coded), -1)
-                self.code = np.frombuffer(b"".join(c[3] for c in self.coded), np.uint8).reshape(len(self.coded), -1)
-                self.err = np.array([c[4] for c in self.coded], np.float32)
+                code = np.frombuffer(b"".join(c[3] for c in self.coded), np.uint8).reshape(len(self.coded), -1)
+                self.code = np.ascontiguousarray(code.T).astype(np.int64)
+                self.near = np.array([(r + c[4] + SLACK) ** 2 for c in self.coded], np.float32)[:, None]
                 self.seen = np.frombuffer(b"".join(c[5] for c in self.coded), np.uint8).reshape(len(self.coded), -1)
                 self.sums = np.zeros(len(self.coded), np.int64)
 
@@ -149,10 +150,13 @@ def _search(q: Quantiser, min_cosine: float):
             rep, n = np.array([p[0] for p in rows], np.int64), np.array([p[1] for p in rows], np.int64)
             x = np.frombuffer(b"".join(p[2] for p in rows)).reshape(len(rows), -1)
             home = np.array([p[6] for p in rows], np.int64)
-            d = np.zeros((len(rows), len(self.rep)), np.float32)
-            for i, t in enumerate(q.tables(x, self.at)):
-                d += t[:, self.code[:, i]]
-            i, j = np.nonzero(np.sqrt(np.maximum(d, 0)) <= r + self.err[None] + SLACK)
+            # a code word's row of the table is copied whole, for all probes at once
+            tables = q.tables(x, self.at)
+            d = tables[0].take(self.code[0], axis=0)
+            part = np.empty_like(d)
+            for t, code in zip(tables[1:], self.code[1:]):
+                d += t.take(code, axis=0, out=part, mode="clip")
+            j, i = np.nonzero(d <= self.near)
             back = (self.seen[j, home[i] >> 3] >> (7 - (home[i] & 7)).astype(np.uint8)) & 1   # j probes i's list too
             use = (rep[i] != self.rep[j]) & ((back == 0) | (rep[i] < self.rep[j]))
             i, j = i[use], j[use]
