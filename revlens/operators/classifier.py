@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,21 +86,39 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFra
     return p.select(*keep, F.col("prediction").cast("int").alias("prediction"))
 
 
+def predict_proba(model: PipelineModel, df: DataFrame, keep: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    """``keep`` and one probability column per class name (class i is ``classes[i]``), from the text: the form that
+    ``label_by_confidence`` and the metrics read."""
+    p = model.transform(df).withColumn("_p", vector_to_array("probability"))
+    return p.select(*keep, *[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(classes)])
+
+
 def select_best_model(train: DataFrame, valid: DataFrame, grid: Sequence[dict], save_path: str | None = None,
                       text: str = "cleaned_review", label: str = "label"):
     """Fit each parameter set on the same split; the first strictly best
     validation accuracy wins; the winner is saved to ``save_path``.
 
-    Returns (model, rows) where rows are (candidate, params, accuracy, best).
+    Texts are tokenised, hashed and weighted once per feature size, not once
+    per candidate. Returns (model, rows) where rows are (candidate, params,
+    train loss, train accuracy, validation accuracy, best).
     """
+    features: dict[int, tuple] = {}
     best, best_acc, best_i, rows = None, -1.0, -1, []
     for i, params in enumerate(grid):
-        m = train_classifier(train, text, label, **params)
-        acc = (m.transform(valid).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")))
-               .first()[0]) or 0.0
-        rows.append((i, str(sorted(params.items())), float(acc)))
+        stages = text_classifier_stages(text, label, **params).getStages()
+        size = stages[1].getNumFeatures()
+        if size not in features:
+            fitted = Pipeline(stages=stages[:-1]).fit(train)
+            features[size] = fitted, *(fitted.transform(d).select(label, "_features").checkpoint() for d in (train, valid))
+        fitted, x_train, x_valid = features[size]
+        head = stages[-1].fit(x_train)
+        hit = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+        own = F.get(vector_to_array("probability"), F.col(label).cast("int"))
+        loss, train_acc = head.transform(x_train).agg(F.avg(-F.log(F.greatest(own, F.lit(1e-300)))), hit).first()
+        acc = head.transform(x_valid).agg(hit).first()[0] or 0.0
+        rows.append((i, str(sorted(params.items())), float(loss or 0.0), float(train_acc or 0.0), float(acc)))
         if acc > best_acc:
-            best, best_acc, best_i = m, acc, i
+            best, best_acc, best_i = PipelineModel(stages=[*fitted.stages, head]), acc, i
     if save_path and best is not None:
         best.write().overwrite().save(save_path)
-    return best, [(i, p, a, i == best_i) for i, p, a in rows]
+    return best, [(*r, r[0] == best_i) for r in rows]

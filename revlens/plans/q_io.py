@@ -14,7 +14,7 @@ from ..sources import (ingest_summary, page_batches, page_url_range, scan_csv, s
 from ..sources.files import scan_json
 from ..sources.pages import DEFAULT_BASE_URL
 from ..sources.tables import table_rows
-from ..streaming import files_per_batch, ingest_incremental, stage_files, stream_counts, stream_dedup
+from ..streaming import ingest_incremental, stage_files, stream_counts, stream_dedup
 from .base import WS, register, reviews, round_doubles, sql_strip, table
 
 P3 = ("NEGATIVE", "NEUTRAL", "POSITIVE")
@@ -30,7 +30,7 @@ def q_scan_csv(spark, sf):
 @register("scan_csv_renamed", "SELECT * FROM reviews", doubles=P3)
 def q_scan_csv_renamed(spark, sf):
     header = {c: HEADER_NAMES.get(c, c) for c in REVIEWS.fieldNames()}
-    path = sink_csv_overwrite(reviews(spark, sf).withColumnsRenamed(header), scratch_path(spark, "scan-csv-renamed"))
+    path = sink_csv_overwrite(rename_columns(reviews(spark, sf), header), scratch_path(spark, "scan-csv-renamed"))
     back = {h: c for c, h in header.items()}
     return round_doubles(scan_csv_renamed(spark, path, back, REVIEWS))
 
@@ -196,22 +196,14 @@ def q_extract_status(spark, sf):
 
 
 # ----------------------------------------------------------------- streaming
-# Replays split the input into about this many micro-batches.
-REPLAY_BATCHES = 4
-
-
-def _replay(spark, df, rows_bound: int, name: str) -> tuple[str, int]:
-    """Stage ``df`` as files of ⌈rows_bound / batches⌉ rows; return (path, files per trigger)."""
-    src = stage_files(df, scratch_path(spark, name), -(-max(1, rows_bound) // REPLAY_BATCHES))
-    return src, files_per_batch(spark, src, REPLAY_BATCHES)
+# Rows per file of a derived table that is replayed as a stream.
+ROWS_PER_FILE = 1_000_000
 
 
 @register("ingest_incremental", "SELECT * FROM reviews", doubles=P3)
 def q_ingest_incremental(spark, sf):
-    # one review per document at most: the documents' row count (parquet
-    # metadata) bounds the file size
-    src, per = _replay(spark, reviews(spark, sf), table_rows(spark, sf, "documents"), "ingest-src")
-    return round_doubles(ingest_incremental(spark, src, REVIEWS, max_files_per_trigger=per))
+    src = stage_files(reviews(spark, sf), scratch_path(spark, "ingest-src"), ROWS_PER_FILE)
+    return round_doubles(ingest_incremental(spark, src, REVIEWS))
 
 
 _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -219,18 +211,17 @@ _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
                         T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
+def _events_path(sf):
+    return f"{sf.rstrip('/')}/events.parquet"
+
+
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
-    ev = table(spark, sf, "events")
-    src, per = _replay(spark, ev, table_rows(spark, sf, "events"), "dedup-src")
-    d = stream_dedup(spark, src, _EVENTS, ["user_id", "event_type"], "ts", "31 days", max_files_per_trigger=per)
-    return d.select("user_id", "event_type")
+    return stream_dedup(spark, _events_path(sf), _EVENTS, ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
 @register("stream_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, "
           "CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, count(*) AS \"count\" "
           "FROM events GROUP BY 1, 2")
 def q_stream_counts(spark, sf):
-    ev = table(spark, sf, "events")
-    src, per = _replay(spark, ev, table_rows(spark, sf, "events"), "counts-src")
-    return stream_counts(spark, src, _EVENTS, "ts", "1 day", max_files_per_trigger=per)
+    return stream_counts(spark, _events_path(sf), _EVENTS, "ts", "1 day")

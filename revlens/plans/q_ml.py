@@ -3,9 +3,10 @@ plus the flagship end-to-end query."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..functions import argmax_label, grade_to_label
+from ..functions import argmax_label, grade_to_label, label_by_confidence
 from ..operators import classifier as CL
 from ..operators import profile as PR
 from ..operators import score as SC
@@ -68,20 +69,69 @@ def _split_docs(spark, sf):
     return CL.stratified_split(x, "label", "doc_id", seed=42, test_frac=0.2).checkpoint()
 
 
-@register("train_classifier", None, note="model fitting is iterative; rows-only check")
-def q_train_classifier(spark, sf):
-    s = _split_docs(spark, sf)
-    model = CL.train_classifier(s.where(~F.col("is_validation")), num_features=1 << 16, max_iter=30)
-    return CL.predict(model, s.where(F.col("is_validation")), ["doc_id", "label"])
+_SPLIT_CTE = """split AS (
+  SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id)
+         <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS is_validation
+  FROM (SELECT d.doc_id, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id) t)"""
+# Validation accuracy must reach the share of the larger class, less this much.
+ACCURACY_SLACK = 0.02
+
+
+def _majority(s):
+    """Share of the most frequent validation label, as a scalar subquery."""
+    n = s.where("is_validation").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.max("n") / F.sum("n")).scalar()
 
 
-@register("select_best_model", None, note="iterative model selection; rows-only check")
+@register("train_classifier", "SELECT doc_id, label, true AS known_class, true AS at_least_majority FROM split "
+          "WHERE is_validation", ctes=_SPLIT_CTE, note="which rows are validated, and that the fit is worth having")
+def q_train_classifier(spark, sf):
+    s = _split_docs(spark, sf)
+    model = CL.train_classifier(s.where(~F.col("is_validation")), num_features=1 << 16, reg_param=0.1,
+                                max_iter=30)
+    p = CL.predict(model, s.where(F.col("is_validation")), ["doc_id", "label"]).checkpoint()
+    accuracy = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).scalar()
+    return p.select("doc_id", "label", F.col("prediction").isin(0, 1).alias("known_class"),
+                    (accuracy >= _majority(s) - ACCURACY_SLACK).alias("at_least_majority"))
+
+
+@register("select_best_model", "SELECT CAST(c AS INTEGER) AS candidate, (SELECT count(*) FROM split WHERE is_validation) "
+          "AS n_validated, CAST(1 AS BIGINT) AS winners, true AS winner_is_best, true AS at_least_majority, "
+          "true AS saved_predicts_alike FROM range(0, 3) r(c)", ctes=_SPLIT_CTE,
+          note="one winner, and the saved model gives its accuracy again")
 def q_select_best_model(spark, sf):
     s = _split_docs(spark, sf)
+    valid = s.where(F.col("is_validation"))
     grid = [{"reg_param": r, "max_iter": 20, "num_features": 1 << 16} for r in (0.0, 0.01, 0.1)]
-    _, rows = CL.select_best_model(s.where(~F.col("is_validation")), s.where(F.col("is_validation")), grid,
-                                   save_path=scratch_path(spark, "best-model"))
-    return spark.createDataFrame(rows, "candidate int, params string, accuracy double, best boolean")
+    path = scratch_path(spark, "best-model")
+    _, rows = CL.select_best_model(s.where(~F.col("is_validation")), valid, grid, save_path=path)
+    table_ = spark.createDataFrame(rows, "candidate int, params string, train_loss double, train_accuracy double, "
+                                         "accuracy double, best boolean")
+    # the final evaluation reads the saved model back
+    p = CL.predict(PipelineModel.load(path), valid, ["label"])
+    again = p.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")) \
+        .select(F.struct("n", "a").alias("s")).scalar()
+    top = table_.agg(F.count_if("best").alias("w"), F.max("accuracy").alias("m"),
+                     F.max(F.when(F.col("best"), F.col("accuracy"))).alias("b")).select(F.struct("w", "m", "b").alias("s")) \
+        .scalar()
+    return table_.select(
+        "candidate", again.getField("n").alias("n_validated"), top.getField("w").alias("winners"),
+        (top.getField("m") == top.getField("b")).alias("winner_is_best"),
+        (top.getField("b") >= _majority(s) - ACCURACY_SLACK).alias("at_least_majority"),
+        (F.abs(again.getField("a") - top.getField("b")) < 1e-9).alias("saved_predicts_alike"))
+
+
+@register("score_documents", "SELECT doc_id, CAST(1 AS DOUBLE) AS total, true AS labelled FROM documents", doubles=("total",),
+          note="probabilities of a fitted pipeline on every text; their values depend on the fit")
+def q_score_documents(spark, sf):
+    """Every document scored from its text by a pipeline fitted on the labelled ones, then labelled by confidence."""
+    s = _split_docs(spark, sf)
+    model = CL.train_classifier(s.where(~F.col("is_validation")), num_features=1 << 16, reg_param=0.1,
+                                max_iter=30)
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("cleaned_review"))
+    p = CL.predict_proba(model, docs, ["doc_id"], P3)
+    return round_doubles(p.select("doc_id", (F.col(P3[0]) + F.col(P3[1]) + F.col(P3[2])).alias("total"),
+                                  label_by_confidence().isin(*P3, "untraced").alias("labelled")))
 
 
 # Predictions to evaluate: arg-max class of the scores vs the grade-derived label.

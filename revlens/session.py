@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,14 +53,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set (a shared file system); only when it
-    is unset, as in local tests, a private temporary folder is created.
+    On a cluster this must already be set (a shared file system): executors do
+    not see each other's local folders, so a session without it is refused.
+    Only a local session, as in tests, gets a private temporary folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not d:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError(f"spark.checkpoint.dir is not set and {sc.master} is not a local master: "
+                                   "name a folder that all executors share")
             d = tempfile.mkdtemp(prefix="revlens-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
@@ -67,8 +72,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/revlens/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path under this application's part of the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/revlens/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete every scratch table this application wrote; call it when no
+    result is read any more, at the end of a job. True if there was any."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder, on whatever store Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 def is_local_path(path: str) -> bool:

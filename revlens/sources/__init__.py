@@ -1,10 +1,9 @@
 """Sources and sinks: parquet tables, CSV/JSON files, page id ranges."""
 
 from .tables import load_table, reviews_standin, TABLES
-from .files import (scan_csv, scan_csv_renamed, sink_csv_append, sink_csv_overwrite, sink_json,
-                    rename_for_header)
+from .files import (scan_csv, scan_csv_renamed, sink_csv_append, sink_csv_overwrite, sink_json)
 from .pages import page_url_range, page_batches, ingest_summary
 
 __all__ = ["load_table", "reviews_standin", "TABLES", "scan_csv", "scan_csv_renamed", "sink_csv_append",
-           "sink_csv_overwrite", "sink_json", "rename_for_header", "page_url_range", "page_batches",
+           "sink_csv_overwrite", "sink_json", "page_url_range", "page_batches",
            "ingest_summary"]

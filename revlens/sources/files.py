@@ -60,10 +60,6 @@ def scan_csv_renamed(spark: SparkSession, path: str, names: Mapping[str, str],
     return _bind(raw, schema, na_tokens)
 
 
-def rename_for_header(df: DataFrame, header: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(header))
-
-
 def _writer(df: DataFrame, mode: str):
     w = df.write.mode(mode)
     for k in ("header", "quote", "escape"):

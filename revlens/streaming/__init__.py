@@ -1,5 +1,5 @@
 """Structured Streaming: incremental ingest, de-duplication, windowed counts."""
 
-from .ingest import files_per_batch, ingest_incremental, stage_files, stream_counts, stream_dedup
+from .ingest import BYTES_PER_TRIGGER, ingest_incremental, stage_files, stream_counts, stream_dedup
 
-__all__ = ["files_per_batch", "ingest_incremental", "stream_dedup", "stream_counts", "stage_files"]
+__all__ = ["BYTES_PER_TRIGGER", "ingest_incremental", "stream_dedup", "stream_counts", "stage_files"]

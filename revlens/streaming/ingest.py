@@ -16,37 +16,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import is_folder, scratch_path
+
+
+# Input of one micro-batch, whatever the size of the table behind the stream.
+BYTES_PER_TRIGGER = 1 << 30
 
 
 def stage_files(df: DataFrame, path: str, rows_per_file: int) -> str:
-    """Write a table as parquet parts of at most ``rows_per_file`` rows, so a
-    file source can replay it as successive micro-batches. No shuffle: every
-    task splits its own output, so the write is as parallel as the input."""
+    """Write a derived table as parquet parts of at most ``rows_per_file`` rows,
+    so a file source can replay it as successive micro-batches. No shuffle:
+    every task splits its own output, so the write is as parallel as the input.
+    Stored tables need no staging: the operators stream them where they lie."""
     df.write.mode("overwrite").option("maxRecordsPerFile", max(1, int(rows_per_file))).parquet(path)
     return path
 
 
-def files_per_batch(spark: SparkSession, path: str, batches: int = 4) -> int:
-    """``maxFilesPerTrigger`` that replays the files under ``path`` in about
-    ``batches`` micro-batches (a file listing on the driver; no data read)."""
-    n = len(spark.read.parquet(path).inputFiles())
-    return max(1, -(-n // max(1, batches)))
-
-
-def _source(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None) -> DataFrame:
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
+def _source(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int) -> DataFrame:
+    """Stream of the parquet files of a folder (or of one file), in micro-batches of about ``max_bytes``."""
+    r = spark.readStream.schema(schema).option("maxBytesPerTrigger", int(max_bytes))
+    path = path.rstrip("/")
+    if not is_folder(spark, path):
+        path, name = path.rsplit("/", 1)
+        r = r.option("pathGlobFilter", name)
     return r.parquet(path)
 
 
 def ingest_incremental(spark: SparkSession, source: str, schema: T.StructType, sink: str | None = None,
-                       checkpoint: str | None = None, max_files_per_trigger: int | None = 1) -> DataFrame:
+                       checkpoint: str | None = None, max_bytes: int = BYTES_PER_TRIGGER) -> DataFrame:
     """Append every new file of ``source`` to the ``sink`` table exactly once."""
     sink = sink or scratch_path(spark, "ingest-sink")
     checkpoint = checkpoint or scratch_path(spark, "ingest-ckpt")
-    q = (_source(spark, source, schema, max_files_per_trigger).writeStream.format("parquet")
+    q = (_source(spark, source, schema, max_bytes).writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -54,16 +55,23 @@ def ingest_incremental(spark: SparkSession, source: str, schema: T.StructType, s
 
 
 def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], event_time: str,
-                 delay: str, sink: str | None = None, checkpoint: str | None = None,
-                 max_files_per_trigger: int | None = 1) -> DataFrame:
-    """First occurrence of each key within ``delay`` of event time, across
-    micro-batches. State is bounded by the watermark: keys older than
-    ``delay`` are evicted."""
+                 delay: str | None = None, sink: str | None = None, checkpoint: str | None = None,
+                 max_bytes: int = BYTES_PER_TRIGGER) -> DataFrame:
+    """One row per key across micro-batches.
+
+    ``delay=None`` is exact: every key ever seen stays in state. With a delay,
+    state is bounded by the watermark: a key counts as new again when its last
+    event is more than ``delay`` of event time behind, and events that arrive
+    later than ``delay`` behind the newest one are dropped by Spark. Choose a
+    delay no shorter than the lateness of the source."""
     sink = sink or scratch_path(spark, "dedup-sink")
     checkpoint = checkpoint or scratch_path(spark, "dedup-ckpt")
-    s = _source(spark, source, schema, max_files_per_trigger)
-    s = s.withColumn("_et", F.col(event_time).cast("timestamp")).withWatermark("_et", delay)
-    d = s.dropDuplicatesWithinWatermark(list(keys)).drop("_et")
+    s = _source(spark, source, schema, max_bytes)
+    if delay is None:
+        d = s.dropDuplicates(list(keys))
+    else:
+        s = s.withColumn("_et", F.col(event_time).cast("timestamp")).withWatermark("_et", delay)
+        d = s.dropDuplicatesWithinWatermark(list(keys)).drop("_et")
     q = (d.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -72,7 +80,7 @@ def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, keys: S
 
 def stream_counts(spark: SparkSession, source: str, schema: T.StructType, event_time: str,
                   window: str = "1 day", sink: str | None = None, checkpoint: str | None = None,
-                  max_files_per_trigger: int | None = 1) -> DataFrame:
+                  max_bytes: int = BYTES_PER_TRIGGER) -> DataFrame:
     """Tumbling-window row counts, maintained incrementally in state.
 
     Complete mode keeps every window current (the last one included); each
@@ -80,7 +88,7 @@ def stream_counts(spark: SparkSession, source: str, schema: T.StructType, event_
     """
     sink = sink or scratch_path(spark, "counts-sink")
     checkpoint = checkpoint or scratch_path(spark, "counts-ckpt")
-    s = _source(spark, source, schema, max_files_per_trigger)
+    s = _source(spark, source, schema, max_bytes)
     # windows over the wall-clock (timestamp_ntz) column: boundaries do not
     # depend on the session time zone
     agg = (s.groupBy(F.window(F.col(event_time), window).alias("w"))

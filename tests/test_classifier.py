@@ -27,11 +27,19 @@ def test_select_best_model_first_wins_ties(spark, frame):
     grid = [{"reg_param": 0.0, "max_iter": 30}, {"reg_param": 0.0, "max_iter": 30}, {"reg_param": 10.0, "max_iter": 30}]
     path = scratch_path(spark, "best")
     model, rows = CL.select_best_model(frame, frame, grid, save_path=path)
-    assert [r[3] for r in rows] == [True, False, False] and model is not None
+    assert [r[-1] for r in rows] == [True, False, False] and model is not None
+    assert all(loss >= 0 and 0 <= acc <= 1 for _, _, loss, acc, _, _ in rows)
     from pyspark.ml import PipelineModel
     assert PipelineModel.load(path) is not None
 
 
+def test_probabilities_from_text(frame):
+    m = CL.train_classifier(frame, max_iter=50)
+    p = CL.predict_proba(m, frame, ["doc_id", "label"], ["a", "b", "c"]).collect()
+    for r in p:
+        assert r.a + r.b + r.c == pytest.approx(1.0) and (r.a > r.c) == (r.label == 0)
+
+
 def test_report_zero_division(spark):
     p = spark.createDataFrame([(0, 0), (0, 1), (2, 2)], "label int, prediction int")
     rep = {r["class"]: r for r in SC.classification_report(p).collect()}
