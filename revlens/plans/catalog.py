@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_io, q_ml, q_profile, q_scale, q_stats  # noqa: F401  (registration side effects)
+from . import q_clean, q_flow, q_io, q_ml, q_profile, q_scale, q_stats  # noqa: F401  (registration side effects)
 from .base import REGISTRY, full_sql
 
 
