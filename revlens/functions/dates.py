@@ -24,11 +24,13 @@ def parse_review_date(c) -> Column:
     depend on the session time zone.
     """
     s = _col(c)
+    # one test of the layout; its five numbers lie between dots, a colon and one run of white space
+    parts = F.split(F.when(s.rlike(_DATE_RX), s), rf"[.:]|{WS_RUN}")
 
     def part(i):
-        return F.regexp_extract(s, _DATE_RX, i).try_cast("int")
+        return F.get(parts, F.lit(i)).try_cast("int")
 
-    return F.try_make_timestamp_ntz(part(3), part(2), part(1), part(4), part(5), F.lit(0))
+    return F.try_make_timestamp_ntz(part(2), part(1), part(0), part(3), part(4), F.lit(0))
 
 
 def _digits(x: Column, width: int) -> Column:

@@ -49,9 +49,9 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, test_f
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("long"))
-    sizes = x.groupBy(label).agg(F.count(F.lit(1)).alias("_n")) \
-             .withColumn("_k", F.ceil(F.col("_n").cast("double") * F.lit(test_frac)).cast("long"))
     per_bucket = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = per_bucket.groupBy(label).agg(F.sum("_c").alias("_n")) \
+                      .withColumn("_k", F.ceil(F.col("_n").cast("double") * F.lit(test_frac)).cast("long"))
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = per_bucket.withColumn("_cum", F.sum("_c").over(w)).join(sizes, on=label)
     cut = cum.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))) \
