@@ -24,7 +24,7 @@ from .weak import fit_votes, posterior
 SAMPLE_ROWS = 6000
 BUCKETS = 2048
 MIN_SCORE = 0.5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LABELLERS = ["v_symbols", "v_symbol_words", "v_marks", "v_capitals", "v_capital_words", "v_repeats", "v_near_repeats",
              "v_word_length", "v_stops"]
 
