@@ -20,17 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, text_slices, unzip_texts, zip_texts
+from .common import batch_slices, row_key, stored, text_slices, unzip_texts, zip_texts
 from .tokens import default_tokenizer, encoder, id_decimals, sure_cuts, token_bytes
 
 WINDOW = 32
 MASK = (1 << 11) - 1      # a chunk of 2 KB on average
 MIN_CHUNK, MAX_CHUNK = 256, 1 << 15
-SLICE_BYTES = 8 << 20
-SLICE_IDS = 4 << 20
+SLICE_BYTES = 2 << 20     # text that is hashed at once, per task
+SLICE_IDS = 1 << 19
 
-PARTS = ("kind int, k1 long, k2 long, doc_id long, copies long, n_tokens long, ids_sha256 string, "
-         "decoded_sha256 string, h1 long, h2 long, ids binary, segs array<struct<h1:long,h2:long,ids:binary>>")
+# A document without shared chunks is whole and carries its digests; any other carries its segments: what it encoded
+# (h null), a shared chunk that it owns (h and ids) or one that it waits for (h, no ids).
+PARTS = ("whole boolean, k1 long, k2 long, doc_id long, copies long, n_tokens long, ids_sha256 string, "
+         "decoded_sha256 string, segs array<struct<h1:long,h2:long,ids:binary>>")
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -89,7 +91,7 @@ def _hash(chunk: bytes) -> tuple[int, int]:
 
 
 def _chunk_rows(batches):
-    for b in batches:
+    for b in batch_slices(batches, "text", SLICE_BYTES):
         texts = [(t or "").encode() for t in b.column("text").to_pylist()]
         cols = [[], [], [], [], []]
         for k1, k2, t, ends in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), texts, chunk_ends(texts)):
@@ -127,17 +129,15 @@ def _batch(schema: pa.Schema, columns: dict, n: int) -> pa.RecordBatch:
 
 def _parts_schema() -> pa.Schema:
     i, s, b = pa.int64(), pa.string(), pa.binary()
-    return pa.schema([("kind", pa.int32()), ("k1", i), ("k2", i), ("doc_id", i), ("copies", i), ("n_tokens", i),
-                      ("ids_sha256", s), ("decoded_sha256", s), ("h1", i), ("h2", i), ("ids", b),
+    return pa.schema([("whole", pa.bool_()), ("k1", i), ("k2", i), ("doc_id", i), ("copies", i), ("n_tokens", i),
+                      ("ids_sha256", s), ("decoded_sha256", s),
                       ("segs", pa.list_(pa.struct([("h1", i), ("h2", i), ("ids", b)])))])
 
 
 def _encode_parts(tokenizer: str):
     def run(batches):
         enc, schema = encoder(tokenizer), _parts_schema()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in batch_slices(batches, "z"):
             texts = unzip_texts(b.column("z"))
             keys = [b.column(c).to_pylist() for c in ("k1", "k2", "doc_id", "copies")]
             shared = b.column("shared").to_pylist()
@@ -145,21 +145,21 @@ def _encode_parts(tokenizer: str):
             if plain:
                 ids, ends = enc.encode(pa.array([texts[i] for i in plain], pa.binary()).cast(pa.string()))
                 n, sha, dec = _digests(tokenizer, ids, ends)
-                yield _batch(schema, {"kind": np.zeros(len(plain), np.int32), "n_tokens": n, "ids_sha256": sha,
+                yield _batch(schema, {"whole": np.ones(len(plain), bool), "n_tokens": n, "ids_sha256": sha,
                                       "decoded_sha256": dec,
                                       **{c: [k[i] for i in plain] for c, k in zip(("k1", "k2", "doc_id", "copies"),
                                                                                   keys)}}, len(plain))
             mixed = [i for i, s in enumerate(shared) if s]
             if not mixed:
                 continue
-            todo, segs, owned = [], [], []          # texts to encode; per document (h1, h2, number in todo or None)
+            todo, segs = [], []          # texts to encode; per document (h1, h2, number in todo or None)
             for i, ends in zip(mixed, chunk_ends([texts[i] for i in mixed])):
                 marked = {s["i"]: s for s in shared[i]}
                 own, run_from, at = [], None, 0
 
                 def close(stop, t=texts[i]):
                     if run_from is not None:
-                        own.append((0, 0, len(todo)))
+                        own.append((None, None, len(todo)))
                         todo.append(t[run_from:stop])
 
                 for k, e in enumerate(ends):
@@ -170,7 +170,6 @@ def _encode_parts(tokenizer: str):
                         close(at)
                         run_from = None
                         if s["own"]:
-                            owned.append((s["h1"], s["h2"], len(todo)))
                             own.append((s["h1"], s["h2"], len(todo)))
                             todo.append(texts[i][at:e])
                         else:
@@ -180,13 +179,10 @@ def _encode_parts(tokenizer: str):
                 segs.append(own)
             ids, ends = enc.encode(pa.array(todo, pa.binary()).cast(pa.string()))
             raw = [ids[ends[j]:ends[j + 1]].tobytes() for j in range(len(todo))]
-            yield _batch(schema, {"kind": np.full(len(mixed), 2, np.int32),
+            yield _batch(schema, {"whole": np.zeros(len(mixed), bool),
                                   **{c: [k[i] for i in mixed] for c, k in zip(("k1", "k2", "doc_id", "copies"), keys)},
                                   "segs": [[{"h1": x, "h2": y, "ids": None if j is None else raw[j]}
                                             for x, y, j in own] for own in segs]}, len(mixed))
-            if owned:
-                yield _batch(schema, {"kind": np.ones(len(owned), np.int32), "h1": [o[0] for o in owned],
-                                      "h2": [o[1] for o in owned], "ids": [raw[o[2]] for o in owned]}, len(owned))
     return run
 
 
@@ -246,9 +242,7 @@ def _is_end(token_ends: np.ndarray, p: int) -> bool:
 def _assemble(tokenizer: str, with_ids: bool):
     def run(batches):
         dtype = encoder(tokenizer).dtype
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part.slice(i, 256) for part in batches for i in range(0, part.num_rows, 256)):
             docs = []
             for segs, fills in zip(b.column("segs").to_pylist(), b.column("fills").to_pylist()):
                 got = {f["pos"]: f["ids"] for f in fills or ()}
@@ -289,9 +283,10 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     parts = stored(spark, texts.join(per_doc, ["k1", "k2"], "left")
                    .select("k1", "k2", "doc_id", "copies", "z", "shared")
                    .mapInArrow(_encode_parts(tokenizer), PARTS), "encoded-parts")
-    done = parts.where("kind = 0").select("doc_id", "copies", "n_tokens", "ids_sha256", "decoded_sha256")
-    owners = parts.where("kind = 1").select("h1", "h2", "ids")
-    mixed = parts.where("kind = 2").select("k1", "k2", "doc_id", "copies", "segs")
+    done = parts.where("whole").select("doc_id", "copies", "n_tokens", "ids_sha256", "decoded_sha256")
+    mixed = parts.where("not whole").select("k1", "k2", "doc_id", "copies", "segs")
+    owners = (mixed.select(F.explode("segs").alias("s")).where("s.h1 is not null and s.ids is not null")
+              .select("s.h1", "s.h2", "s.ids"))
     holes = (mixed.select("k1", "k2", F.posexplode("segs").alias("pos", "s")).where("s.ids is null")
              .select("k1", "k2", "pos", "s.h1", "s.h2"))
     fills = (holes.join(owners, ["h1", "h2"]).groupBy("k1", "k2")

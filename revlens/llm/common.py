@@ -16,7 +16,7 @@ def stored(spark: SparkSession, df: DataFrame, name: str, partition_by: str | No
     back: the cut in the lineage survives lost executors, and every later use
     reads files instead of computing again."""
     path = scratch_path(spark, name)
-    w = df.write
+    w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
@@ -65,15 +65,16 @@ def text_slices(sizes, limit: int):
         yield start, len(sizes)
 
 
-def zip_texts(*passed: str):
-    """mapInArrow function: column ``text`` becomes ``z``, its UTF-8 bytes compressed (null: of the empty text); the
-    ``passed`` columns stay. Texts cross exchanges in this form."""
+def zip_texts(*passed: str, text: str = "text", keep_null: bool = False):
+    """mapInArrow function: column ``text`` becomes ``z``, its UTF-8 bytes compressed (null: of the empty text, or null
+    with ``keep_null``); the ``passed`` columns stay. Texts cross exchanges in this form."""
     def run(batches):
         import pyarrow as pa
         import zstandard
         c = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for b in batches:
-            z = pa.array([c.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
+            z = pa.array([None if t is None and keep_null else c.compress((t or "").encode())
+                          for t in b.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(p) for p in passed), z], names=[*passed, "z"])
     return run
 
@@ -81,4 +82,17 @@ def zip_texts(*passed: str):
 def unzip_texts(column) -> list[bytes]:
     import zstandard
     d = zstandard.ZstdDecompressor()
-    return [d.decompress(z) for z in column.to_pylist()]
+    return [None if z is None else d.decompress(z) for z in column.to_pylist()]
+
+
+BATCH_BYTES = 4 << 20     # text or compressed data that a worker takes up at once
+
+
+def batch_slices(batches, column: str, limit: int = BATCH_BYTES):
+    """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each; empty batches are left out."""
+    import numpy as np
+    import pyarrow.compute as pc
+    for b in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0))
+        for start, stop in text_slices(sizes.tolist(), limit):
+            yield b.slice(start, stop - start)

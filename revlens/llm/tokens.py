@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 
 from .common import text_slices, worker_state
 
-SLICE_BYTES = 8 << 20
-MAX_PIECES = 300_000      # pieces kept between batches, per Python worker
+SLICE_BYTES = 4 << 20
+MAX_PIECES = 200_000      # pieces kept between batches, per Python worker
 MAX_PIECE_CHARS = 48      # longer pieces are encoded, not kept
 
 LETTER, DIGIT, MARK, QUOTE, SPACE, LINE, BLANK, HIGH, OTHER = range(1, 10)
