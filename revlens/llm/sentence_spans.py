@@ -4,11 +4,12 @@ A text is cut into sentences; every run of several consecutive sentences is hash
 documents, and sentences covered by any span that is not its hash's first occurrence are removed.
 
 * A sentence ends behind ``.``, ``!`` or ``?`` before white space, or at a line end. A sentence of more than
-  ``MAX_WORDS`` words is cut into pieces of that many, so that a long repeated passage always holds several pieces.
-  Words are compared in lower case with white space collapsed.
-* A span is the shortest run of at least ``RUN`` sentences that begins at a sentence and has ``MIN_WORDS`` words: a few
-  one-word sentences that meet by chance are no repeat. Spans that end at a sentence are formed likewise, so a
-  repeated passage is covered to both its ends.
+  ``MAX_WORDS`` words is cut before words whose checksum says so (one in ``CUT_EVERY``, ``MIN_PIECE`` words apart at
+  least), so that a long repeated passage holds several pieces, the same ones wherever in a sentence it begins. Words
+  are compared in lower case with white space collapsed.
+* A span is the shortest run that begins at a sentence and has ``RUN`` sentences and ``MIN_WORDS`` words, or
+  ``LONG_WORDS`` words: a few one-word sentences that meet by chance are no repeat. Spans that end at a sentence are
+  formed likewise, so a repeated passage is covered to both its ends.
 * The first occurrence of a hash is the one in the document with the smallest id, and there the one nearest the
   beginning. Rows with the same id count as one document, and so do rows without an id, which come last.
 """
@@ -16,6 +17,7 @@ documents, and sentences covered by any span that is not its hash's first occurr
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key, stored
+from .common import batch_slices, fresh, row_key, stored, unzip_texts, zip_texts
 
 RUN = 3
 MIN_WORDS = 10
+LONG_WORDS = 30
 MAX_WORDS = 20
+CUT_EVERY, MIN_PIECE = 8, 4
 LAST_ID = (1 << 63) - 1
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
@@ -45,12 +49,16 @@ def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
             continue
         words = text[start:end].lower().split()
         if len(words) > MAX_WORDS:
-            at = [m.start() for m in _WORD.finditer(text, start, end)]
+            cuts, last = [0], 0
+            for i, w in enumerate(words):
+                if i - last >= MIN_PIECE and crc32(w.encode()) % CUT_EVERY == 0:
+                    cuts.append(i)
+                    last = i
             # lower-casing never changes where the words are
-            cuts = [start, *at[MAX_WORDS::MAX_WORDS], end]
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                own = words[i * MAX_WORDS:(i + 1) * MAX_WORDS]
-                out.append((a, b, len(own), digest(" ".join(own).encode())))
+            at = [m.start() for m in _WORD.finditer(text, start, end)] if len(cuts) > 1 else []
+            edges = [start, *(at[i] for i in cuts[1:]), end]
+            for i, j, a, b in zip(cuts, [*cuts[1:], len(words)], edges, edges[1:]):
+                out.append((a, b, j - i, digest(" ".join(words[i:j]).encode())))
         elif words:
             out.append((start, end, len(words), digest(" ".join(words).encode())))
         elif out:
@@ -67,16 +75,19 @@ def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
 def spans(units) -> list[tuple[int, int]]:
     """(first, last) sentence of every span."""
     n, total = len(units), np.concatenate([[0], np.cumsum([u[2] for u in units], dtype=np.int64)])
-    if n < RUN:
-        return []
-    i = np.arange(n - RUN + 1)
-    last = np.maximum(np.searchsorted(total, total[i] + MIN_WORDS, "left") - 1, i + RUN - 1)
+    i = np.arange(n)
+
+    def ending(words):                             # last sentence of the shortest run from each i with so many words
+        return np.searchsorted(total, total[i] + words, "left") - 1
+
+    def beginning(words):
+        return np.searchsorted(total, total[i + 1] - words, "right") - 1
+
+    last = np.minimum(np.maximum(ending(MIN_WORDS), i + RUN - 1), ending(LONG_WORDS))
+    first = np.maximum(np.minimum(beginning(MIN_WORDS), i - RUN + 1), beginning(LONG_WORDS))
     forward = [(a, b) for a, b in zip(i.tolist(), last.tolist()) if b < n]
-    j = np.arange(RUN - 1, n)
-    first = np.minimum(np.searchsorted(total, total[j + 1] - MIN_WORDS, "right") - 1, j - RUN + 1)
-    back = zip(first.tolist(), j.tolist())
     known = set(forward)
-    return forward + [(a, b) for a, b in back if a >= 0 and (a, b) not in known]
+    return forward + [(a, b) for a, b in zip(first.tolist(), i.tolist()) if a >= 0 and (a, b) not in known]
 
 
 SPAN_ROWS = ("doc_id long, k1 long, k2 long, h1 array<long>, h2 array<long>, a array<int>, b array<int>, "
@@ -84,7 +95,7 @@ SPAN_ROWS = ("doc_id long, k1 long, k2 long, h1 array<long>, h2 array<long>, a a
 
 
 def _span_rows(batches):
-    for batch in batches:
+    for batch in batch_slices(batches, "t"):
         rows = []
         for t in batch.column("t").to_pylist():
             units, cols, seen = sentences(t or ""), ([], [], [], [], []), set()
@@ -144,9 +155,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _remove(batches):
-    for b in batches:
+    for b in batch_slices(batches, "z"):
         texts, counts = [], []
-        for t, ranges in zip(b.column("t").to_pylist(), b.column("ranges").to_pylist()):
+        for t, ranges in zip(unzip_texts(b.column("z")), b.column("ranges").to_pylist()):
+            t = None if t is None else t.decode()
             if ranges:
                 ranges = [(r["a"], r["b"]) for r in ranges]
                 counts.append(sum(y - x for x, y in merge_ranges(ranges)))
@@ -154,7 +166,7 @@ def _remove(batches):
             else:
                 counts.append(0)
                 texts.append(t)
-        names = [n for n in b.schema.names if n not in ("t", "ranges")]
+        names = [n for n in b.schema.names if n not in ("z", "ranges")]
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string()),
                                           pa.array(counts, pa.int64())], names=[*names, "t", "removed"])
 
@@ -170,14 +182,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             fresh(docs, "key_2"): row_key(id_col, text_col)[1]}).toDF(*names, "k1", "k2")
     src = src.withColumnRenamed(names[at], "t")
     kept = [n for n in names if n != names[at]]
-    joined = src.join(repeated_ranges(docs, id_col, text_col), ["k1", "k2"], "left").select(*kept, "t", "ranges")
     schema = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in kept)
+    packed = src.mapInArrow(zip_texts(*kept, "k1", "k2", text="t", keep_null=True),
+                            (schema + ", " if schema else "") + "k1 long, k2 long, z binary")
+    joined = packed.join(repeated_ranges(docs, id_col, text_col), ["k1", "k2"], "left").select(*kept, "z", "ranges")
     out = joined.mapInArrow(_remove, (schema + ", " if schema else "") + "t string, removed long")
     cols = [F.col("t" if i == at else n).alias(c) for i, (n, c) in enumerate(zip(names, docs.columns))]
     return out.select(*cols, *([F.col("removed").alias(removed_col)] if removed_col else []))
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents`` without repeated sentence spans: doc_id, n_removed (characters) and the text left."""
+    """All of ``documents`` without repeated sentence spans: doc_id, whether it held any, n_removed (characters) and
+    the text left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, removed_col="n_removed").select("doc_id", "n_removed", "text")
+    return remove_repeats(docs, removed_col="n_removed").select(
+        "doc_id", (F.col("n_removed") > 0).alias("has_repeats"), "n_removed", "text")

@@ -185,8 +185,9 @@ def brute_spans_removed(rows):
         n = [len(p.split()) for p in plain]
         runs = set()
         for i in range(len(units)):
-            runs.update([next(((i, j) for j in range(i + 2, len(units)) if sum(n[i:j + 1]) >= 10), None),
-                         next(((k, i) for k in range(i - 2, -1, -1) if sum(n[k:i + 1]) >= 10), None)])
+            fits = lambda a, b: sum(n[a:b + 1]) >= (10 if b - a >= 2 else 30)
+            runs.update([next(((i, j) for j in range(i, len(units)) if fits(i, j)), None),
+                         next(((k, i) for k in range(i, -1, -1) if fits(k, i)), None)])
         gone = set()
         for i, j in sorted(r for r in runs if r):
             key = tuple(plain[i:j + 1])
@@ -221,6 +222,19 @@ def test_planted_passages_go_from_all_but_the_first(spark):
             assert (after == before) if i == 0 else (after == before.replace(p + "\n", ""))
 
 
+def test_passages_inside_a_sentence_are_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    run = lambda n: " ".join(word() for _ in range(n))
+    found = 0
+    for k in range(20):
+        passage = run(60)
+        docs = spark.createDataFrame([(i, f"{run(17 + 3 * i)} {passage} {run(23)}.") for i in range(2)], "doc_id long, text string")
+        left = {r.doc_id: r.text for r in sentence_spans.remove_repeats(docs).collect()}
+        found += len(left[1].split()) < 17 + 3 + 60 + 23 - 20
+    assert found >= 18
+
+
 def test_spans_on_odd_rows(spark, odd_docs, no_docs):
     out = sentence_spans.remove_repeats(odd_docs, removed_col="n")
     assert out.columns == [*odd_docs.columns, "n"] and out.count() == odd_docs.count()
