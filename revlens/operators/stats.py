@@ -128,9 +128,9 @@ def chi_square(df: DataFrame, row: str, col: str, values: Sequence | None = None
 
 
 def pearson_residuals(df: DataFrame, row: str, col: str, values: Sequence | None = None,
-                      threshold: float = SIGNIFICANT_RESIDUAL) -> DataFrame:
+                      threshold: float = SIGNIFICANT_RESIDUAL, weight: str | None = None) -> DataFrame:
     """(o − e) / √e per cell with a flag for |residual| above ``threshold``."""
-    cells = contingency_cells(df, row, col, values)
+    cells = contingency_cells(df, row, col, values, weight)
     r = (F.col("observed") - F.col("expected")) / F.sqrt(F.col("expected"))
     return cells.select(row, col, "observed", "expected", r.alias("residual"),
                         (F.abs(r) > threshold).alias("significant"))

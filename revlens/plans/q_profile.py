@@ -181,6 +181,22 @@ def q_describe_numeric(spark, sf):
     return round_doubles(PR.describe_numeric(reviews(spark, sf), RC))
 
 
+@register("head_rows", "SELECT * FROM reviews ORDER BY review_id LIMIT 5", doubles=P3)
+def q_head_rows(spark, sf):
+    return round_doubles(PR.head_rows(reviews(spark, sf), "review_id", 5))
+
+
+@register("boolean_profile", f"""
+SELECT flag, value, "count", {sql_pct('"count"', 'sum("count") OVER (PARTITION BY flag)')} AS pct FROM (
+  SELECT 'scored' AS flag, NEGATIVE IS NOT NULL AS value, count(*) AS "count" FROM reviews GROUP BY 2 UNION ALL
+  SELECT 'rated', grade > 0, count(*) FROM reviews WHERE grade IS NOT NULL GROUP BY 2) t""", doubles=("pct",))
+def q_boolean_profile(spark, sf):
+    r = reviews(spark, sf).select(F.col("NEGATIVE").isNotNull().alias("scored"), (F.col("grade") > 0).alias("rated"))
+    parts = [PR.value_counts_pct(r, c).select(F.lit(c).alias("flag"), F.col(c).alias("value"), "count", "pct")
+             for c in r.columns]
+    return round_doubles(parts[0].unionByName(parts[1]))
+
+
 def _info_sql() -> str:
     dtypes = {"LongType": "bigint", "StringType": "string", "IntegerType": "int", "DoubleType": "double"}
     parts = [f"SELECT {i} AS position, '{f.name}' AS \"column\", '{dtypes[type(f.dataType).__name__]}' AS dtype, "

@@ -81,6 +81,27 @@ def hypothesis_report(df: DataFrame, banks: list[str], products_pair: tuple[str,
     return h1.unionByName(h2).unionByName(h3).select(*cols)
 
 
+def hypothesis_tables(df: DataFrame, banks: list[str], products: list[str], bank: str = "bank",
+                      product: str = "product", sentiment: str = "sentiment", alpha: float = ST.ALPHA) -> dict[str, DataFrame]:
+    """What stands behind the two chi-square checks, per check: the cells with
+    observed and expected counts, and the residuals of the cells, which are
+    empty unless the test rejects at ``alpha``. A check without any row gives
+    empty tables. One pass over ``df``; both checks read its counts."""
+    FL.require_columns(df, [bank, product, sentiment])
+    base = FL.drop_missing(df, [bank, product, sentiment]).withColumn(sentiment, strip_ws(F.upper(F.col(sentiment))))
+    base = (base.where(F.col(sentiment).isin("NEGATIVE", "NEUTRAL", "POSITIVE"))
+            .groupBy(bank, product, sentiment).agg(F.count(F.lit(1)).alias("_w")))
+    checkpoint_root(df.sparkSession)
+    base = base.checkpoint()
+    out = {}
+    for name, key, values in ((HYPOTHESES[0], bank, banks), (HYPOTHESES[2], product, products)):
+        part = base.where(F.col(key).isin(values))
+        p = ST.chi_square(part, key, sentiment, weight="_w", alpha=alpha).select("p_value").scalar()
+        out[f"{name}_cells"] = ST.contingency_cells(part, key, sentiment, weight="_w")
+        out[f"{name}_residuals"] = ST.pearson_residuals(part, key, sentiment, weight="_w").where(p < alpha)
+    return out
+
+
 def confidence_report(df: DataFrame, median_method: str = "bucketed") -> dict[str, DataFrame]:
     """Summary, binned distribution and 20-bin histogram of the top class probability."""
     x = df.select(max_confidence().alias("max_confidence"))
@@ -117,6 +138,7 @@ def eda_report(df: DataFrame, numeric: list[str] | None = None, categorical: lis
     checkpoint_root(df.sparkSession)
     x = df.select(*[c for c in keep if c in df.columns]).checkpoint()
     return {
+        "first_rows": PR.head_rows(x, ts),
         "table_info": PR.table_info(x),
         "describe": PR.describe_numeric(x, numeric),
         "missing": PR.missing_profile(x),

@@ -42,6 +42,19 @@ def test_hypothesis_report_matches_plan(spark):
     assert got["negative_share_first_gt_second"] == ref["negative_share_en_gt_fr"]
 
 
+def test_hypothesis_tables(spark):
+    from revlens.plans.reports import hypothesis_tables
+    df = spark.createDataFrame([("a", "p", "POSITIVE")] * 40 + [("b", "p", "NEGATIVE")] * 40 + [("a", "q", "NEGATIVE")] * 5
+                               + [("b", "q", "positive ")] * 5, "bank string, product string, sentiment string")
+    t = hypothesis_tables(df, ["a", "b"], ["p", "q"])
+    cells = {(r.bank, r.sentiment): r.observed for r in t["bank_vs_sentiment_cells"].collect()}
+    assert cells == {("a", "POSITIVE"): 40, ("a", "NEGATIVE"): 5, ("b", "POSITIVE"): 5, ("b", "NEGATIVE"): 40}
+    assert t["bank_vs_sentiment_residuals"].count() == 4            # rejected
+    assert t["product_vs_sentiment_cells"].count() == 4 and t["product_vs_sentiment_residuals"].count() == 0
+    none = hypothesis_tables(df, ["z"], ["z"])
+    assert all(v.count() == 0 for v in none.values())
+
+
 def test_confidence_report(spark):
     r = confidence_report(reviews(spark, SF001))
     s = r["summary"].first()
