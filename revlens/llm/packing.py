@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import batch_slices, fresh, stored
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
+BATCH_TEXT = 16 << 20     # text taken up at once, per task
 RANK_ROWS = 50_000        # pieces ranked in one sort
 
 
@@ -90,9 +91,7 @@ def plan_rows(plan) -> list[tuple[int, int, int, int, int, int]]:
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in batch_slices(batches, "text", BATCH_TEXT):
             ids, ends = enc.encode(b.column("text"))
             doc, piece, start, size, crc = [], [], [], [], []
             for i, d in enumerate(b.column("doc_id").to_pylist()):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import batch_slices
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "local_phone")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -155,7 +157,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 
 def _spans_and_text(redact: bool):
     def run(batches):
-        for b in batches:
+        for b in batch_slices(batches, "t"):
             texts, spans = b.column("t").to_pylist(), []
             for t in texts:
                 spans.append(find_spans(t or ""))
@@ -192,7 +194,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _digest_rows(batches):
-    for b in batches:
+    for b in batch_slices(batches, "t"):
         counts, shas, alls = [[] for _ in BASE_KINDS], [], []
         for t in b.column("t").to_pylist():
             spans = find_spans(t or "")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, row_key, stored, text_slices
+from .common import batch_slices, fresh, row_key, stored, text_slices
 from .weak import fit_votes, posterior
 
 SAMPLE_ROWS = 6000
@@ -141,7 +141,7 @@ def _slices(texts):
 
 
 def _figure_rows(batches):
-    for b in batches:
+    for b in batch_slices(batches, "t"):
         texts = [(t or "").encode() for t in b.column("t").to_pylist()]
         got = [text_features(part, False)[0] for _, part in _slices(texts)]
         got = np.concatenate(got) if got else np.zeros((0, len(FIGURES)), np.int64)
@@ -171,7 +171,7 @@ def labeller_votes():
 
 
 def _sample_rows(batches):
-    for b in batches:
+    for b in batch_slices(batches, "t"):
         texts = [(t or "").encode() for t in b.column("t").to_pylist()]
         for a, part in _slices(texts):
             x = text_features(part)[1]
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 def _score_rows(scorer: Scorer):
     def run(batches):
-        for b in batches:
+        for b in batch_slices(batches, "t"):
             p = scorer.score([(t or "").encode() for t in b.column("t").to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "p_good"])
     return run

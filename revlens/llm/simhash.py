@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batch_slices, stored
 from .components import Forest, components, spanning_links
 
 SHINGLE = 3
@@ -51,7 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for b in batches:
+        for b in batch_slices(batches, "t"):
             got = np.array([fingerprint(t, shingle) for t in b.column("t").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
     return run
