@@ -27,6 +27,7 @@ WINDOW = 32
 MASK = (1 << 11) - 1      # a chunk of 2 KB on average
 MIN_CHUNK, MAX_CHUNK = 256, 1 << 15
 SLICE_BYTES = 2 << 20     # text that is hashed at once, per task
+ENCODE_BYTES = 4 << 20    # text that is encoded at once, beside the chunks that a task holds
 SLICE_IDS = 1 << 19
 
 # A document without shared chunks is whole and carries its digests; any other carries its segments: what it encoded
@@ -143,7 +144,7 @@ def _encode_parts(tokenizer: str):
             shared = b.column("shared").to_pylist()
             plain = [i for i, s in enumerate(shared) if not s]
             if plain:
-                ids, ends = enc.encode(pa.array([texts[i] for i in plain], pa.binary()).cast(pa.string()))
+                ids, ends = enc.encode(pa.array([texts[i] for i in plain], pa.binary()).cast(pa.string()), ENCODE_BYTES)
                 n, sha, dec = _digests(tokenizer, ids, ends)
                 yield _batch(schema, {"whole": np.ones(len(plain), bool), "n_tokens": n, "ids_sha256": sha,
                                       "decoded_sha256": dec,
@@ -177,7 +178,7 @@ def _encode_parts(tokenizer: str):
                     at = e
                 close(at)
                 segs.append(own)
-            ids, ends = enc.encode(pa.array(todo, pa.binary()).cast(pa.string()))
+            ids, ends = enc.encode(pa.array(todo, pa.binary()).cast(pa.string()), ENCODE_BYTES)
             raw = [ids[ends[j]:ends[j + 1]].tobytes() for j in range(len(todo))]
             yield _batch(schema, {"whole": np.zeros(len(mixed), bool),
                                   **{c: [k[i] for i in mixed] for c, k in zip(("k1", "k2", "doc_id", "copies"), keys)},

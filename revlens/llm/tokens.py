@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 
 from .common import text_slices, worker_state
 
-SLICE_BYTES = 4 << 20
-MAX_PIECES = 200_000      # pieces kept between batches, per Python worker
+SLICE_BYTES = 8 << 20
+MAX_PIECES = 300_000      # pieces kept between batches, per Python worker
 MAX_PIECE_CHARS = 48      # longer pieces are encoded, not kept
 
 LETTER, DIGIT, MARK, QUOTE, SPACE, LINE, BLANK, HIGH, OTHER = range(1, 10)
@@ -167,14 +167,15 @@ class TextEncoder:
         self.n_slots, self.n_pool = bound
         return ids, np.concatenate([[0], stops])[np.searchsorted(marks, edges)]
 
-    def encode(self, texts: pa.Array):
-        """(ids of all texts in order, ends: text i has ids[ends[i]:ends[i + 1]]); null is the empty text."""
+    def encode(self, texts: pa.Array, slice_bytes: int | None = None):
+        """(ids of all texts in order, ends: text i has ids[ends[i]:ends[i + 1]]); null is the empty text. Pieces are
+        looked up over ``slice_bytes`` of text at a time: less takes less memory and meets more pieces again."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         sizes = np.asarray(pc.binary_length(texts))
         out, ends, total = [], [np.zeros(1, np.int64)], 0
-        for a, b in text_slices(sizes, SLICE_BYTES):
+        for a, b in text_slices(sizes, slice_bytes or SLICE_BYTES):
             ids, e = self._slice(texts.slice(a, b - a))
             out.append(ids)
             ends.append(e[1:] + total)
