@@ -24,16 +24,18 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..session import scratch_path
-from .common import unzip_texts, worker_state, zip_texts
+from .common import batch_slices, worker_state
 from .tokens import default_tokenizer, encoder
 
 BLOCK_IDS = 1 << 16
 MARK_IDS = 1 << 9
+BATCH_TEXT = 16 << 20    # text taken up at once, per task
 MAX_BITS = 18            # longest code; raised when a vocabulary needs more
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
                         T.StructField("seq", T.LongType()), T.StructField("before", T.LongType()),
-                        T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())])
+                        T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType()),
+                        T.StructField("counts", T.BinaryType())])
 BLOCKS = T.StructType([T.StructField("start", T.LongType()), T.StructField("n_ids", T.LongType()),
                        T.StructField("doc_ids", T.ArrayType(T.LongType())),
                        T.StructField("doc_lens", T.ArrayType(T.LongType())),
@@ -140,14 +142,17 @@ class CodeBook:
 # ---------------------------------------------------------------- writing
 
 def _encode(tokenizer: str, eos: int | None):
+    """A row per document, and a last row per task (seq -1) with how often the task met each id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         enc = encoder(tokenizer)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, ends = enc.encode(pa.array(unzip_texts(b.column("z")), pa.binary()).cast(pa.string()))
+        counts = np.zeros(max(enc.tok.get_vocab_size(), (eos or 0) + 1), np.int64)
+        for b in batch_slices(batches, "text", BATCH_TEXT):
+            ids, ends = enc.encode(b.column("text"))
+            counts += np.bincount(ids, minlength=len(counts))
+            if eos is not None:
+                counts[eos] += b.num_rows
             rows = []
             for i in range(b.num_rows):
                 own = ids[ends[i]:ends[i + 1]]
@@ -155,9 +160,14 @@ def _encode(tokenizer: str, eos: int | None):
             n = np.diff(ends) + (eos is not None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(seq + np.arange(len(n))),
-                 pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(rows, pa.binary())],
-                names=ENCODED.names)
+                 pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(rows, pa.binary()),
+                 pa.nulls(len(n), pa.binary())], names=ENCODED.names)
             seq, before = seq + len(n), before + int(n.sum())
+        if seq:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([-1], pa.int64()),
+                 pa.array([before], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.binary()),
+                 pa.array([counts.tobytes()], pa.binary())], names=ENCODED.names)
     return run
 
 
@@ -165,18 +175,14 @@ def _dtype(tokenizer: str):
     return encoder(tokenizer).dtype
 
 
-def _count(tokenizer: str):
-    def run(batches):
-        dtype, total = _dtype(tokenizer), np.zeros(0, np.int64)
-        for b in batches:
-            for ids in b.column("ids").to_pylist():
-                got = np.bincount(np.frombuffer(ids, dtype), minlength=len(total))
-                got[:len(total)] += total
-                total = got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])],
-                                         names=["token", "n"])
-    return run
+def _add_counts(batches):
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for raw in b.column("counts").to_pylist():
+            got = np.frombuffer(raw, np.int64)
+            total = got + total if len(total) else got
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["token", "n"])
 
 
 def _blocks(tokenizer: str, tokens: np.ndarray, bits: np.ndarray):
@@ -219,21 +225,22 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, i
     """Encode every text and write the token file to ``path``.
 
     Null texts are empty; every document ends with ``eos`` unless that is None. Texts cross the one exchange, a range
-    exchange by id, compressed; the ids that the sorted partitions give are stored once, counted, and coded from
+    exchange by id; the ids that the sorted partitions give are counted on the way, stored once, and coded from
     there. To the driver come one count per vocabulary entry and one total per partition. An empty table gives a file
     of no blocks; rows that share an id are documents of their own.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"),
                       F.col(text_col).alias("text"))
-    z = src.mapInArrow(zip_texts("doc_id", "h"), "doc_id long, h long, z binary")
+    # no Python before the exchange: Spark runs what stands there twice, once to find the bounds of the ranges
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = z.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    staged = src.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     stage_path = scratch_path(spark, "token-ids")
     staged.mapInArrow(_encode(tokenizer, eos), ENCODED).write.option("compression", "zstd").parquet(stage_path)
-    enc = spark.read.schema(ENCODED).parquet(stage_path)
+    staged = spark.read.schema(ENCODED).parquet(stage_path)
+    enc = staged.where("seq >= 0")
 
-    counts = (enc.select("ids").mapInArrow(_count(tokenizer), "token int, n long")
+    counts = (staged.select("counts").where("counts is not null").mapInArrow(_add_counts, "token int, n long")
               .groupBy("token").agg(F.sum("n").alias("n")).toPandas().sort_values("token"))   # vocabulary-sized
     tokens = counts["token"].to_numpy(np.int64)
     bits = code_lengths(counts["n"].to_numpy(np.int64))
