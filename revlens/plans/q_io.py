@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.extract import GROUP_FIELDS, extract_pages
-from ..operators.filters import filter_unknown_bank
+from ..operators.filters import filter_unknown_bank, rename_columns
 from ..schemas import HEADER_NAMES, REVIEWS
 from ..session import scratch_path
 from ..sources import (ingest_summary, page_batches, page_url_range, scan_csv, scan_csv_renamed, sink_csv_append,
                        sink_csv_overwrite, sink_json)
 from ..sources.files import scan_json
 from ..sources.pages import DEFAULT_BASE_URL
-from ..sources.tables import table_rows
 from ..streaming import ingest_incremental, stage_files, stream_counts, stream_dedup
-from .base import WS, register, reviews, round_doubles, sql_strip, table
+from .base import register, reviews, round_doubles, sql_strip, table
 
 P3 = ("NEGATIVE", "NEUTRAL", "POSITIVE")
 

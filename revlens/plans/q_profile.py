@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import label_by_confidence, max_confidence, softmax_probs
+from ..functions import max_confidence, softmax_probs
 from ..operators import profile as PR
 from ..operators import shape as SH
 from ..operators.stats import contingency_cells
 from ..schemas import RATING_COLS, REVIEWS, SUB_RATING_COLS
-from .base import dated, hypothesis_base, labelled, register, reviews, round_doubles, sql_pct, sql_softmax, table
+from .base import dated, hypothesis_base, register, reviews, round_doubles, sql_pct, sql_softmax, table
 
 P3 = ("NEGATIVE", "NEUTRAL", "POSITIVE")
 RC = RATING_COLS

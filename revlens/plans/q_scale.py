@@ -3,7 +3,6 @@ operators as the review plans, at a volume where partitioning matters."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import profile as PR
 from ..operators import shape as SH
