@@ -62,7 +62,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def dated(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews with the parsed time and without class scores: time series read no embedding."""
-    return reviews_standin(spark, sf, scores=False).withColumn("ts", parse_review_date(F.col("date")))
+    return with_columns_once(reviews_standin(spark, sf, scores=False), {"ts": parse_review_date(F.col("date"))})
 
 
 def final_reviews(spark: SparkSession, sf: str) -> DataFrame:
