@@ -3,10 +3,12 @@
 A text is cut into sentences; every run of several consecutive sentences is hashed, the hashes are joined over all
 documents, and sentences covered by any span that is not its hash's first occurrence are removed.
 
-* A sentence ends behind ``.``, ``!`` or ``?`` before white space, or at a line end. A sentence of more than
-  ``MAX_WORDS`` words is cut before words whose checksum says so (one in ``CUT_EVERY``, ``MIN_PIECE`` words apart at
-  least), so that a long repeated passage holds several pieces, the same ones wherever in a sentence it begins. Words
-  are compared in lower case with white space collapsed.
+* A sentence ends behind ``.``, ``!`` or ``?`` before white space, or at a line end. Every sentence is cut before the
+  word with the smallest checksum (of equal ones the last) of each ``WINDOW`` consecutive words of it. Whether a word
+  begins a piece depends on the ``WINDOW - 1`` words on either side alone, and no piece is longer than ``WINDOW``: two
+  texts that share a passage, wherever in their sentences it begins and ends, cut it alike but for its first and last
+  ``WINDOW - 1`` words. So any 50 words in common hold a whole span, and at least 25 of them are removed; up to
+  ``2 * WINDOW - 2`` words may stay at either end. Words are compared in lower case with white space collapsed.
 * A span is the shortest run that begins at a sentence and has ``RUN`` sentences and ``MIN_WORDS`` words, or
   ``LONG_WORDS`` words: a few one-word sentences that meet by chance are no repeat. Spans that end at a sentence are
   formed likewise, so a repeated passage is covered to both its ends.
@@ -30,46 +32,38 @@ from .common import batch_slices, fresh, row_key, stored, unzip_texts, zip_texts
 RUN = 3
 MIN_WORDS = 10
 LONG_WORDS = 30
-MAX_WORDS = 20
-CUT_EVERY, MIN_PIECE = 8, 4
+WINDOW = 7
 LAST_ID = (1 << 63) - 1
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
 
 
+def _cuts(words: list[str], edges: list[int]) -> np.ndarray:
+    """Indices of the words that begin a piece inside a sentence; ``edges`` are the sentences' bounds in words."""
+    if len(words) < WINDOW:
+        return np.empty(0, np.int64)
+    sums = np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words))
+    windows = np.lib.stride_tricks.sliding_window_view(sums, WINDOW)
+    at = np.arange(len(windows))
+    whole = np.searchsorted(edges, at, "right") == np.searchsorted(edges, at + WINDOW - 1, "right")
+    return np.unique((at + WINDOW - 1 - windows[:, ::-1].argmin(1))[whole])
+
+
 def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of every sentence with a word; white space behind a sentence belongs to it, and
-    white space before the first one to that one."""
-    out: list[tuple[int, int, int, bytes]] = []
+    """(start, end, words, digest) of every piece of a sentence; white space behind a piece belongs to it, and white
+    space before the first one to that one."""
+    words, at = text.lower().split(), [m.start() for m in _WORD.finditer(text)]
+    if not words:
+        return []
+    # lower-casing never changes where the words are
+    ends = np.unique(np.searchsorted(at, [*(m.end() for m in _END.finditer(text)), len(text)]))
+    edges = [0, *ends[ends > 0].tolist()]
+    first = np.union1d(edges, _cuts(words, edges)).astype(np.int64).tolist()
     digest = xxhash.xxh3_64_digest
-    start = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end == start:
-            continue
-        words = text[start:end].lower().split()
-        if len(words) > MAX_WORDS:
-            cuts, last = [0], 0
-            for i, w in enumerate(words):
-                if i - last >= MIN_PIECE and crc32(w.encode()) % CUT_EVERY == 0:
-                    cuts.append(i)
-                    last = i
-            # lower-casing never changes where the words are
-            at = [m.start() for m in _WORD.finditer(text, start, end)] if len(cuts) > 1 else []
-            edges = [start, *(at[i] for i in cuts[1:]), end]
-            for i, j, a, b in zip(cuts, [*cuts[1:], len(words)], edges, edges[1:]):
-                out.append((a, b, j - i, digest(" ".join(words[i:j]).encode())))
-        elif words:
-            out.append((start, end, len(words), digest(" ".join(words).encode())))
-        elif out:
-            a, _, n, d = out[-1]
-            out[-1] = (a, end, n, d)
-        else:
-            continue                              # leading white space: the first sentence begins before it
-        start = end
-    if out and out[0][0]:
-        out[0] = (0, *out[0][1:])
-    return out
+    starts = [0, *(at[i] for i in first[1:-1]), len(text)]
+    return [(a, b, j - i, digest(" ".join(words[i:j]).encode()))
+            for i, j, a, b in zip(first, first[1:], starts, starts[1:])]
 
 
 def spans(units) -> list[tuple[int, int]]:
@@ -90,29 +84,91 @@ def spans(units) -> list[tuple[int, int]]:
     return forward + [(a, b) for a, b in zip(first.tolist(), i.tolist()) if a >= 0 and (a, b) not in known]
 
 
-SPAN_ROWS = ("doc_id long, k1 long, k2 long, h1 array<long>, h2 array<long>, a array<int>, b array<int>, "
+SPAN_ROWS = ("doc_id long, k1 long, k2 long, h1 array<long>, h2 array<int>, step array<int>, length array<int>, "
              "again array<boolean>")
 
 
 def _span_rows(batches):
+    """Per text the spans in order of their beginning: two hashes (96 bits), where each begins behind the one before
+    it, its length, and whether the text held it before."""
     for batch in batch_slices(batches, "t"):
-        rows = []
+        offsets, hashes, a, b, again = [0], [], [], [], []
         for t in batch.column("t").to_pylist():
-            units, cols, seen = sentences(t or ""), ([], [], [], [], []), set()
+            units, seen, at = sentences(t or ""), set(), 0
             digests = b"".join(u[3] for u in units)
-            for first, last in sorted(spans(units)):
-                d = xxhash.xxh3_128_digest(digests[8 * first:8 * last + 8])
-                for c, v in zip(cols, (int.from_bytes(d[:8], "big", signed=True),
-                                       int.from_bytes(d[8:], "big", signed=True), units[first][0], units[last][1],
-                                       d in seen)):
-                    c.append(v)
+            for first, last in sorted(spans(units)) if units else ():
+                d = xxhash.xxh3_128_digest(digests[8 * first:8 * last + 8])[:12]
+                hashes.append(d)
+                again.append(d in seen)
                 seen.add(d)
-            rows.append(cols)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                start = units[first][0]
+                a.append(start - at)
+                b.append(units[last][1] - start)
+                at = start
+            offsets.append(len(hashes))
+        h = np.frombuffer(b"".join(hashes), np.dtype([("h1", ">i8"), ("h2", ">i4")]))
+        values = (pa.array(h["h1"].astype(np.int64)), pa.array(h["h2"].astype(np.int32)), pa.array(a, pa.int32()),
+                  pa.array(b, pa.int32()), pa.array(again, pa.bool_()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in ("doc_id", "k1", "k2")]
-            + [pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate(types)],
-            names=["doc_id", "k1", "k2", "h1", "h2", "a", "b", "again"])
+            + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v) for v in values],
+            names=["doc_id", "k1", "k2", "h1", "h2", "step", "length", "again"])
+
+
+CHUNKS = 64                           # parts of the bit table
+MIN_BITS, MAX_BITS = 20, 28           # powers of two; 32 MB at most
+BITS_PER_HASH = 8
+
+
+def _bit_chunks(bits: int):
+    """Hashes, all of a chunk in one task -> the chunk's part of the bit table."""
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = np.asarray(batch.column("h1")).view(np.uint64) >> np.uint64(64 - bits)
+            chunk, rest = place >> np.uint64(bits - 6), place & np.uint64((1 << bits - 6) - 1)
+            for c in np.unique(chunk).tolist():
+                own = parts.setdefault(c, np.zeros((1 << bits - 6) // 8, np.uint8))
+                r = rest[chunk == c].astype(np.int64)
+                np.bitwise_or.at(own, r >> 3, (1 << (r & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()),
+                                          pa.array([v.tobytes() for v in parts.values()], pa.binary())],
+                                         names=["chunk", "part"])
+    return run
+
+
+def _bit_table(spark: SparkSession, hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, table): a set bit for the first ``bits`` bits of every hash."""
+    bits = min(MAX_BITS, max(MIN_BITS, (BITS_PER_HASH * hashes.count()).bit_length()))
+    n = min(CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = (hashes.repartition(n, F.shiftrightunsigned("h1", 58)).mapInArrow(_bit_chunks(bits), "chunk int, part binary")
+             .collect())
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    size = len(table) // CHUNKS
+    for p in parts:
+        table[p["chunk"] * size:(p["chunk"] + 1) * size] = np.frombuffer(p["part"], np.uint8)
+    return bits, table
+
+
+def _candidates(bits: int, table: np.ndarray):
+    """Rows of the spans whose bit is set, and of those that their text held before."""
+    def run(batches):
+        for batch in batches:
+            column = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+            counts = np.diff(np.asarray(batch.column("h1").offsets))
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            h1, again = column("h1"), column("again")
+            place = (h1.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            use = np.flatnonzero(again | ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
+            total = np.concatenate([[0], np.cumsum(column("step"), dtype=np.int64)])
+            before = np.cumsum(counts) - counts
+            a = (total[1:] - total[before][row])[use]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(pa.array(row[use])) for c in ("doc_id", "k1", "k2")]
+                + [pa.array(h1[use]), pa.array(column("h2")[use]), pa.array(a.astype(np.int32)),
+                   pa.array((a + column("length")[use]).astype(np.int32)), pa.array(again[use])],
+                names=["doc_id", "k1", "k2", "h1", "h2", "a", "b", "again"])
+    return run
 
 
 def merge_ranges(ranges) -> list[list[int]]:
@@ -136,16 +192,21 @@ def cut_ranges(text: str, ranges) -> str:
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 (see ``row_key``), ranges: the code-point ranges to remove, for rows that have any.
 
-    One exchange counts the hashes (smallest and largest id per hash, summed before it), one brings a text's spans to
-    them; a span that a third of all documents hold is split by the skew handling of the join. Spans that occurred
-    earlier in the same text need no join.
+    The first half of a hash that only one text holds rules a span out: one exchange counts these halves and nothing
+    else, and a bit table of the repeated ones (32 MB at most) lets few other spans pass. A bit that is set by chance
+    costs a row and changes nothing, since the spans left are compared by whole hashes: one exchange finds the first
+    document of each, one brings the spans to it; a span that a third of all documents hold is split by the skew
+    handling of the join. Spans that occurred earlier in the same text need no join.
     """
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"),
                       *row_key(id_col, text_col), F.col(text_col).alias("t"))
     kept = stored(spark, src.mapInArrow(_span_rows, SPAN_ROWS), "sentence-spans")
-    rows = kept.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("h1", "h2", "a", "b", "again")).alias("s"))
-    rows = rows.select("doc_id", "k1", "k2", "s.h1", "s.h2", "s.a", "s.b", "s.again")
+    halves = (kept.select(F.explode(F.arrays_zip("h1", "again")).alias("s")).where("not s.again").groupBy("s.h1")
+              .agg(F.count("*").alias("n")).where("n > 1").select("h1"))
+    table = _bit_table(spark, stored(spark, halves, "repeated-halves"))
+    rows = stored(spark, kept.mapInArrow(_candidates(*table), "doc_id long, k1 long, k2 long, h1 long, h2 int, a int, "
+                                                              "b int, again boolean"), "span-candidates")
     first = rows.where("not again")
     repeated = (first.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest"))
                 .where("owner < latest").select("h1", "h2", "owner"))

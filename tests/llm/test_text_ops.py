@@ -235,6 +235,42 @@ def test_passages_inside_a_sentence_are_found(spark):
     assert found >= 18
 
 
+def common_words(a, b):
+    """Per word of ``b``, the length of the longest run of words in common with ``a`` that holds it: brute force."""
+    a, b, out = a.lower().split(), b.lower().split(), [0] * len(b.split())
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and (not i or not j or a[i - 1] != b[j - 1]):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                for k in range(j, j + n):
+                    out[k] = max(out[k], n)
+    return out
+
+
+def test_every_common_passage_of_fifty_words_is_found(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    run = lambda n, marks: " ".join(word() + ("." if rng.random() < marks else "") for _ in range(n))
+    rows = []
+    for k in range(400):
+        passage = run(rng.choice([50, 51, 55, 60, 80]), marks := rng.choice([0, 0.02, 0.1, 0.3]))
+        rows += [(2 * k + i, f"{run(rng.randint(0, 30), marks)} {passage} {run(rng.randint(0, 30), marks)}.") for i in range(2)]
+    left = {r.doc_id: r.text for r in sentence_spans.remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for (_, first), (doc, later) in zip(rows[::2], rows[1::2]):
+        assert left[doc - 1] == first
+        shared, kept, at = common_words(first, later), left[doc].split(), 0
+        whole = later.split()
+        # removal is one range inside the passage: what stays are the words before and behind it
+        n = len(whole) - len(kept)
+        while at < len(kept) and at + n < len(whole) and kept[at] == whole[at]:
+            at += 1
+        assert whole[:at] + whole[at + n:] == kept
+        assert n >= 25 and n >= max(shared) - 24 and min(shared[at:at + n]) >= 50, (n, max(shared))
+
+
 def test_spans_on_odd_rows(spark, odd_docs, no_docs):
     out = sentence_spans.remove_repeats(odd_docs, removed_col="n")
     assert out.columns == [*odd_docs.columns, "n"] and out.count() == odd_docs.count()
