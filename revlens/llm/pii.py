@@ -80,6 +80,25 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _ibans(t: str):
+    """Confirmed spans from left to right. A proposal may have taken in words or numbers behind the account number: the
+    longest part of it that ends where the characters of a group end and passes the checksum counts, and the search
+    goes on behind that part. Without one it goes on behind the proposal's first group, for a number that the proposal
+    has swallowed."""
+    at = 0
+    while m := _IBAN.search(t, at):
+        a, b = m.span()
+        at = a + 4
+        for end in range(b, a + 14, -1):
+            if end < len(t) and t[end].isascii() and t[end].isalnum() or t[end - 1] == " ":
+                continue
+            s = t[a:end].replace(" ", "")
+            if 15 <= len(s) <= 34 and _IBAN.fullmatch(t, a, end) and mod97(s):
+                yield a, end
+                at = end
+                break
+
+
 def base_spans(t: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches per kind that pass their check, in order of kind and start."""
     out = [("email", a, b) for a, b in _emails(t)] if "@" in t else []
@@ -109,10 +128,8 @@ def _score(kind: str, t: str, start: int, end: int, checked: bool) -> float:
 def added_spans(t: str, base) -> list[tuple[str, int, int, float]]:
     """Spans of the added kinds; a span of one of these kinds that meets an earlier one of any kind is left out."""
     found = []
-    for m in _IBAN.finditer(t):
-        s = m[0].replace(" ", "")
-        if 15 <= len(s) <= 34 and mod97(s):
-            found.append(("iban", m.start(), m.end(), _score("iban", t, m.start(), m.end(), True)))
+    for a, b in _ibans(t):
+        found.append(("iban", a, b, _score("iban", t, a, b, True)))
     for m in _SSN.finditer(t):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

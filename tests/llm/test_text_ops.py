@@ -151,6 +151,19 @@ def test_checksums_and_context():
     assert [s[0] for s in pii.find_spans("social security 123-45-6789")] == ["ssn"]
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034",
+                                  "SE45 5000 0000 0583 9825 7466", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("behind", ["", " by", ".", " BIC GEBABEBB", " EUR 500", " 2024 AB 12", " A B CD", " DE89 3704 0044 0532 0130 00"])
+def test_ibans_end_where_their_checksum_says(iban, behind):
+    for shown in (iban, iban.replace(" ", "")):
+        text = f"IBAN {shown}{behind}"
+        spans = [(a, b) for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+        assert spans[0] == (5, 5 + len(shown)), text
+        assert len(spans) == 1 + ("DE89" in behind), text
+    assert not [s for s in pii.find_spans("IBAN ES91 2100 0418 4502 0005 1333 BIC") if s[0] == "iban"]
+    assert [s[1:3] for s in pii.find_spans("Code AB12 CDEF GB82 WEST 1234 5698 7654 32") if s[0] == "iban"] == [(15, 42)]
+
+
 def test_pii_digests_of_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
     rows = pii.op6_pii(spark, SF01).collect()
