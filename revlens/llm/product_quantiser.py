@@ -234,8 +234,10 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: no links, a component of
-    their own. The dimension is the most frequent one; vectors of another one link with nothing either. Rows that share an id are vectors of their own and add their links up under it. An
-    empty table stays empty. A class's copies are linked with each other without being compared.
+    their own. The dimension is the most frequent one; vectors of another one link with nothing either. Rows that
+    share an id are vectors of their own, each with its own links. Null ids are passed over when the smallest of a
+    component is taken; a component of null ids only has a null component_id, and ``kept`` is null for rows without
+    an id. An empty table stays empty. A class's copies are linked with each other without being compared.
     """
     spark = table.sparkSession
     first = (table.select(F.col(id_col).alias("i"), F.size(vector_col).alias("d"))
@@ -243,8 +245,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
              .orderBy(F.desc("n"), "i").first())
     dim = first["d"] if first else 1
     vectors = valid_vectors(table, id_col, vector_col, dim)
-    classes = stored(spark, vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")),
-                     "vector-classes")
+    # a key of its own for every class, whatever ids its vectors have
+    classes = stored(spark, vectors.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     total = classes.count()
     plain = table.select(F.col(id_col).cast("long").alias("vec_id"),
                          F.col(vector_col).cast("array<double>").alias("v"))
@@ -274,9 +277,12 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     found = stored(spark, found, "vector-links")
     sums = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null"), "rep", "other")
-    by_class = (classes.join(sums, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    linked = roots.join(classes.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "root", "least")
+    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(lowest, "root").select("node", "component_id")
+    by_class = (classes.join(sums, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
                 .select(F.col("v").alias("c_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                        F.coalesce("root", "rep").alias("component_id")))
+                        F.coalesce("component_id", "least").alias("component_id")))
     joined = plain.join(by_class, F.col("v") == F.col("c_v"), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

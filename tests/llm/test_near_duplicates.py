@@ -166,3 +166,15 @@ def test_probes_reach_every_near_pair():
     home, probed = q.probes(x, reach)
     i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
     assert len(i) and (probed[i, home[j]] | probed[j, home[i]]).all()
+
+
+def test_vectors_without_ids_and_with_shared_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    near = product_quantiser.near_duplicates
+    rows = near(spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.01]), (7, [1.0, 0.02]), (9, [0.0, 1.0]),
+                                       (None, [-1.0, 0.0])], schema)).collect()
+    assert sorted(map(repr, [(r.vec_id, r.n_links, r.component_id) for r in rows])) == sorted(map(repr, [
+        (None, 2, 7), (None, 2, 7), (7, 2, 7), (9, 0, 9), (None, 0, None)]))
+    rows = near(spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.01, 1.0])], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows) == [
+        (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True)]
