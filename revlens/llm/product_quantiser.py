@@ -15,6 +15,8 @@ Only sums per class and a spanning forest of the links leave a task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -220,40 +222,22 @@ def _search(q: Quantiser, min_cosine: float):
     return run
 
 
-def valid_vectors(table: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
-    """vec_id, v (array<double>) of the rows whose vector has ``dim`` finite components, not all zero."""
+def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id, v (array<double>) of the rows whose vector has finite components only, not all zero."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return (table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-            .where(F.col("v").isNotNull() & (F.size("v") == dim)).where(fine)
+            .where(F.col("v").isNotNull()).where(fine)
             .where(F.exists("v", lambda x: x != 0)))
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
-                    min_cosine: float = MIN_COSINE) -> DataFrame:
-    """One row per row of ``table``: vec_id, n_links, component_id, kept.
-
-    Vectors that are null, zero or hold null or non-finite components link with nothing: no links, a component of
-    their own. The dimension is the most frequent one; vectors of another one link with nothing either. Rows that
-    share an id are vectors of their own, each with its own links. Null ids are passed over when the smallest of a
-    component is taken; a component of null ids only has a null component_id, and ``kept`` is null for rows without
-    an id. An empty table stays empty. A class's copies are linked with each other without being compared.
-    """
-    spark = table.sparkSession
-    first = (table.select(F.col(id_col).alias("i"), F.size(vector_col).alias("d"))
-             .where(F.col("d") > 0).groupBy("d").agg(F.count("*").alias("n"), F.min("i").alias("i"))
-             .orderBy(F.desc("n"), "i").first())
-    dim = first["d"] if first else 1
-    vectors = valid_vectors(table, id_col, vector_col, dim)
+def _linked_classes(vectors: DataFrame, dim: int, min_cosine: float) -> DataFrame:
+    """c_v, n_links, component_id of the distinct ones of ``vectors``, at least one, all of ``dim`` components."""
+    spark = vectors.sparkSession
     # a key of its own for every class, whatever ids its vectors have
     classes = stored(spark, vectors.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
                      .withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     total = classes.count()
-    plain = table.select(F.col(id_col).cast("long").alias("vec_id"),
-                         F.col(vector_col).cast("array<double>").alias("v"))
-    if not total:
-        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                            F.lit(True).alias("kept"))
     share = min(1.0, SAMPLE_ROWS / total)
     sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v") \
         if share < 1 else classes.select("v")
@@ -280,9 +264,29 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     linked = roots.join(classes.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "root", "least")
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(lowest, "root").select("node", "component_id")
-    by_class = (classes.join(sums, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
-                .select(F.col("v").alias("c_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                        F.coalesce("component_id", "least").alias("component_id")))
+    return (classes.join(sums, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
+            .select(F.col("v").alias("c_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                    F.coalesce("component_id", "least").alias("component_id")))
+
+
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
+                    min_cosine: float = MIN_COSINE) -> DataFrame:
+    """One row per row of ``table``: vec_id, n_links, component_id, kept.
+
+    Vectors that are null, zero or hold null or non-finite components link with nothing: no links, a component of
+    their own. Vectors link within their dimension; every dimension is searched on its own. Rows that share an id are
+    vectors of their own, each with its own links. Null ids are passed over when the smallest of a component is taken;
+    a component of null ids only has a null component_id, and ``kept`` is null for rows without an id. An empty table
+    stays empty. A class's copies are linked with each other without being compared.
+    """
+    plain = table.select(F.col(id_col).cast("long").alias("vec_id"),
+                         F.col(vector_col).cast("array<double>").alias("v"))
+    vectors = valid_vectors(table, id_col, vector_col)
+    dims = sorted(r["d"] for r in vectors.select(F.size("v").alias("d")).distinct().collect())
+    if not dims:
+        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+                            F.lit(True).alias("kept"))
+    by_class = reduce(DataFrame.union, [_linked_classes(vectors.where(F.size("v") == d), d, min_cosine) for d in dims])
     joined = plain.join(by_class, F.col("v") == F.col("c_v"), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

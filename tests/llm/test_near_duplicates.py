@@ -178,3 +178,12 @@ def test_vectors_without_ids_and_with_shared_ids(spark):
     rows = near(spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.01, 1.0])], schema)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows) == [
         (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True)]
+
+
+def test_vectors_of_every_dimension_are_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]),
+            (6, [1.0, 0.0, 0.0]), (7, [0.5]), (8, [2.0]), (9, [-1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in product_quantiser.near_duplicates(table).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False),
+                   6: (2, 4, False), 7: (1, 7, True), 8: (1, 7, False), 9: (0, 9, True)}
