@@ -6,6 +6,9 @@ its SHA-256 digest is hash-joined to the digests of known license texts and noti
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,12 +94,78 @@ NAMES = {
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC0-1.0": ["CC0 1.0", "the CC0 1.0 Universal Public Domain Dedication"],
 }
+# Whole licenses whose texts come with variants: see ``known_texts``. Fixed values.
+_BSD_1 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+{1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """{2} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {h} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+TITLES = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "Zlib": ["", "zlib License", "The zlib License", "zlib/libpng License"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The 2-Clause BSD License", "BSD License", "Simplified BSD License",
+                     'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "New BSD License",
+                     "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Unlicense": ["", "The Unlicense", "Unlicense"],
+}
+LONG_TEXTS = Path(__file__).with_name("license_texts")          # a file per license, named after it
+
+
+def _bodies() -> list[tuple[str, str]]:
+    """(license, text without a title) of the short licenses, in the forms they are met in."""
+    out = [(lic, TEXTS[lic].split("\n", 1)[1]) for lic in ("MIT", "ISC", "Zlib")]
+    for marks in (("*", "*", "*"), ("1.", "2.", "3.")):
+        for h in ("HOLDER", "HOLDERS"):
+            out += [("BSD-2-Clause", (_BSD_1 + _BSD_END).format(*marks, h=h)),
+                    ("BSD-3-Clause", (_BSD_1 + _BSD_3 + _BSD_END).format(*marks, h=h))]
+    link = "\nFor more information, please refer to <https://unlicense.org>"
+    return [*out, ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + link)]
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    """(license, text) of the long licenses, with and without what follows the end of their terms."""
+    out = []
+    for path in sorted(LONG_TEXTS.glob("*.txt")):
+        text = path.read_text()
+        end = re.search("END OF TERMS AND CONDITIONS", text)
+        out += [(path.stem, text), *([(path.stem, text[:end.start()]), (path.stem, text[:end.end()])] if end else [])]
+    return out
+
+
 MAX_BROADCAST_LICENSES = 100_000     # a row of the look-up is under 200 bytes
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(license, text) of every built-in text and notice."""
-    return [*TEXTS.items(), *((lic, f"{o} {n}.") for lic, names in NAMES.items() for n in names for o in OPENINGS)]
+    """(license, text) of every built-in text and notice; the short licenses under each of their titles or none, with
+    and without a line that all rights are reserved."""
+    short = [(lic, f"{title}\n{rights}\n{body}") for lic, body in _bodies() for title in TITLES[lic]
+             for rights in ("", "All rights reserved.")]
+    return [*TEXTS.items(), *short, *_long_texts(), *((lic, f"{o} {n}.") for lic, names in NAMES.items() for n in names for o in OPENINGS)]
 
 
 def canonical(text: Column) -> Column:

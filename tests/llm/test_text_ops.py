@@ -111,6 +111,22 @@ def test_entire_license_texts_are_found_in_any_dress(spark, odd_docs, no_docs):
     assert sorted(r.n_license_lines for r in rows) == [0, 2, 2, 2]
 
 
+def test_whole_licenses_under_any_title(spark):
+    mit = licenses.TEXTS["MIT"].split("\n", 1)[1]
+    site = "/opt/py313/lib/python3.13/site-packages"
+    read = lambda path: open(path).read()
+    rows = [("MIT", "Copyright (c) 2020 A B\n\n" + mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2021 X\n" + mit),
+            ("MIT", "MIT License\nCopyright 2020 Y\nAll rights reserved.\n" + mit),
+            ("BSD-2-Clause", read(f"{site}/packaging-26.3.dist-info/licenses/LICENSE.BSD")),
+            ("BSD-3-Clause", read(f"{site}/idna-3.20.dist-info/licenses/LICENSE.md")),
+            *((n, read(f"/usr/share/common-licenses/{f}")) for n, f in [
+                ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"),
+                ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]), (None, "MIT License"), (None, mit[:-9])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
 # ------------------------------------------------------------------ personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
