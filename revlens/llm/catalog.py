@@ -12,6 +12,8 @@ from .quality_classifier import op1_quality_classifier
 from .quality_rules import op3_quality_rules
 from .sentence_spans import op5_sentence_spans
 from .simhash import op7_simhash
+from .line_dedup import op12_line_dedup
+from .line_dedup import oracle_sql as line_sql
 from .token_file import op10_token_file
 
 QUERIES = {
@@ -25,8 +27,9 @@ QUERIES = {
     "op8_bpe_chunks": op8_bpe_chunks,
     "op9_license_scan": op9_license_scan,
     "op10_token_file": op10_token_file,
+    "op12_line_dedup": op12_line_dedup,
 }
-ORACLE_SQL = {"op9_license_scan": license_sql()}
+ORACLE_SQL = {"op9_license_scan": license_sql(), "op12_line_dedup": line_sql()}
 
 
 def queries():
