@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .bpe_chunks import op8_bpe_chunks
 from .licenses import op9_license_scan
 from .licenses import oracle_sql as license_sql
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_bpe_chunks": op8_bpe_chunks,
     "op9_license_scan": op9_license_scan,
     "op10_token_file": op10_token_file,
+    "op11_token_alignment": op11_token_alignment,
     "op12_line_dedup": op12_line_dedup,
 }
 ORACLE_SQL = {"op9_license_scan": license_sql(), "op12_line_dedup": line_sql()}
