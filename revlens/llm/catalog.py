@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op11_token_alignment
 from .bpe_chunks import op8_bpe_chunks
+from .conversation_repair import op13_conversation_repair
 from .licenses import op9_license_scan
 from .licenses import oracle_sql as license_sql
 from .packing import op4_packing
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_token_file": op10_token_file,
     "op11_token_alignment": op11_token_alignment,
     "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {"op9_license_scan": license_sql(), "op12_line_dedup": line_sql()}
 

@@ -96,3 +96,12 @@ def batch_slices(batches, column: str, limit: int = BATCH_BYTES):
         sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0))
         for start, stop in text_slices(sizes.tolist(), limit):
             yield b.slice(start, stop - start)
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], total: int, share: int = 1000) -> DataFrame:
+    """``rows`` (``total`` of them) with the columns of ``keys``, which holds one row per key and in ``n`` how many rows
+    have it. Keys with more than a ``share``-th of all rows, ``share`` of them at most, come by broadcast; of the others
+    none makes a task much larger than the rest. No column of ``on`` is null."""
+    limit = max(total // share, 1)
+    hot, rest = F.broadcast(keys.where(F.col("n") > limit)), keys.where(F.col("n") <= limit)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
