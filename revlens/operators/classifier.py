@@ -8,6 +8,7 @@ aggregation over the partitions, and every text is used whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -20,8 +21,7 @@ from ..functions import with_columns_once
 from ..functions.labels import grade_to_label
 from ..functions.text import clean_text
 from .filters import drop_missing, filter_min_length, filter_status
-from .shape import join_small
-
+from .shape import join_small, row_hash
 
 
 def prepare_training(df: DataFrame, text: str = "review", grade: str = "grade", min_raw: int = 10,
@@ -37,32 +37,53 @@ def prepare_training(df: DataFrame, text: str = "review", grade: str = "grade",
     return x.select(*keep, "cleaned_review", "label")
 
 
+# Rows of a border bucket that are ranked one by one; a larger bucket is counted again by a finer one.
+BORDER_ROWS = 100_000
+
+
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, test_frac: float = 0.2,
                      bucket_hex: int = 5) -> DataFrame:
     """Exact stratified split: in each label, the ``ceil(test_frac · n)`` rows
-    with the smallest ``md5('<seed>:<key>')`` (then key) are validation.
+    with the smallest ``md5('<seed>:<key>')`` (then key, then row hash) are
+    validation. Keys may repeat and be NULL: every row is a row of its own and
+    comes out once. Rows without a label are never validation.
 
     No window ever spans a whole label. The hash prefix (``bucket_hex`` hex
     digits, 2^20 buckets) is counted per label; a running sum over those
     bucket counts (≤ 2^20 rows per label) finds the bucket where the cut
-    falls, and only that bucket's rows (≈ n / 2^20) are ranked one by one.
+    falls, and only that bucket's rows (≈ n / 2^20) are ranked one by one. A
+    bucket that many rows of one key fill is counted again, by the whole hash
+    and then by prefixes of the row hash, before any row is ranked.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("long"))
-    per_bucket = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = per_bucket.groupBy(label).agg(F.sum("_c").alias("_n")) \
-                      .withColumn("_k", F.ceil(F.col("_n").cast("double") * F.lit(test_frac)).cast("long"))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    x = df.withColumns({"_h": h, "_d": row_hash(df)})
+    levels = [F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("long"), F.col("_h"),
+              F.shiftright("_d", 44), F.shiftright("_d", 24)]
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per_bucket.withColumn("_cum", F.sum("_c").over(w)).join(sizes, on=label)
-    cut = cum.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))) \
-             .select(label, F.col("_b").alias("_cut_b"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-    y = join_small(x, cut, on=label, how="left")  # one row per label: broadcast, never a shuffle by label
-    edge = (y.where(F.col("_b") == F.col("_cut_b"))
-            .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-            .where(F.col("_r") <= F.col("_need")).select(key, F.lit(True).alias("_in_edge")))
-    out = join_small(y, edge, on=key, how="left")  # ≈ n / 2^20 rows per label: measured, then broadcast
-    valid = (F.col("_b") < F.col("_cut_b")) | F.coalesce(F.col("_in_edge"), F.lit(False))
-    return out.withColumn("is_validation", F.coalesce(valid, F.lit(False))).select(*df.columns, "is_validation")
+    settled = []
+    for i, bucket in enumerate(levels):
+        x = x.withColumn("_b", bucket)
+        per_bucket = x.where(F.col(label).isNotNull()).groupBy(label, "_b").agg(
+            F.count(F.lit(1)).alias("_c"), *([F.max("_need").alias("_k")] if i else []))
+        if i == 0:
+            sizes = per_bucket.groupBy(label).agg(F.sum("_c").alias("_n")) \
+                              .select(label, F.ceil(F.col("_n").cast("double") * F.lit(test_frac)).cast("long").alias("_k"))
+            per_bucket = per_bucket.join(sizes, on=label)
+        cum = per_bucket.withColumn("_cum", F.sum("_c").over(w))
+        cut = cum.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))) \
+                 .select(label, F.col("_b").alias("_cut_b"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need"),
+                         F.col("_c").alias("_in_cut")).checkpoint()
+        # one row per label: broadcast, never a shuffle by label
+        y = join_small(x.drop("_need"), cut.drop("_in_cut"), on=label, how="left")
+        inside = F.coalesce(F.col("_b") == F.col("_cut_b"), F.lit(False))
+        settled.append(y.where(~inside).withColumn("is_validation", F.coalesce(F.col("_b") < F.col("_cut_b"), F.lit(False))))
+        x = y.where(inside).drop("_cut_b")
+        if i == len(levels) - 1 or (cut.agg(F.max("_in_cut")).first()[0] or 0) <= BORDER_ROWS:
+            break
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key, "_d"))
+    settled.append(x.withColumn("is_validation", rank <= F.col("_need")))
+    cols = [f"`{c}`" for c in df.columns] + ["is_validation"]
+    return reduce(DataFrame.unionAll, [p.select(*cols) for p in settled])
 
 
 def text_classifier_stages(text: str = "cleaned_review", label: str = "label", num_features: int = 1 << 18,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def _order(value: str, key: str | Sequence[str], ascending: bool = False) -> list[Column]:
@@ -68,22 +69,48 @@ def reverse_order(df: DataFrame, *cols: str) -> DataFrame:
 def number_shown(df: DataFrame, name: str = "position") -> DataFrame:
     """The rows of a small sorted result (a top list, a table of classes) with
     their places 1, 2, … as a column, so that the order survives a sink."""
-    rows = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return (df.coalesce(1).agg(rows.alias("_rows")).select(F.posexplode("_rows").alias("_at", "_row"))
-            .select("_row.*", (F.col("_at") + 1).cast("int").alias(name)))
+    # the result is sorted, so ids rise along it; the array is put in their order, whatever order it was gathered in
+    at = F.struct(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = F.array_sort(F.collect_list("_r"), lambda a, b: F.signum(a["at"] - b["at"]).cast("int"))
+    return (df.select(at.alias("_r")).agg(rows.alias("_rows")).select(F.posexplode("_rows").alias("_at", "_r"))
+            .select("_r.row.*", (F.col("_at") + 1).cast("int").alias(name)))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of the whole row; maps, which have no hash, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")
+                        for f in df.schema.fields])
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per ``key`` value: the one with the smallest ``order`` (a unique id).
+    """One row per ``key`` value: the one with the smallest ``order``.
+
+    Any ids will do: of rows that share the smallest id the one with the
+    smallest row hash stays, of equal rows one; a key none of whose rows has an
+    id keeps the row with the smallest hash. NULL keys are one group.
 
-    Grouped by a 256-bit digest of the key with the smallest id as a plain hash
-    aggregate, so copies collapse map-side and a long text is neither sorted nor
-    used as a shuffle key; the rows kept are then found by a semi join on the
-    unique id. NULL keys are one group.
+    Grouped by a 256-bit digest of the key with the smallest (id, row hash) as
+    its only aggregate, so copies collapse map-side and a long text is neither
+    sorted nor used as a shuffle key; the rows kept are then found by a semi
+    join on the id, which keeps the rows where an earlier join on it put them.
+    Rows without an id are one key per digest before they meet the others.
     """
-    first = (df.where(F.col(f"`{order}`").isNotNull()).groupBy(F.sha2(F.col(f"`{key}`").cast("string"), 256).alias("_d"))
-             .agg(F.min(F.col(f"`{order}`")).alias("_first")).select("_first"))
-    return df.join(first, F.col(f"`{order}`") == F.col("_first"), "left_semi")
+    cols = df.columns
+    digest = F.sha2(F.coalesce(F.concat(F.lit("+"), F.col(f"`{key}`").cast("string")), F.lit("-")), 256)
+    x = df.withColumns({"_o": F.col(f"`{order}`"), "_h": row_hash(df)})
+    known = x.where("_o is not null")
+    first = known.groupBy(digest.alias("_d")).agg(F.min(F.struct("_o", "_h")).alias("_f"))
+    # the hash is compared beside the join, so that the id alone decides where rows go
+    same = (F.col("_o") == F.col("_first")) & (F.col("_h").bitwiseXOR(F.col("_first_h")) == 0)
+    kept = known.join(first.select(F.col("_f._o").alias("_first"), F.col("_f._h").alias("_first_h")), same, "left_semi")
+    at = F.row_number().over(Window.partitionBy("_o", "_h").orderBy(F.lit(1)))
+    kept = kept.withColumn("_n", at).where("_n = 1").select(*[f"`{c}`" for c in cols])
+    if not df.schema[order].nullable:
+        return kept
+    lone = (x.where("_o is null").groupBy(digest.alias("_d"))
+            .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col("_h")).alias("_row")))
+    lone = lone.join(first.select("_d"), "_d", "left_anti").select("_row.*")
+    return kept.unionByName(lone)
 
 
 def distinct_options(df: DataFrame, col: str, all_value: str = "All", name: str = "option") -> DataFrame:
@@ -109,9 +136,10 @@ def expand_struct(df: DataFrame, struct_col: str) -> DataFrame:
 
 
 def join_group_count(df: DataFrame, group: str, cols: Sequence[str], count_name: str = "count") -> DataFrame:
-    """Per-group means aligned with per-group counts: one aggregate, no join."""
+    """Per-group means (NaN is missing) aligned with per-group counts: one aggregate, no join."""
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in cols], F.count(F.lit(1)).alias(count_name))
+        *[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"mean_{c}") for c in cols],
+        F.count(F.lit(1)).alias(count_name))
 
 
 def semi_join_top(df: DataFrame, col: str, k: int) -> DataFrame:
