@@ -9,11 +9,12 @@ from ..operators.extract import GROUP_FIELDS, extract_pages
 from ..operators.filters import filter_unknown_bank, rename_columns
 from ..schemas import HEADER_NAMES, REVIEWS
 from ..session import scratch_path
-from ..sources import (ingest_summary, page_batches, page_url_range, scan_csv, scan_csv_renamed, sink_csv_append,
-                       sink_csv_overwrite, sink_json)
+from ..sources import (append_once, ingest_summary, page_batches, page_url_range, read_committed, scan_csv,
+                       scan_csv_inferred, scan_csv_renamed, scan_csv_split, sink_csv_append, sink_csv_overwrite, sink_json)
 from ..sources.files import scan_json
 from ..sources.pages import DEFAULT_BASE_URL
-from ..streaming import ingest_incremental, stage_files, stream_counts, stream_dedup
+from ..streaming import (ingest_exactly_once, ingest_incremental, stage_files, stream_counts, stream_dedup,
+                         stream_keep_first)
 from .base import register, reviews, round_doubles, sql_strip, table
 
 P3 = ("NEGATIVE", "NEUTRAL", "POSITIVE")
@@ -26,6 +27,23 @@ def q_scan_csv(spark, sf):
     return round_doubles(scan_csv(spark, path, REVIEWS))
 
 
+@register("scan_csv_split", "SELECT * FROM reviews", doubles=P3)
+def q_scan_csv_split(spark, sf):
+    """Texts with quotes, commas and line breaks, read back by as many tasks as the files have splits."""
+    path = sink_csv_overwrite(reviews(spark, sf), scratch_path(spark, "scan-split"))
+    return round_doubles(scan_csv_split(spark, path, REVIEWS))
+
+
+_INTS = [f.name for f in REVIEWS.fields if isinstance(f.dataType, (T.IntegerType, T.LongType))]
+
+
+@register("scan_csv_inferred", "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _INTS)
+          + ") FROM reviews", doubles=P3, note="no schema is given: types follow from all values")
+def q_scan_csv_inferred(spark, sf):
+    path = sink_csv_overwrite(reviews(spark, sf), scratch_path(spark, "scan-inferred"))
+    return round_doubles(scan_csv_inferred(spark, path))
+
+
 @register("scan_csv_renamed", "SELECT * FROM reviews", doubles=P3)
 def q_scan_csv_renamed(spark, sf):
     header = {c: HEADER_NAMES.get(c, c) for c in REVIEWS.fieldNames()}
@@ -205,6 +223,26 @@ def q_ingest_incremental(spark, sf):
     return round_doubles(ingest_incremental(spark, src, REVIEWS))
 
 
+@register("ingest_exactly_once", "SELECT * FROM reviews", doubles=P3,
+          note="every batch is handed out twice, by two streams under one writer")
+def q_ingest_exactly_once(spark, sf):
+    src = stage_files(reviews(spark, sf), scratch_path(spark, "once-src"), ROWS_PER_FILE)
+    table_ = scratch_path(spark, "once-table")
+    for _ in range(2):          # the second has lost its checkpoint and hands out all batches again
+        got = ingest_exactly_once(spark, src, REVIEWS, table_)
+    return round_doubles(got)
+
+
+@register("append_once", "SELECT * FROM reviews", doubles=P3, note="a job that runs twice appends its CSV parts once")
+def q_append_once(spark, sf):
+    path, r = scratch_path(spark, "append-once"), reviews(spark, sf)
+    good = F.coalesce(F.col("status") == "good", F.lit(False))
+    for _ in range(2):
+        append_once(r.where(good), path, "job", 0, "csv")
+        append_once(r.where(~good), path, "job", 1, "csv")
+    return round_doubles(read_committed(spark, path, REVIEWS))
+
+
 _EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
                         T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
                         T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -219,6 +257,17 @@ def q_stream_dedup(spark, sf):
     return stream_dedup(spark, _events_path(sf), _EVENTS, ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
+@register("stream_keep_first", "SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER "
+          "(PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def q_stream_keep_first(spark, sf):
+    """The first event of every (user, type), held until no earlier one can come: here, for the whole span of events."""
+    span = table(spark, sf, "events").agg(F.max("ts"), F.min("ts")).first()
+    days = (span[0] - span[1]).days + 1 if span[0] else 1
+    ids = T.StructType([f for f in _EVENTS.fields if f.name in ("event_id", "ts", "user_id", "event_type")])
+    got = stream_keep_first(spark, _events_path(sf), ids, ["user_id", "event_type"], "ts", f"{days} days")
+    return got.select("user_id", "event_type", "event_id", "ts")
+
+
 @register("stream_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, "
           "CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, count(*) AS \"count\" "
           "FROM events GROUP BY 1, 2")

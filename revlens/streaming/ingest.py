@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import is_folder, scratch_path
+from ..sources import ledger
 
 
 # Input of one micro-batch, whatever the size of the table behind the stream.
@@ -54,6 +55,22 @@ def ingest_incremental(spark: SparkSession, source: str, schema: T.StructType, s
     return spark.read.schema(schema).parquet(sink)
 
 
+def ingest_exactly_once(spark: SparkSession, source: str, schema: T.StructType, table: str, checkpoint: str | None = None,
+                        writer: str = "ingest", max_bytes: int = BYTES_PER_TRIGGER) -> DataFrame:
+    """Append every new file of ``source`` to ``table`` under a ledger (``sources.ledger``): a micro-batch counts once,
+    also when it is run again after a crash, or all of them are after a lost checkpoint, and a batch that was written
+    but not committed is never read. The numbers of the batches belong to ``writer``."""
+    checkpoint = checkpoint or scratch_path(spark, "once-ckpt")
+
+    def write(batch: DataFrame, number: int) -> None:
+        ledger.append_once(batch, table, writer, number)
+
+    q = (_source(spark, source, schema, max_bytes).writeStream.foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return ledger.read_committed(spark, table, schema)
+
+
 def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], event_time: str,
                  delay: str | None = None, sink: str | None = None, checkpoint: str | None = None,
                  max_bytes: int = BYTES_PER_TRIGGER) -> DataFrame:
@@ -84,7 +101,8 @@ def stream_counts(spark: SparkSession, source: str, schema: T.StructType, event_
     """Tumbling-window row counts, maintained incrementally in state.
 
     Complete mode keeps every window current (the last one included); each
-    micro-batch rewrites the small result table through ``foreachBatch``.
+    micro-batch publishes the small result as the table's next version
+    (``sources.ledger``): readers have the one before until it stands.
     """
     sink = sink or scratch_path(spark, "counts-sink")
     checkpoint = checkpoint or scratch_path(spark, "counts-ckpt")
@@ -96,9 +114,9 @@ def stream_counts(spark: SparkSession, source: str, schema: T.StructType, event_
            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        ledger.publish(batch, sink, epoch)
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return ledger.read_version(spark, sink, agg.schema)
