@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.labels import assign_bin, CONFIDENCE_EDGES, percent_label, label_name
 from .shape import join_small, number_top, top_k_sorted
+from .wide import exact_mode, gauss_sums, gram_corr
 
 
 
@@ -168,24 +169,34 @@ def head_rows(df: DataFrame, order: str, n: int = 5) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def location_spread(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Median, smallest mode, std (n−1), min and max per column."""
+def location_spread(df: DataFrame, cols: Sequence[str], method: str = "map") -> DataFrame:
+    """Median, smallest mode, std (n−1), min and max per column; NaN is missing.
+
+    ``method="map"`` takes median and mode from value→count maps, right for
+    ratings; ``"bounded"`` takes the median from ``exact_quantiles`` and the mode
+    from ``exact_mode``, the same numbers in bounded memory on any column."""
+    xs = [_number(df, c) for c in cols]
+    if method == "bounded":
+        from .quantiles import exact_quantiles
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("v")) for c, x in zip(cols, xs)])))
+        spread = long.groupBy("column").agg(F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+        modes = [(c, m[0] if m else None) for c, m in exact_mode(df, cols).items()]
+        mode = df.sparkSession.createDataFrame(modes, "column string, mode double")
+        med = exact_quantiles(long, "v", [0.5], ["column"], names=["median"]).select("column", "median")
+        return mode.join(spread, "column", "left").join(med, "column", "left").select(
+            "column", "median", "mode", "std", "min", "max")
     aggs, structs = [], []
-    for i, c in enumerate(cols):
-        x = F.col(c)
-        aggs += [F.median(x).alias(f"med{i}"), F.mode(x, True).alias(f"mode{i}"),
-                 F.stddev_samp(x.cast("double")).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 F.max(x).alias(f"max{i}")]
-        structs.append(F.struct(F.lit(c).alias("column"), F.col(f"med{i}").cast("double").alias("median"),
-                                F.col(f"mode{i}").cast("double").alias("mode"), F.col(f"std{i}").alias("std"),
-                                F.col(f"min{i}").cast("double").alias("min"),
-                                F.col(f"max{i}").cast("double").alias("max")))
+    for i, (c, x) in enumerate(zip(cols, xs)):
+        aggs += [F.median(x).alias(f"med{i}"), F.mode(x, True).alias(f"mode{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        structs.append(F.struct(F.lit(c).alias("column"), F.col(f"med{i}").alias("median"), F.col(f"mode{i}").alias("mode"),
+                                F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max")))
     return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
 def group_means(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in cols], F.count(F.lit(1)).alias("count"))
+        *[F.avg(_number(df, c)).alias(f"mean_{c}") for c in cols], F.count(F.lit(1)).alias("count"))
 
 
 def group_mean_top(df: DataFrame, group: str, cols: Sequence[str], k: int = 10) -> DataFrame:
@@ -201,11 +212,11 @@ def group_mean_min_count(df: DataFrame, group: str, cols: Sequence[str], min_row
 
 
 def group_multi_agg(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    """mean, non-NULL count and std (n−1) of every column per group."""
+    """mean, count (neither NULL nor NaN) and std (n−1) of every column per group."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.count(F.col(c)).alias(f"{c}_count"),
-                 F.stddev_samp(F.col(c).cast("double")).alias(f"{c}_std")]
+        x = _number(df, c)
+        aggs += [F.avg(x).alias(f"{c}_mean"), F.count(x).alias(f"{c}_count"), F.stddev_samp(x).alias(f"{c}_std")]
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
 
 
@@ -223,8 +234,8 @@ def grade_distribution(df: DataFrame, grade: str = "grade") -> DataFrame:
 
 
 def satisfaction_levels(df: DataFrame, grade: str = "grade", high: float = 4, low: float = 2) -> DataFrame:
-    """Rows and % of all rows with grade ≥ high, strictly between, ≤ low."""
-    g = F.col(grade)
+    """Rows and % of all rows with grade ≥ high, strictly between, ≤ low; NULL and NaN grades are in none."""
+    g = _number(df, grade)
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
                  F.count_if(g >= high).alias("_h"),
                  F.count_if((g > low) & (g < high)).alias("_m"),
@@ -237,9 +248,10 @@ def satisfaction_levels(df: DataFrame, grade: str = "grade", high: float = 4, lo
 
 
 def global_kpis(df: DataFrame, grade: str = "grade", cols: Sequence[str] = ("bank", "product", "city")) -> DataFrame:
+    g = _number(df, grade)
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   *[F.count_distinct(F.col(c)).alias(f"distinct_{c}") for c in cols],
-                  F.avg(grade).alias("mean_grade"), F.median(grade).cast("double").alias("median_grade"))
+                  F.avg(g).alias("mean_grade"), F.median(g).alias("median_grade"))
 
 
 def date_bounds(df: DataFrame, ts: str) -> DataFrame:
@@ -335,34 +347,36 @@ def histogram_equal_width(df: DataFrame, col: str, bins: int = 20, median_method
 KDE_REACH = 39.0
 
 
-def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5) -> DataFrame:
+def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5, method: str = "moments") -> DataFrame:
     """Gaussian KDE on ``points`` grid points from min to max, scaled to the
     histogram's count axis (× n × bin width), Scott bandwidth std·n^(−1/5).
 
-    Work is (distinct values × grid points in reach), generated per task by
-    ``explode`` and summed by a partial aggregate — no join between data and
-    grid. A kernel term beyond ``KDE_REACH`` bandwidths is exactly 0.0 in double
-    precision (e^(−½·39²) underflows), so each value only expands the grid
-    points within that reach: the same sums, and since the bandwidth shrinks
-    as n^(−1/5), far fewer rows at scale. A column with zero variance has no
-    curve (no rows).
+    ``method="moments"`` adds up the values of each box of one bandwidth by
+    their moments (``operators.wide.gauss_sums``, error below 1e-9 of the rows):
+    what is exchanged and met with the grid are boxes, however many distinct
+    values there are. ``"values"`` adds up a term per distinct value and grid
+    point: a kernel term beyond ``KDE_REACH`` bandwidths is exactly 0.0 in
+    double precision (e^(−½·39²) underflows), so each value only expands the
+    points within that reach. A column with zero variance has no curve.
     """
     s = df.select(_number(df, col).alias("_x")).where(F.col("_x").isNotNull())
     st = _stats(s, n=F.count(F.lit(1)), mn=F.min("_x"), mx=F.max("_x"), sd=F.stddev_samp("_x"))
     n, mn, mx, sd = st["n"], st["mn"], st["mx"], st["sd"]
     bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
     width = (mx - mn) / F.lit(float(bins))
-    vc = s.groupBy("_x").agg(F.count(F.lit(1)).alias("_cnt"))
     step = (mx - mn) / F.lit(float(points - 1))
-    first = F.greatest(F.lit(0), F.ceil((F.col("_x") - F.lit(KDE_REACH) * bw - mn) / step).cast("int"))
-    last = F.least(F.lit(points - 1), F.floor((F.col("_x") + F.lit(KDE_REACH) * bw - mn) / step).cast("int"))
-    g = F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).alias("point")
     grid_x = mn + F.col("point").cast("double") * (mx - mn) / F.lit(float(points - 1))
-    contrib = (vc.where(bw > 0).select("_x", "_cnt", g)
-               .select("point", (F.col("_cnt") * F.exp(F.lit(-0.5) * F.pow((grid_x - F.col("_x")) / bw, 2)))
-                       .alias("_k")))
+    if method == "moments":
+        sums = gauss_sums(s, grid_x, bw, mn, step, points, KDE_REACH + 1)
+    else:
+        first = F.greatest(F.lit(0), F.ceil((F.col("_x") - F.lit(KDE_REACH) * bw - mn) / step).cast("int"))
+        last = F.least(F.lit(points - 1), F.floor((F.col("_x") + F.lit(KDE_REACH) * bw - mn) / step).cast("int"))
+        g = F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).alias("point")
+        vc = s.groupBy("_x").agg(F.count(F.lit(1)).alias("_cnt"))
+        sums = (vc.where(bw > 0).select("_x", "_cnt", g)
+                .select("point", (F.col("_cnt") * F.exp(F.lit(-0.5) * F.pow((grid_x - F.col("_x")) / bw, 2))).alias("_k"))
+                .groupBy("point").agg(F.sum("_k").alias("_s")))
     scale = width / (bw * F.lit((2 * 3.141592653589793) ** 0.5))
-    sums = contrib.groupBy("point").agg(F.sum("_k").alias("_s"))
     # every grid point is reported: points out of every value's reach sum to 0.0
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point")).where(bw > 0)
     return (grid.join(sums, on="point", how="left")
@@ -410,12 +424,19 @@ def _pair_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
 
 
+# Columns up to which correlations are expressions of one aggregate.
+WIDE = 16
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r for every ordered column pair, pairwise-complete; NULL where
-    undefined (constant column, fewer than two pairs). One aggregate computes
-    each unordered pair once."""
+    undefined (constant column, fewer than two pairs); NaN is missing. One
+    aggregate computes each unordered pair once; more than ``WIDE`` columns go
+    through one Gram matrix per task instead (``operators.wide``)."""
     cols = list(cols)
-    xs = {c: F.col(c).cast("double") for c in cols}
+    if len(cols) > WIDE:
+        return gram_corr(df, cols)
+    xs = {c: _number(df, c) for c in cols}
     aggs, names = [], {}
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):

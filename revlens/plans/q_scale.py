@@ -3,6 +3,7 @@ operators as the review plans, at a volume where partitioning matters."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import profile as PR
 from ..operators import shape as SH
@@ -72,6 +73,36 @@ def q_kde_lineitem(spark, sf):
     return round_doubles(PR.kde_curve(table(spark, sf, "lineitem"), "l_quantity", 200, 20))
 
 
+@register("kde_price_lineitem", _kde_sql("lineitem", "l_extendedprice", 200, 20), doubles=("x", "density"))
+def q_kde_price_lineitem(spark, sf):
+    return round_doubles(PR.kde_curve(table(spark, sf, "lineitem"), "l_extendedprice", 200, 20))
+
+
+@register("location_spread_lineitem", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", median(CAST({c} AS DOUBLE)) AS median, (SELECT CAST({c} AS DOUBLE) FROM lineitem WHERE {c}
+       IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode, stddev_samp({c}) AS std,
+       CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem""" for c in LI_NUM),
+    doubles=("median", "mode", "std", "min", "max"))
+def q_location_spread_lineitem(spark, sf):
+    return round_doubles(PR.location_spread(table(spark, sf, "lineitem"), LI_NUM, method="bounded"))
+
+
+_DIMS = 64
+
+
+@register("corr_matrix_embeddings", f"""
+WITH cells AS (SELECT vec_id, unnest(range(1, {_DIMS + 1})) AS k, unnest(embedding) AS v FROM embeddings),
+st AS (SELECT k, stddev_samp(v) AS s FROM cells GROUP BY k)
+SELECT 'e' || a.k AS col1, 'e' || b.k AS col2,
+       CASE WHEN any_value(sa.s) > 0 AND any_value(sb.s) > 0 THEN corr(CAST(a.v AS DOUBLE), CAST(b.v AS DOUBLE)) END AS r
+FROM cells a JOIN cells b ON a.vec_id = b.vec_id JOIN st sa ON sa.k = a.k JOIN st sb ON sb.k = b.k GROUP BY a.k, b.k""",
+          doubles=("r",))
+def q_corr_matrix_embeddings(spark, sf):
+    """All pairs of the embeddings' dimensions, through one Gram matrix per task."""
+    v = table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).alias(f"e{i + 1}") for i in range(_DIMS)])
+    return round_doubles(PR.corr_matrix(v, v.columns))
+
+
 @register("monthly_counts_lineitem", "SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS month, "
           "count(*) AS \"count\" FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1")
 def q_monthly_counts_lineitem(spark, sf):
