@@ -211,7 +211,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """Labellers and EM on all rows; the scorer on about ``sample_rows`` rows whose hash is smallest."""
+    """Labellers and EM on all rows; the scorer on the ``sample_rows`` distinct rows whose hash is smallest, at most."""
     spark = docs.sparkSession
     src = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
     schema = "k1 long, k2 long, " + ", ".join(f"{c} long" for c in FIGURES)
@@ -219,16 +219,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     votes = labeller_votes()
     voted = figures.where("n_words > 0").select("k1", "k2", *[c.alias(k) for k, c in votes.items()])
     total = voted.count()
-    if not total:
+    if not total:                                   # no text has a word
         return Scorer(np.zeros(BUCKETS), 0.0)
     model = fit_votes(voted, list(votes))
-    parts = 1 << 30
-    cut = parts if total <= sample_rows else max(1, sample_rows * parts // total)
-    chosen = F.pmod(F.xxhash64("k1", "k2"), F.lit(parts)) < cut
-    labels = (voted.where(chosen).select("k1", "k2", posterior(model, list(votes)).alias("p"))
-              .dropDuplicates(["k1", "k2"]))
-    x = (src.where(chosen).mapInArrow(_sample_rows, "k1 long, k2 long, x binary").dropDuplicates(["k1", "k2"]))
-    rows = x.join(labels, ["k1", "k2"]).select("x", "p").orderBy("k1", "k2").limit(2 * sample_rows).collect()
+    # distinct rows in the order of their hash: as long as there is any row there is a sample
+    labels = (voted.select("k1", "k2", posterior(model, list(votes)).alias("p")).dropDuplicates(["k1", "k2"])
+              .orderBy(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)), "k1", "k2").limit(sample_rows))
+    labels = stored(spark, labels, "quality-sample")         # sample_rows at most
+    x = src.join(F.broadcast(labels.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    x = x.mapInArrow(_sample_rows, "k1 long, k2 long, x binary").dropDuplicates(["k1", "k2"])
+    rows = x.join(F.broadcast(labels), ["k1", "k2"]).select("x", "p").orderBy("k1", "k2").collect()
     feats = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
     return Scorer(*train_scorer(feats, np.array([r["p"] for r in rows])))
 
