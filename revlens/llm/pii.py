@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,10 +137,19 @@ def added_spans(t: str, base) -> list[tuple[str, int, int, float]]:
             found.append(("ssn", m.start(), m.end(), _score("ssn", t, m.start(), m.end(), False)))
     for m in _LOCAL_PHONE.finditer(t):
         found.append(("local_phone", m.start(), m.end(), _score("local_phone", t, m.start(), m.end(), False)))
-    taken, out = sorted((a, b) for _, a, b in base), []
+    # what is taken, as ranges apart from each other in order: only the last that begins before an end can reach into it
+    starts, ends, out = [], [], []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for k, a, b, s in found:
-        if s >= MIN_SCORE and not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
+        i = bisect_left(starts, b)
+        if s >= MIN_SCORE and not (i and ends[i - 1] > a):
+            starts.insert(i, a)
+            ends.insert(i, b)
             out.append((k, a, b, s))
     return out
 
