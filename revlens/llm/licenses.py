@@ -7,7 +7,7 @@ its SHA-256 digest is hash-joined to the digests of known license texts and noti
 from __future__ import annotations
 
 import re
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +133,7 @@ TITLES = {
                      "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License'],
     "Unlicense": ["", "The Unlicense", "Unlicense"],
 }
-LONG_TEXTS = Path(__file__).with_name("license_texts")          # a file per license, named after it
+LONG_TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")     # a file each in license_texts
 
 
 def _bodies() -> list[tuple[str, str]]:
@@ -150,10 +150,10 @@ def _bodies() -> list[tuple[str, str]]:
 def _long_texts() -> list[tuple[str, str]]:
     """(license, text) of the long licenses, with and without what follows the end of their terms."""
     out = []
-    for path in sorted(LONG_TEXTS.glob("*.txt")):
-        text = path.read_text()
+    for lic in LONG_TEXTS:                  # read as the package is shipped, as a folder or a zip; none may be missing
+        text = files(__package__).joinpath("license_texts", f"{lic}.txt").read_text(encoding="utf-8")
         end = re.search("END OF TERMS AND CONDITIONS", text)
-        out += [(path.stem, text), *([(path.stem, text[:end.start()]), (path.stem, text[:end.end()])] if end else [])]
+        out += [(lic, text), *([(lic, text[:end.start()]), (lic, text[:end.end()])] if end else [])]
     return out
 
 
