@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_slices, stored
+from .common import batch_slices, row_key, stored
 from .components import Forest, components, spanning_links
 
 SHINGLE = 3
@@ -53,14 +53,16 @@ def _fingerprints(shingle: int):
     def run(batches):
         for b in batch_slices(batches, "t"):
             got = np.array([fingerprint(t, shingle) for t in b.column("t").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(got.view(np.int64))],
+                                             names=["doc_id", "k1", "k2", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null texts have fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(
-        _fingerprints(shingle), "doc_id long, fp long")
+    """doc_id, k1, k2 (see ``row_key``), fp (the 64 bits as a signed long) of every row; null texts have fingerprint 0."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col),
+                       F.col(text_col).alias("t")).mapInArrow(
+        _fingerprints(shingle), "doc_id long, k1 long, k2 long, fp long")
 
 
 # ------------------------------------------------------------------ grid
@@ -201,7 +203,8 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (smallest id reachable by links, itself included).
+    """One row per row of ``docs``: doc_id, k1, k2 (see ``row_key``), fp, component_id (smallest id reachable by links,
+    itself included) and root (the same for all rows of a component, and never null).
 
     Equal fingerprints are one point, so copies are never compared. Null and empty texts share fingerprint 0. Null ids
     are passed over when the smallest is taken; a component of null ids only has a null component_id. Rows that
@@ -214,8 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = rooted.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id")
-    return fps.join(by_fp, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    by_fp = rooted.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id", "root")
+    return fps.join(by_fp, F.col("fp") == F.col("c_fp")).select("doc_id", "k1", "k2", "fp", "component_id", "root")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
