@@ -7,10 +7,10 @@ shared checkpoint folder and hands the next stage what it reads back. All but th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import fresh, stored
+from revlens.llm.common import fresh, row_key, stored
 from revlens.llm.packing import pack_documents
 from revlens.llm.pii import redact
 from revlens.llm.quality_classifier import MIN_SCORE, classify
@@ -31,26 +31,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays. Rows without an id stay when no
-    linked document has one; rows that share an id and are kept stay as they are."""
-    got = near_duplicates(docs)
-    kept = (got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-            .distinct())
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of every group of near-duplicates one document stays: the one with the smallest id (none comes last), of those
+    that share it the one with the smallest hash of its text, and of equal rows one. Null and empty texts are copies of
+    each other. An empty table stays empty."""
+    k1, k2 = (fresh(docs, n) for n in ("k1", "k2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("f")
+    kept = near_duplicates(docs).groupBy("root").agg(first).select(F.col("f.k1").alias(k1), F.col("f.k2").alias(k2))
+    keys = [c.alias(n) for c, n in zip(row_key("doc_id", "text"), (k1, k2))]
+    found = docs.select("*", *keys).join(kept, [k1, k2], "left_semi")
+    copy = fresh(docs, "copy")
+    number = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(1)))
+    return found.withColumn(copy, number).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences that earlier documents hold go out of the text; the document stays."""
+    """Sentences that earlier documents hold go out of the text; the document stays, null and empty texts as they are.
+    A copy that is equal in id and text loses every sentence of a span. An empty table stays empty."""
     return _recount(remove_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets, in every row by itself; null texts stay null. An empty table
+    stays empty."""
     return _recount(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in the packed sequences."""
+    """Every piece's place in the packed sequences. Null and empty texts are pieces of one id; equal rows are packed
+    each for itself. An empty table gives no pieces."""
     return pack_documents(docs)
 
 
