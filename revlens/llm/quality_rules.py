@@ -87,12 +87,11 @@ def rule_votes() -> dict[str, Column]:
         "v_word_length": _vote((chars * 2 < n * 5) | (chars > n * 14), (chars >= n * 3) & (chars <= n * 10)),
         "v_stops": _vote(F.col("n_stops") * 100 < n, (F.col("n_stops") * 40 >= n) & (F.col("n_stops") * 3 <= n)),
         "v_symbols": _vote(F.col("n_symbols") * 10 > n),
-        "v_many_symbols": _vote(F.col("n_symbols") * 4 > n),
         "v_marks": _vote(F.col("n_marks") * 100 > chars * 8),
         "v_lines": _vote(F.col("n_dup_lines") * 2 > F.col("n_lines")),
         "v_repeats": _vote(F.col("n_repeat_words") * 100 > n * 30),
         "v_capitals": _vote(F.col("n_capitals") * 10 > chars * 3),
-        "v_variety": _vote(F.col("n_distinct") * 100 < n * 8),
+        "v_variety": _vote(F.col("n_distinct") * 100 < n * 8, F.col("n_distinct") * 3 >= n),
     }
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOTES = (-1, 0, 1)
-SMOOTH = 1.0              # added to every cell of a rule's table
 MAX_RULES = 9             # 3**9 patterns at most
-# Every rule is taken to be better than chance at what it calls bad, however rare that damage is: without these two
-# bounds the two classes may settle on any other split of the data that several rules agree on.
-MAX_FALSE_ALARM = 0.005   # probability of a bad vote on a good row
-MIN_ALARM = 0.2           # probability of a bad vote on a bad row
+# What is believed of every rule before any row is seen, as STRENGTH rows of each class: that good rows are common and
+# that a bad vote is rare on them. It settles which class is the good one and steadies rules that hardly ever vote;
+# a few hundred rows outweigh it.
+STRENGTH = 100
+PRIOR = 0.9               # share of good rows
+ALARM, FALSE_ALARM = 0.3, 0.01        # share of bad votes on bad and on good rows
+PRAISE = (0.2, 0.4)       # share of good votes among the others, on bad and on good rows
 
 
 @dataclass(frozen=True)
@@ -38,32 +40,32 @@ class WeakModel:
         return x
 
 
-def _bounded(cells: Sequence[float], low: float, high: float) -> tuple:
-    """Shares of the cells, the first held between ``low`` and ``high``."""
-    total = sum(cells)
-    first = min(max(cells[0] / total, low), high)
-    rest = (1 - first) / (cells[1] + cells[2])
-    return first, cells[1] * rest, cells[2] * rest
+def _belief(alarm: float, praise: float) -> tuple:
+    return STRENGTH * alarm, STRENGTH * (1 - alarm) * (1 - praise), STRENGTH * (1 - alarm) * praise
 
 
-def fit(patterns: Sequence[tuple[Sequence[int], float]], n_rules: int, steps: int = 50) -> WeakModel:
-    """EM from "bad if any rule says so": E-step the posterior of each pattern, M-step the rules' tables."""
+def fit(patterns: Sequence[tuple[Sequence[int], float]], n_rules: int, steps: int = 200) -> WeakModel:
+    """EM from "bad if any rule says so": E-step the posterior of each pattern, M-step the rules' tables and the prior
+    from the rows and the belief. Without rows everything is even."""
     total = sum(c for _, c in patterns)
+    if not total:
+        return WeakModel(0.5, (((1 / 3,) * 3,) * 2,) * n_rules, (0.5,) * n_rules)
     post = [0.1 if any(v < 0 for v in p) else 0.95 for p, _ in patterns]
+    start = _belief(ALARM, PRAISE[0]), _belief(FALSE_ALARM, PRAISE[1])
     model = None
     for _ in range(steps):
         good = sum(q * c for q, (_, c) in zip(post, patterns))
-        prior = min(max((good + SMOOTH) / (total + 2 * SMOOTH), 1e-3), 1 - 1e-3)
+        prior = min(max((good + PRIOR * STRENGTH) / (total + STRENGTH), 1e-3), 1 - 1e-3)
         tables, acc = [], []
         for j in range(n_rules):
-            cells = [[SMOOTH] * 3, [SMOOTH] * 3]
+            cells = [list(x) for x in start]
             for q, (p, c) in zip(post, patterns):
                 cells[1][p[j] + 1] += q * c
                 cells[0][p[j] + 1] += (1 - q) * c
             right = cells[1][2] + cells[0][0]
             wrong = cells[1][0] + cells[0][2]
             acc.append(right / (right + wrong))
-            tables.append((_bounded(cells[0], MIN_ALARM, 1 - 1e-6), _bounded(cells[1], 0.0, MAX_FALSE_ALARM)))
+            tables.append(tuple(tuple(x / sum(row) for x in row) for row in cells))
         model = WeakModel(prior, tuple(tables), tuple(acc))
         now = [1 / (1 + math.exp(-min(max(model.log_odds(p), -500), 500))) for p, _ in patterns]
         moved = max((abs(a - b) for a, b in zip(now, post)), default=0.0)
@@ -73,7 +75,7 @@ def fit(patterns: Sequence[tuple[Sequence[int], float]], n_rules: int, steps: in
     return model
 
 
-def fit_votes(votes: DataFrame, columns: Sequence[str], steps: int = 50) -> WeakModel:
+def fit_votes(votes: DataFrame, columns: Sequence[str], steps: int = 200) -> WeakModel:
     """Fit on the vote columns of every row of ``votes``; an empty table gives an even prior and even tables."""
     if len(columns) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
