@@ -3,10 +3,12 @@ plus the flagship end-to-end query."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import argmax_label, grade_to_label, label_by_confidence
+from ..operators import batched as BA
 from ..operators import classifier as CL
 from ..operators import profile as PR
 from ..operators import score as SC
@@ -27,6 +29,31 @@ def q_score_text(spark, sf):
     return round_doubles(s.select("review_id", *P3))
 
 
+def _toy_weights():
+    """A fixed weight per token id and class, as SQL can state it."""
+    i = np.arange(BA.VOCABULARY)[:, None]
+    return (i * np.array([3, 5, 7])) % 997 / 997.0 * 4 - 2
+
+
+_HEX = " + ".join(f"{16 ** (3 - k)} * (instr('0123456789abcdef', h[{k + 1}]) - 1)" for k in range(4))
+_IDS_CTE = f"""hashed AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')[1:{BA.SCORE_TOKENS}],
+                                lambda w: md5(lower(w))) AS hs FROM documents),
+ids AS (SELECT doc_id, list_transform(hs, lambda h: {_HEX}) AS a FROM hashed),
+logits AS (SELECT doc_id, {", ".join(f"coalesce(list_avg(list_transform(a, lambda i: CAST((i * {m}) % 997 AS DOUBLE) / 997 * 4 - 2)), 0) AS z{k}"
+                                     for k, m in enumerate((3, 5, 7)))} FROM ids)"""
+_SZ = sql_softmax("z0", "z1", "z2")
+
+
+@register("score_texts", f"SELECT doc_id, {_SZ[0]} AS NEGATIVE, {_SZ[1]} AS NEUTRAL, {_SZ[2]} AS POSITIVE FROM logits",
+          doubles=P3, ctes=_IDS_CTE)
+def q_score_texts(spark, sf):
+    """Every document scored from its text, 512 tokens at most, in padded batches of like length."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    got = BA.score_texts(d, BA.mean_model(_toy_weights(), np.zeros(3)), "text", P3)
+    return round_doubles(got.select("doc_id", *P3))
+
+
 _PREP_SQL = f"""
 SELECT review_id, cleaned_review, label FROM (
   SELECT review_id, {sql_clean('review')} AS cleaned_review, {sql_grade_label('grade')} AS label
@@ -95,6 +122,28 @@ def q_train_classifier(spark, sf):
                     (accuracy >= _majority(s) - ACCURACY_SLACK).alias("at_least_majority"))
 
 
+EPOCHS = 3
+
+
+@register("train_epochs", f"SELECT CAST(e AS INTEGER) AS epoch, (SELECT count(*) FROM split WHERE NOT is_validation) AS n_train, "
+          f"(SELECT count(*) FROM split WHERE is_validation) AS n_valid, CAST(1 AS BIGINT) AS winners, true AS winner_is_best, "
+          f"true AS loss_falls, true AS model_predicts_alike FROM range(0, {EPOCHS}) r(e)", ctes=_SPLIT_CTE,
+          note="the stored model of the best epoch gives that epoch's accuracy and loss again, from the texts")
+def q_train_epochs(spark, sf):
+    s = _split_docs(spark, sf)
+    got = BA.train_epochs(s, "doc_id", "text", "label", "is_validation", 2, EPOCHS, batch_rows=64)
+    rows = got.orderBy("epoch").select("valid_loss", "valid_accuracy", "train_loss", "best").collect()
+    best = next(r for r in rows if r["best"])
+    p = BA.score_texts(s.where("is_validation"), BA.mean_model(*BA.load_model(got, 2)), "text", ("p0", "p1"), BA.TRAIN_TOKENS)
+    own = F.when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p0"))
+    again = p.agg(F.avg(-F.log(own)), F.avg(((F.col("p1") > F.col("p0")) == (F.col("label") == 1)).cast("double"))).first()
+    alike = max(abs(again[0] - best["valid_loss"]), abs(again[1] - best["valid_accuracy"])) < 1e-9
+    return got.select(
+        "epoch", "n_train", "n_valid", F.lit(sum(r["best"] for r in rows)).cast("long").alias("winners"),
+        F.lit(best["valid_accuracy"] == max(r["valid_accuracy"] for r in rows)).alias("winner_is_best"),
+        F.lit(rows[-1]["train_loss"] < rows[0]["train_loss"]).alias("loss_falls"), F.lit(alike).alias("model_predicts_alike"))
+
+
 @register("select_best_model", "SELECT CAST(c AS INTEGER) AS candidate, (SELECT count(*) FROM split WHERE is_validation) "
           "AS n_validated, CAST(1 AS BIGINT) AS winners, true AS winner_is_best, true AS at_least_majority, "
           "true AS saved_predicts_alike FROM range(0, 3) r(c)", ctes=_SPLIT_CTE,
