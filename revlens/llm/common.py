@@ -52,6 +52,13 @@ def worker_state(key, make):
     return values[key]
 
 
+def forget_state(name: str):
+    """Drops the values of this worker process whose keys begin with ``name``."""
+    values = getattr(sys.modules.get("_revlens_worker_state"), "values", {})
+    for key in [k for k in values if k[0] == name]:
+        del values[key]
+
+
 def text_slices(sizes, limit: int):
     """Ranges of consecutive texts whose sizes add up to ``limit`` at most; a
     longer text is a range of its own."""

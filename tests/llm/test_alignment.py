@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from llm_texts import SF001, no_docs, odd_docs  # noqa: F401
@@ -126,9 +127,18 @@ def test_whole_texts_give_the_same_as_units(libraries):
     whole.cuts = False
     texts = [(" " + t).encode() for t in TEXTS]
     for x, y in zip(cut.documents(texts), whole.documents(texts)):
-        assert (x is None) == (y is None)
-        if x:
-            assert b";".join(p[0] for p in x) == y[0][0] and sum((p[1].tolist() for p in x), []) == y[0][1].tolist()
+        assert x.tolist() == y.tolist()
+    again = cut.documents(texts[::-1])                               # from what was kept
+    assert again[0].tolist() == whole.documents(texts[::-1])[0].tolist()
+
+
+def test_ends_come_from_spans_and_decoded_bytes():
+    # two texts of 6 and 3 bytes: tokens of 1, 1 + 2 (one character of three bytes), 2 and then 3 bytes
+    span = np.array([[0, 1], [1, 4], [1, 4], [4, 6], [6, 9]])
+    first, start = np.array([0, 0, 0, 0, 4]), np.array([0, 0, 0, 0, 6])
+    assert alignment.token_ends(span, np.array([1, 1, 2, 2, 3]), first, start).tolist() == [1, 2, 4, 6, 9]
+    span[1:3] = 0                                                    # byte tokens without a span
+    assert alignment.token_ends(span, np.array([1, 1, 2, 2, 3]), first, start).tolist() == [1, 2, 4, 6, 9]
 
 
 def test_pair_counts_stay_within_the_bound(spark, libraries):
