@@ -41,7 +41,7 @@ ROLE = {"u": "user", "a": "assistant"}
 SOUND = {"su", "ua", "au"}
 NEVER = 1 << 30
 
-SEGMENT = 128
+SEGMENT = 16
 LONG = 512
 RANGE_ROWS = 50_000                   # rows of long conversations in a task
 
