@@ -347,17 +347,18 @@ def histogram_equal_width(df: DataFrame, col: str, bins: int = 20, median_method
 KDE_REACH = 39.0
 
 
-def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5, method: str = "moments") -> DataFrame:
+def kde_curve(df: DataFrame, col: str, points: int = 200, bins: int = 5, method: str = "values") -> DataFrame:
     """Gaussian KDE on ``points`` grid points from min to max, scaled to the
     histogram's count axis (× n × bin width), Scott bandwidth std·n^(−1/5).
 
-    ``method="moments"`` adds up the values of each box of one bandwidth by
-    their moments (``operators.wide.gauss_sums``, error below 1e-9 of the rows):
-    what is exchanged and met with the grid are boxes, however many distinct
-    values there are. ``"values"`` adds up a term per distinct value and grid
-    point: a kernel term beyond ``KDE_REACH`` bandwidths is exactly 0.0 in
-    double precision (e^(−½·39²) underflows), so each value only expands the
-    points within that reach. A column with zero variance has no curve.
+    ``method="values"`` adds up a term per distinct value and grid point, right
+    for ratings and exact to the last digits of the far tails: a kernel term
+    beyond ``KDE_REACH`` bandwidths is exactly 0.0 in double precision
+    (e^(−½·39²) underflows), so each value only expands the points within that
+    reach. ``"moments"`` is for continuous columns: the values of each box of one
+    bandwidth go in as their moments (``operators.wide.gauss_sums``, error below
+    1e-9 of the rows), and what is exchanged and met with the grid are boxes,
+    however many distinct values there are. A column with zero variance has no curve.
     """
     s = df.select(_number(df, col).alias("_x")).where(F.col("_x").isNotNull())
     st = _stats(s, n=F.count(F.lit(1)), mn=F.min("_x"), mx=F.max("_x"), sd=F.stddev_samp("_x"))

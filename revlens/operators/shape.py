@@ -89,27 +89,32 @@ def dedup_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     smallest row hash stays, of equal rows one; a key none of whose rows has an
     id keeps the row with the smallest hash. NULL keys are one group.
 
-    Grouped by a 256-bit digest of the key with the smallest (id, row hash) as
-    its only aggregate, so copies collapse map-side and a long text is neither
-    sorted nor used as a shuffle key; the rows kept are then found by a semi
-    join on the id, which keeps the rows where an earlier join on it put them.
-    Rows without an id are one key per digest before they meet the others.
+    Grouped by a 256-bit digest of the key with the smallest id as a plain hash
+    aggregate, so copies collapse map-side and a long text is neither sorted nor
+    used as a shuffle key; the rows kept are then found by a semi join on the
+    id, which keeps the rows where an earlier join on it put them. Rows without
+    an id are one key per digest before they meet the others.
     """
     cols = df.columns
-    digest = F.sha2(F.coalesce(F.concat(F.lit("+"), F.col(f"`{key}`").cast("string")), F.lit("-")), 256)
-    x = df.withColumns({"_o": F.col(f"`{order}`"), "_h": row_hash(df)})
+    text = F.col(f"`{key}`").cast("string")
+    digest = F.sha2(F.coalesce(F.concat(F.lit("+"), text), F.lit("-")), 256)
+    x = df.withColumns({"_o": F.col(f"`{order}`"), "_k": F.xxhash64(text), "_h": row_hash(df)})
     known = x.where("_o is not null")
-    first = known.groupBy(digest.alias("_d")).agg(F.min(F.struct("_o", "_h")).alias("_f"))
-    # the hash is compared beside the join, so that the id alone decides where rows go
-    same = (F.col("_o") == F.col("_first")) & (F.col("_h").bitwiseXOR(F.col("_first_h")) == 0)
-    kept = known.join(first.select(F.col("_f._o").alias("_first"), F.col("_f._h").alias("_first_h")), same, "left_semi")
-    at = F.row_number().over(Window.partitionBy("_o", "_h").orderBy(F.lit(1)))
+    first = known.groupBy(digest.alias("_d")).agg(F.min("_o").alias("_first"), F.max("_k").alias("_first_k"))
+    # the key's hash is compared beside the join, so that the id alone decides where rows go
+    same = (F.col("_o") == F.col("_first")) & (F.col("_k").bitwiseXOR(F.col("_first_k")) == 0)
+    kept = known.join(first.select("_first", "_first_k"), same, "left_semi")
+    at = F.row_number().over(Window.partitionBy("_o", "_k").orderBy("_h"))
     kept = kept.withColumn("_n", at).where("_n = 1").select(*[f"`{c}`" for c in cols])
     if not df.schema[order].nullable:
         return kept
-    lone = (x.where("_o is null").groupBy(digest.alias("_d"))
-            .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col("_h")).alias("_row")))
-    lone = lone.join(first.select("_d"), "_d", "left_anti").select("_row.*")
+    unknown = x.where("_o is null")
+    lone = (unknown.groupBy(digest.alias("_d")).agg(F.min("_h").alias("_first_h"), F.max("_k").alias("_first_k"))
+            .join(first.select("_d"), "_d", "left_anti"))
+    same = (F.col("_h") == F.col("_first_h")) & (F.col("_k") == F.col("_first_k"))
+    at = F.row_number().over(Window.partitionBy("_h", "_k").orderBy(F.lit(1)))
+    lone = (unknown.join(lone.select("_first_h", "_first_k"), same, "left_semi").withColumn("_n", at).where("_n = 1")
+            .select(*[f"`{c}`" for c in cols]))
     return kept.unionByName(lone)
 
 

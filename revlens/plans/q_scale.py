@@ -70,12 +70,12 @@ def q_histogram_lineitem(spark, sf):
 
 @register("kde_lineitem", _kde_sql("lineitem", "l_quantity", 200, 20), doubles=("x", "density"))
 def q_kde_lineitem(spark, sf):
-    return round_doubles(PR.kde_curve(table(spark, sf, "lineitem"), "l_quantity", 200, 20))
+    return round_doubles(PR.kde_curve(table(spark, sf, "lineitem"), "l_quantity", 200, 20, method="moments"))
 
 
 @register("kde_price_lineitem", _kde_sql("lineitem", "l_extendedprice", 200, 20), doubles=("x", "density"))
 def q_kde_price_lineitem(spark, sf):
-    return round_doubles(PR.kde_curve(table(spark, sf, "lineitem"), "l_extendedprice", 200, 20))
+    return round_doubles(PR.kde_curve(table(spark, sf, "lineitem"), "l_extendedprice", 200, 20, method="moments"))
 
 
 @register("location_spread_lineitem", " UNION ALL ".join(

@@ -114,7 +114,7 @@ def test_a_mode_that_stands_out_needs_no_full_count(spark):
 def test_moments_give_the_kernel_sums(spark, make):
     x = make(np.random.default_rng(8))
     df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(4)
-    fast = {r.point: (r.x, r.density) for r in P.kde_curve(df, "v").collect()}
+    fast = {r.point: (r.x, r.density) for r in P.kde_curve(df, "v", method="moments").collect()}
     sums = {r.point: (r.x, r.density) for r in P.kde_curve(df, "v", method="values").collect()}
     bw = x.std(ddof=1) * len(x) ** -0.2
     grid = np.linspace(x.min(), x.max(), 200)
@@ -127,10 +127,11 @@ def test_moments_give_the_kernel_sums(spark, make):
 
 def test_curve_of_nothing_and_of_one_value(spark):
     for rows in ([], [(1.0,)], [(2.0,)] * 5, [(None,), (NAN,)]):
-        assert P.kde_curve(spark.createDataFrame(rows, "v double"), "v").count() == 0
+        df = spark.createDataFrame(rows, "v double")
+        assert P.kde_curve(df, "v").count() == P.kde_curve(df, "v", method="moments").count() == 0
 
 
 def test_no_shuffle_of_distinct_values(spark):
     df = spark.range(1000).selectExpr("cast(id as double) / 7 as v")
-    plan = P.kde_curve(df, "v")._jdf.queryExecution().executedPlan().toString()
+    plan = P.kde_curve(df, "v", method="moments")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_x" not in plan and "hashpartitioning(_box" in plan
