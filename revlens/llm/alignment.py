@@ -34,7 +34,7 @@ from .common import batch_slices, forget_state, stored, text_slices, worker_stat
 from .tokens import MAX_PIECE_CHARS, Pool, _sure_cuts_hold, sure_cuts
 
 MARK = "▁"
-MAX_UNITS = 150_000                   # units kept between batches, per Python worker
+MAX_UNITS = 300_000                   # units kept between batches, per Python worker
 SLICE_BYTES = 1 << 20
 ENCODE = 8192                         # units that are encoded and aligned at a time
 

@@ -44,4 +44,4 @@ def test_run_equals_the_stages(spark):
 def test_every_dealt_query_is_registered():
     names = E.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
