@@ -13,7 +13,8 @@ documents, and sentences covered by any span that is not its hash's first occurr
   ``LONG_WORDS`` words: a few one-word sentences that meet by chance are no repeat. Spans that end at a sentence are
   formed likewise, so a repeated passage is covered to both its ends.
 * The first occurrence of a hash is the one in the document with the smallest id, and there the one nearest the
-  beginning. Rows with the same id count as one document, and so do rows without an id, which come last.
+  beginning. Rows without an id come last. Rows that share an id, or have none, are documents of their own, in the order
+  of their text's hash; of rows that are equal in both, all but one are copies and lose every sentence in a span.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_slices, fresh, row_key, stored, unzip_texts, zip_texts
@@ -115,38 +116,95 @@ def _span_rows(batches):
             names=["doc_id", "k1", "k2", "h1", "h2", "step", "length", "again"])
 
 
-CHUNKS = 64                           # parts of the bit table
-MIN_BITS, MAX_BITS = 20, 28           # powers of two; 32 MB at most
+BUCKET_SPANS = 1 << 21                # spans per bucket of hash prefixes, about
+MIN_BUCKET_BITS, MAX_BUCKET_BITS = 5, 20
+FLUSH = 1 << 21                       # spans that a task gathers before it sends them
+MIN_BITS, MAX_BITS = 23, 28           # of the bit table, powers of two; 32 MB at most
 BITS_PER_HASH = 8
 
 
-def _bit_chunks(bits: int):
-    """Hashes, all of a chunk in one task -> the chunk's part of the bit table."""
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as differences, their bytes by place: the high ones are nearly all zero."""
+    import zstandard
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _values(packed: bytes) -> np.ndarray:
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _by_bucket(bits: int):
+    """Spans of texts -> one row per bucket and task: the 32 bits behind the prefix, once each, and which of them
+    several texts of the task hold."""
+    def flush(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        rest = (h >> np.uint64(32 - bits)).astype(np.uint32)
+        order, edges = np.unique(bucket, return_index=True)
+        cuts = list(zip(edges.tolist(), [*edges[1:].tolist(), len(h)]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(order, pa.int32()), pa.array([_planes(rest[a:b]) for a, b in cuts], pa.binary()),
+             pa.array([np.packbits(n[a:b] > 1).tobytes() for a, b in cuts], pa.binary())], names=["bucket", "h", "again"])
+
     def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = np.asarray(batch.column("h1")).view(np.uint64) >> np.uint64(64 - bits)
-            chunk, rest = place >> np.uint64(bits - 6), place & np.uint64((1 << bits - 6) - 1)
-            for c in np.unique(chunk).tolist():
-                own = parts.setdefault(c, np.zeros((1 << bits - 6) // 8, np.uint8))
-                r = rest[chunk == c].astype(np.int64)
-                np.bitwise_or.at(own, r >> 3, (1 << (r & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()),
-                                          pa.array([v.tobytes() for v in parts.values()], pa.binary())],
-                                         names=["chunk", "part"])
+        held, size = [], 0
+        for b in batches:
+            flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            held.append(flat("h1").view(np.uint64)[~flat("again").astype(bool)])
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+    return run
+
+
+def _repeats(batches):
+    """All rows of a bucket -> its hashes that several texts hold."""
+    parts: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        for bucket, h, again in zip(*(b.column(c).to_pylist() for c in ("bucket", "h", "again"))):
+            values = _values(h)
+            twice = np.unpackbits(np.frombuffer(again, np.uint8), count=len(values)).astype(bool)
+            parts.setdefault(bucket, []).extend((values, values[twice]))
+    for bucket, held in parts.items():
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        values = values[n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(values)], pa.int64()),
+                                          pa.array([_planes(values)], pa.binary())], names=["bucket", "n", "h"])
+
+
+def _bit_part(bucket_bits: int, bits: int):
+    """Repeated hashes of a bucket -> the bucket's part of the bit table."""
+    def run(batches):
+        for b in batches:
+            for bucket, h in zip(b.column("bucket").to_pylist(), b.column("h").to_pylist()):
+                part = np.zeros(1 << bits - bucket_bits, bool)
+                part[_values(h) >> np.uint32(32 - bits + bucket_bits)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(
+                    part, bitorder="little").tobytes()], pa.binary())], names=["bucket", "part"])
     return run
 
 
-def _bit_table(spark: SparkSession, hashes: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, table): a set bit for the first ``bits`` bits of every hash."""
-    bits = min(MAX_BITS, max(MIN_BITS, (BITS_PER_HASH * hashes.count()).bit_length()))
-    n = min(CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = (hashes.repartition(n, F.shiftrightunsigned("h1", 58)).mapInArrow(_bit_chunks(bits), "chunk int, part binary")
-             .collect())
+def _bit_table(spark: SparkSession, kept: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, table): a set bit for the first ``bits`` bits of every hash that several texts hold. Hashes cross one
+    exchange, by prefix, as 32 bits each that are sorted and compressed."""
+    spans = kept.select(F.sum(F.size("step"))).first()[0] or 0
+    bucket_bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, (spans // BUCKET_SPANS).bit_length()))
+    packed = kept.select("h1", "again").mapInArrow(_by_bucket(bucket_bits), "bucket int, h binary, again binary")
+    n_parts = min(1 << bucket_bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bucket_bits - 3))
+    repeated = stored(spark, packed.repartitionById(n_parts, F.col("bucket") % n_parts)
+                      .mapInArrow(_repeats, "bucket int, n long, h binary"), "repeated-halves")
+    n = repeated.agg(F.sum("n")).first()[0] or 0
+    bits = min(MAX_BITS, max(MIN_BITS, bucket_bits + 3, (BITS_PER_HASH * n).bit_length()))
     table = np.zeros((1 << bits) // 8, np.uint8)
-    size = len(table) // CHUNKS
-    for p in parts:
-        table[p["chunk"] * size:(p["chunk"] + 1) * size] = np.frombuffer(p["part"], np.uint8)
+    size = len(table) >> bucket_bits
+    for r in repeated.mapInArrow(_bit_part(bucket_bits, bits), "bucket int, part binary").collect():
+        table[r["bucket"] * size:(r["bucket"] + 1) * size] = np.frombuffer(r["part"], np.uint8)
     return bits, table
 
 
@@ -189,45 +247,60 @@ def cut_ranges(text: str, ranges) -> str:
     return "".join([*out, text[at:]])
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k1, k2 (see ``row_key``), ranges: the code-point ranges to remove, for rows that have any.
+ROW_KEY = ["k1", "k2"]
+
+
+def _order(id_col: str):
+    """Ids in their order; rows without one come last."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+
+
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """(a row per row with anything to remove: what tells it from the others, and the code-point ranges; the names of the
+    columns that tell rows apart). Where each row has an id of its own that is ``doc_id``, and neither spans nor texts
+    carry more through the exchanges; else the hashes of id and text (``row_key``).
 
-    The first half of a hash that only one text holds rules a span out: one exchange counts these halves and nothing
-    else, and a bit table of the repeated ones (32 MB at most) lets few other spans pass. A bit that is set by chance
-    costs a row and changes nothing, since the spans left are compared by whole hashes: one exchange finds the first
-    document of each, one brings the spans to it; a span that a third of all documents hold is split by the skew
+    The first half of a hash that only one text holds rules a span out: one exchange brings together 32 bits of each
+    and nothing else, and a bit table of the repeated ones (32 MB at most) lets few other spans pass. A bit that is set
+    by chance costs a row and changes nothing, since the spans left are compared by whole hashes: one exchange finds the
+    first document of each, one brings the spans to it; a span that a third of all documents hold is split by the skew
     handling of the join. Spans that occurred earlier in the same text need no join.
     """
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"),
-                      *row_key(id_col, text_col), F.col(text_col).alias("t"))
+    src = docs.select(_order(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("t"))
     kept = stored(spark, src.mapInArrow(_span_rows, SPAN_ROWS), "sentence-spans")
-    halves = (kept.select(F.explode(F.arrays_zip("h1", "again")).alias("s")).where("not s.again").groupBy("s.h1")
-              .agg(F.count("*").alias("n")).where("n > 1").select("h1"))
-    table = _bit_table(spark, stored(spark, halves, "repeated-halves"))
+    own_ids = kept.groupBy("doc_id").count().where("count > 1").isEmpty()
+    table = _bit_table(spark, kept)
     rows = stored(spark, kept.mapInArrow(_candidates(*table), "doc_id long, k1 long, k2 long, h1 long, h2 int, a int, "
                                                               "b int, again boolean"), "span-candidates")
-    first = rows.where("not again")
-    repeated = (first.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest"))
+    # ids alone put the documents in order, where each has one
+    key = ["doc_id"] if own_ids else ROW_KEY
+    place = F.col("doc_id") if own_ids else F.struct("doc_id", *ROW_KEY)
+    first = rows.where("not again").select("h1", "h2", "doc_id", *([] if own_ids else ROW_KEY), "a", "b")
+    repeated = (first.groupBy("h1", "h2").agg(F.min(place).alias("owner"), F.max(place).alias("latest"))
                 .where("owner < latest").select("h1", "h2", "owner"))
-    later = first.join(repeated, ["h1", "h2"]).where("doc_id > owner").select("k1", "k2", "a", "b")
-    return (later.union(rows.where("again").select("k1", "k2", "a", "b"))
-            .groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("ranges")))
+    later = first.join(repeated, ["h1", "h2"]).where(place > F.col("owner")).select(*key, "a", "b")
+    ranges = (later.union(rows.where("again").select(*key, "a", "b"))
+              .groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("ranges")))
+    return ranges, key
 
 
 def _remove(batches):
     for b in batch_slices(batches, "z"):
         texts, counts = [], []
-        for t, ranges in zip(unzip_texts(b.column("z")), b.column("ranges").to_pylist()):
+        for t, ranges, copy in zip(unzip_texts(b.column("z")), b.column("ranges").to_pylist(), b.column("copy").to_pylist()):
             t = None if t is None else t.decode()
+            ranges = [(r["a"], r["b"]) for r in ranges or ()]
+            if copy > 1 and t:
+                units = sentences(t)
+                ranges = [(units[i][0], units[j][1]) for i, j in (spans(units) if units else ())]
             if ranges:
-                ranges = [(r["a"], r["b"]) for r in ranges]
                 counts.append(sum(y - x for x, y in merge_ranges(ranges)))
                 texts.append(cut_ranges(t, ranges))
             else:
                 counts.append(0)
                 texts.append(t)
-        names = [n for n in b.schema.names if n not in ("z", "ranges")]
+        names = [n for n in b.schema.names if n not in ("z", "ranges", "copy")]
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string()),
                                           pa.array(counts, pa.int64())], names=[*names, "t", "removed"])
 
@@ -239,14 +312,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are repeats becomes empty; an empty table stays empty."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    src = docs.withColumns({fresh(docs, "key_1"): row_key(id_col, text_col)[0],
-                            fresh(docs, "key_2"): row_key(id_col, text_col)[1]}).toDF(*names, "k1", "k2")
+    ranges, key = repeated_ranges(docs, id_col, text_col)
+    keys = [_order(id_col)] if key == ["doc_id"] else row_key(id_col, text_col)
+    src = docs.select("*", *(c.alias(fresh(docs, f"key_{i}")) for i, c in enumerate(keys))).toDF(*names, *key)
     src = src.withColumnRenamed(names[at], "t")
     kept = [n for n in names if n != names[at]]
     schema = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in kept)
-    packed = src.mapInArrow(zip_texts(*kept, "k1", "k2", text="t", keep_null=True),
-                            (schema + ", " if schema else "") + "k1 long, k2 long, z binary")
-    joined = packed.join(repeated_ranges(docs, id_col, text_col), ["k1", "k2"], "left").select(*kept, "z", "ranges")
+    packed = src.mapInArrow(zip_texts(*kept, *key, text="t", keep_null=True),
+                            (schema + ", " if schema else "") + "".join(f"{k} long, " for k in key) + "z binary")
+    copy = F.lit(1) if key != ROW_KEY else F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    joined = packed.join(ranges, key, "left").withColumn("copy", copy).select(*kept, "z", "ranges", "copy")
     out = joined.mapInArrow(_remove, (schema + ", " if schema else "") + "t string, removed long")
     cols = [F.col("t" if i == at else n).alias(c) for i, (n, c) in enumerate(zip(names, docs.columns))]
     return out.select(*cols, *([F.col("removed").alias(removed_col)] if removed_col else []))
