@@ -10,7 +10,7 @@ end at such an offset are linked, and a pair of ids counts how often it is linke
   the bytes that they decode to, and a text whose decoded bytes differ from it has no tokens.
 * A space behind a character that is not white space begins a token of both: A's word pattern ends there
   (``tokens.sure_cuts``), and B's vocabulary has no piece with a space mark behind another character (looked up; a model
-  that has one is not cut). So documents are cut there, each distinct unit is encoded and aligned once per batch and
+  that has one is not cut). So documents are cut there, but for a space that ends its text, each distinct unit is encoded and aligned once per batch and
   kept, up to a bound, for later ones, and a document's groups are those of its units in order.
 * Of a linked pair one token's bytes end with the other's. So there are at most as many pairs as suffixes of tokens
   (``pair_bound``, about a million for the two vocabularies), whatever the corpus; that table is summed by Spark and
@@ -230,6 +230,7 @@ class Aligner:
         cuts = np.zeros(len(data) + 1, bool)
         if self.cuts:
             cuts[:-1] = sure_cuts(data)[:-1] & (data == 32)
+            cuts[edges[1:] - 1] = False         # B has no tokens for a space alone: it would be told to encode nothing
         cuts[edges] = True
         marks = np.flatnonzero(cuts)
         units = pa.LargeStringArray.from_buffers(len(marks) - 1, pa.py_buffer(marks), pa.py_buffer(data)).dictionary_encode()

@@ -132,6 +132,17 @@ def test_whole_texts_give_the_same_as_units(libraries):
     assert again[0].tolist() == whole.documents(texts[::-1])[0].tolist()
 
 
+def test_texts_that_end_with_one_space_have_tokens(spark, libraries):
+    rows = list(enumerate(["a ", "two words ", "é ", "日本 ", ". ", "a\n ", "  ", "word", "a  ", " a b "]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_a, r.n_b, r.groups) for r in align_documents(docs).collect()}
+    for d, t in rows:
+        groups = aligned(libraries, t)[0]
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y, _ in groups)
+        assert got[d] == (sum(len(x) for x, _, _ in groups), sum(len(y) for _, y, _ in groups), text)
+    assert all(n_a for n_a, _, _ in got.values())
+
+
 def test_ends_come_from_spans_and_decoded_bytes():
     # two texts of 6 and 3 bytes: tokens of 1, 1 + 2 (one character of three bytes), 2 and then 3 bytes
     span = np.array([[0, 1], [1, 4], [1, 4], [4, 6], [6, 9]])
