@@ -151,45 +151,65 @@ def _gather(context, *arrays):
             for m in context.allGather(text)]
 
 
-def _epochs(n_classes, epochs, n_batches, rate, l2, vocabulary):
+EVAL_ROWS = 4096                      # rows that are scored at a time
+
+
+def _trained(edges, flat, labels, order, weights, bias, rate, l2):
+    """``weights`` and ``bias`` behind one step for each group of ``order``, in place."""
+    for rows in order:
+        i, g, gb = gradient(edges, flat, labels, rows, weights, bias)
+        if l2:
+            weights *= 1 - rate * l2
+        weights[i] -= rate / len(rows) * g
+        bias -= rate / len(rows) * gb
+
+
+def _measured(edges, flat, labels, rows, weights, bias) -> np.ndarray:
+    """Number of ``rows``, sum of their losses and how many are right."""
+    out = np.zeros(3)
+    for k in range(0, len(rows), EVAL_ROWS):
+        some = rows[k:k + EVAL_ROWS]
+        p = softmax(mean_logits(edges, flat, some, weights, bias))
+        out += len(some), _log_loss(p, labels[some]), (p.argmax(1) == labels[some]).sum()
+    return out
+
+
+def _epochs(n_classes, epochs, n_batches, tasks, rate, l2, vocabulary):
     def run(batches):
         context = BarrierTaskContext.get()
-        ids, labels, parts, kinds = [np.zeros(0, np.int64)], [], [], []
-        lens = []
+        me = context.partitionId()
+        ids, lens, columns = [np.zeros(0, np.uint16)], [], {"_y": [], "_e": [], "_b": []}
         for b in batches:
             col = b.column("_ids")
-            ids.append(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            lens += np.diff(np.asarray(col.offsets)).tolist()
-            labels += b.column("_y").to_pylist()
-            kinds += b.column("_v").to_pylist()
-            parts += b.column("_b").to_pylist()
-        flat, edges = np.concatenate(ids), np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]).astype(np.int64)
-        labels, valid = np.array(labels, np.int64), np.array(kinds, bool)
-        parts = np.array(parts, np.int64).reshape(-1, epochs)
+            ids.append(col.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
+            lens.append(np.diff(np.asarray(col.offsets)))
+            for name, held in columns.items():
+                held.append(b.column(name).to_numpy(zero_copy_only=False))
+        none = [np.zeros(0, np.int64)]
+        flat, edges = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(none + lens))])
+        del ids
+        labels, epoch, batch = (np.concatenate(none + columns[c]).astype(np.int64) for c in ("_y", "_e", "_b"))
+        valid = np.flatnonzero(epoch < 0)
         weights, bias = np.zeros((vocabulary, n_classes)), np.zeros(n_classes)
         best, kept, out = -1.0, (weights.copy(), bias.copy()), []
+        owners = sorted({k * tasks // n_batches for k in range(n_batches)})
         for e in range(epochs):
-            for k in range(n_batches):
-                rows = np.flatnonzero(~valid & (parts[:, e] == k))
-                i, g, gb = gradient(edges, flat, labels, rows, weights, bias)
-                got = _gather(context, i, g, gb, np.array([len(rows)]))
-                n = sum(int(x[3][0]) for x in got)
-                if n:
-                    weights *= 1 - rate * l2
-                    for i, g, gb, _ in got:           # in the order of the tasks, so every task has the same weights
-                        weights[i] -= rate / n * g
-                        bias -= rate / n * gb
-            sums = np.zeros((2, 3))
-            for k, rows in enumerate((np.flatnonzero(~valid), np.flatnonzero(valid))):
-                if len(rows):
-                    p = softmax(mean_logits(edges, flat, rows, weights, bias))
-                    sums[k] = len(rows), _log_loss(p, labels[rows]), (p.argmax(1) == labels[rows]).sum()
+            rows = np.flatnonzero(epoch == e)
+            rows = rows[np.argsort(batch[rows], kind="stable")]
+            order = np.split(rows, np.flatnonzero(np.diff(batch[rows])) + 1) if len(rows) else []
+            for owner in owners:                      # the steps are taken one behind the other, the weights handed on
+                if owner == me:
+                    _trained(edges, flat, labels, order, weights, bias, rate, l2)
+                sent = (weights, bias[None]) if owner == me else (weights[:0], bias[None][:0])
+                weights, bias = (x.copy() for x in _gather(context, *sent)[owner])
+                bias = bias[0]
+            sums = np.stack([_measured(edges, flat, labels, r, weights, bias) for r in (rows, valid)])
             total = sum(x[0] for x in _gather(context, sums))
             share = total[:, 1:] / np.maximum(total[:, :1], 1)
             out.append((e, int(total[0, 0]), int(total[1, 0]), *share[0], *share[1]))
             if share[1, 1] > best:                    # strictly better: the first of equally good epochs stays
                 best, kept, best_epoch = share[1, 1], (weights.copy(), bias.copy()), e
-        if context.partitionId() == 0:
+        if me == 0:
             used = np.flatnonzero(kept[0].any(1))
             model = np.concatenate([np.concatenate([used.astype(np.float64)[:, None], kept[0][used]], 1),
                                     np.concatenate([[-1.0], kept[1]])[None]])
@@ -213,9 +233,11 @@ def train_epochs(rows: DataFrame, key: str, text: str, label: str, is_validation
 
     A softmax regression on the mean of token weights learns from mini-batches: in each epoch a seeded hash of (epoch,
     key, text) deals the training rows to ``ceil(n / batch_rows)`` batches, and every batch is one step along the
-    mean gradient of its rows. ``tasks`` tasks of one barrier stage share the rows; each adds up the gradient of its
-    rows of a batch, all gather all sums, and add them in the same order, so the weights are those of a run in one place
-    and do not depend on how rows are spread but for rounding. A lost executor makes Spark run the stage again.
+    mean gradient of its rows. ``tasks`` tasks of one barrier stage share an epoch's batches, a run of them each: a task
+    takes its steps with the weights that the one before it hands on, so the weights are those of a run in one place and
+    do not depend on how rows are spread but for rounding; losses are measured by all tasks side by side. Spark takes a
+    second to gather, so tasks gather ``tasks + 1`` times an epoch, however many rows there are. A lost executor makes
+    Spark run the stage again.
 
     At most ``max_rows`` rows take part, those with the smallest hash: tasks hold the token ids of their share. Rows with
     a null label are left out; texts without tokens count with the bias alone."""
@@ -225,16 +247,20 @@ def train_epochs(rows: DataFrame, key: str, text: str, label: str, is_validation
     if base.count() > max_rows:
         base = base.orderBy(h(-1), key).limit(max_rows)
     path = scratch_path(spark, "train-rows")
-    (base.select(F.col(key).alias("_k"), F.col(text).alias("_t"), token_ids(F.col(text), max_tokens).alias("_ids"),
-                 F.col(label).cast("int").alias("_y"), F.col(is_validation).alias("_v"),
-                 F.array(*[h(e) for e in range(epochs)]).alias("_h")).write.option("compression", "zstd").parquet(path))
+    (base.select(token_ids(F.col(text), max_tokens).alias("_ids"), F.col(label).cast("int").alias("_y"),
+                 F.col(is_validation).alias("_v"), F.array(*[h(e) for e in range(epochs)]).alias("_h"))
+     .write.option("compression", "zstd").parquet(path))
     held = spark.read.parquet(path)
     n = held.where(~F.col("_v")).count()
     n_batches = max(-(-n // batch_rows), 1)
-    shared = held.select("_ids", "_y", "_v", F.transform("_h", lambda x: F.pmod(x, F.lit(n_batches)).cast("int")).alias("_b"))
-    spread = shared.repartition(tasks, F.xxhash64("_ids", "_b"))
+    # a training row goes to its batch of every epoch, a validation row (epoch -1) to any task
+    batch = F.transform("_h", lambda x, e: F.struct(e.alias("e"), F.pmod(x, F.lit(n_batches)).alias("b")))
+    once = F.array(F.struct(F.lit(-1).alias("e"), F.pmod(F.get("_h", F.lit(0)), F.lit(n_batches)).alias("b")))
+    dealt = held.select("_ids", "_y", F.explode(F.when(F.col("_v"), once).otherwise(batch)).alias("_p")) \
+        .select("_ids", "_y", F.col("_p.e").alias("_e"), F.col("_p.b").alias("_b"))
+    spread = dealt.repartitionById(tasks, F.floor(F.col("_b") * tasks / n_batches).cast("int"))
     out = spread.mapInArrow(
-        _epochs(n_classes, epochs, n_batches, rate, l2, VOCABULARY),
+        _epochs(n_classes, epochs, n_batches, tasks, rate, l2, VOCABULARY),
         "epoch int, n_train long, n_valid long, train_loss double, train_accuracy double, valid_loss double, "
         "valid_accuracy double, best boolean, model binary", barrier=True)
     path = scratch_path(spark, "train-epochs")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -130,6 +131,19 @@ def test_training_equals_numpy_in_the_same_order(spark, tasks, batch_rows, l2):
     assert np.allclose(weights[used], best[2], atol=1e-9) and np.allclose(bias, best[3], atol=1e-9)
 
 
+def test_tasks_gather_a_few_times_an_epoch(spark, tmp_path, monkeypatch):
+    """A gathering takes Spark a second: their number does not grow with the batches."""
+    def counted(context, *arrays, gather=B._gather, folder=str(tmp_path)):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return gather(context, *arrays)
+
+    _, df = labelled(spark)
+    monkeypatch.setattr(B, "_gather", counted)
+    got = B.train_epochs(df, "id", "text", "label", "v", 2, epochs=2, batch_rows=8, tasks=2)
+    assert got.first().n_train > 8 * 30
+    assert len(list(tmp_path.iterdir())) == 2 * 2 * (2 + 1)           # tasks, epochs, tasks + 1
+
+
 def test_trained_model_scores_texts(spark):
     _, df = labelled(spark)
     model = B.load_model(B.train_epochs(df, "id", "text", "label", "v", 2, epochs=2, batch_rows=32, rate=4.0, tasks=2), 2)
