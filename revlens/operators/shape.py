@@ -82,7 +82,13 @@ def row_hash(df: DataFrame) -> Column:
                         for f in df.schema.fields])
 
 
-def dedup_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
+def key_hashes(key: Column) -> tuple[Column, Column]:
+    """(256-bit digest, 64-bit hash) of a key as text, the two that ``dedup_keep_first`` tells keys apart by."""
+    text = key.cast("string")
+    return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("+"), text), F.lit("-")), 256)), F.xxhash64(text)
+
+
+def dedup_keep_first(df: DataFrame, key: str, order: str, hashed: Sequence[str] = ()) -> DataFrame:
     """One row per ``key`` value: the one with the smallest ``order``.
 
     Any ids will do: of rows that share the smallest id the one with the
@@ -94,11 +100,13 @@ def dedup_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     used as a shuffle key; the rows kept are then found by a semi join on the
     id, which keeps the rows where an earlier join on it put them. Rows without
     an id are one key per digest before they meet the others.
+
+    ``hashed`` names columns that hold ``key_hashes`` of the key already: then the key itself is not read (the row
+    hash is of the other columns), and crosses no exchange unless the result's reader wants it.
     """
     cols = df.columns
-    text = F.col(f"`{key}`").cast("string")
-    digest = F.sha2(F.coalesce(F.concat(F.lit("+"), text), F.lit("-")), 256)
-    x = df.withColumns({"_o": F.col(f"`{order}`"), "_k": F.xxhash64(text), "_h": row_hash(df)})
+    digest, text_hash = (F.col(f"`{c}`") for c in hashed) if hashed else key_hashes(F.col(f"`{key}`"))
+    x = df.withColumns({"_o": F.col(f"`{order}`"), "_k": text_hash, "_h": row_hash(df.drop(key) if hashed else df)})
     known = x.where("_o is not null")
     first = known.groupBy(digest.alias("_d")).agg(F.min("_o").alias("_first"), F.max("_k").alias("_first_k"))
     # the key's hash is compared beside the join, so that the id alone decides where rows go

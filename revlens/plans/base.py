@@ -18,7 +18,7 @@ from ..functions import label_by_confidence, parse_review_date, upper_strip, wit
 from ..functions.text import WS
 from ..operators.filters import drop_missing, filter_contradiction, filter_status, filter_untraced
 from ..operators.shape import dedup_keep_first
-from ..sources.tables import load_table, reviews_standin
+from ..sources.tables import TEXT_HASHES, load_table, reviews_standin
 
 
 # ---------------------------------------------------------------- registry
@@ -55,8 +55,8 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     return reviews_standin(spark, sf)
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return with_columns_once(reviews(spark, sf), {"sentiment": label_by_confidence(),
+def labelled(spark: SparkSession, sf: str, text_hashes: bool = False) -> DataFrame:
+    return with_columns_once(reviews_standin(spark, sf, text_hashes=text_hashes), {"sentiment": label_by_confidence(),
                                                    "ts": parse_review_date(F.col("date"))})
 
 
@@ -67,9 +67,11 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
 
 def final_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned, labelled table: good status, text present, one row per
-    text (earliest id), no contradiction, no untraced label."""
-    x = drop_missing(filter_status(labelled(spark, sf)), ["review"])
-    x = dedup_keep_first(x, "review", "review_id")
+    text (earliest id), no contradiction, no untraced label. Texts are told
+    apart by hashes taken before the joins, so a query that shows no text
+    sends none through an exchange."""
+    x = drop_missing(filter_status(labelled(spark, sf, text_hashes=True)), ["review"])
+    x = dedup_keep_first(x, "review", "review_id", hashed=TEXT_HASHES).drop(*TEXT_HASHES)
     return filter_untraced(filter_contradiction(x))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import review_date_text
 from ..functions.labels import softmax_probs
-from ..operators.shape import BROADCAST_BUDGET_BYTES
+from ..operators.shape import BROADCAST_BUDGET_BYTES, key_hashes
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -27,7 +27,11 @@ def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
 _CITY_ROW_BYTES = 8 + 48
 
 
-def reviews_standin(spark: SparkSession, sf_dir: str, scores: bool = True) -> DataFrame:
+# Columns with the ``key_hashes`` of a review's text.
+TEXT_HASHES = ("review_digest", "review_hash")
+
+
+def reviews_standin(spark: SparkSession, sf_dir: str, scores: bool = True, text_hashes: bool = False) -> DataFrame:
     """One review per document, with ratings, city and class scores drawn from
     the other tables (FIXTURES §3).
 
@@ -41,13 +45,20 @@ def reviews_standin(spark: SparkSession, sf_dir: str, scores: bool = True) -> Da
     within the broadcast budget, that table is broadcast onto the rows instead
     and nothing is exchanged for the city.
     ``scores=False`` leaves out the class scores, and with them the scan and
-    join of the embeddings (a left join is not pruned with its columns).
+    join of the embeddings (a left join is not pruned with its columns); of an
+    embedding only the three values in use are exchanged.
+    ``text_hashes=True`` adds ``TEXT_HASHES``, taken before the joins: rows are
+    told apart by them where the text itself is not wanted.
     Catalyst prunes every column not used downstream; nation's 25 rows are
     fixed by the TPC-H specification and always broadcast.
     """
-    d = load_table(spark, sf_dir, "documents").alias("d")
+    d = load_table(spark, sf_dir, "documents")
+    if text_hashes:
+        d = d.withColumns(dict(zip(TEXT_HASHES, key_hashes(F.col("text")))))
+    d = d.alias("d")
     e = load_table(spark, sf_dir, "events")
-    v = load_table(spark, sf_dir, "embeddings").alias("v")
+    v = load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(3)]).alias("v")
     c = load_table(spark, sf_dir, "customer")
     n = load_table(spark, sf_dir, "nation")
 
@@ -72,8 +83,7 @@ def reviews_standin(spark: SparkSession, sf_dir: str, scores: bool = True) -> Da
 
     probs = []
     if scores:
-        emb = F.col("v.embedding")
-        neg, neu, pos = softmax_probs([F.lit(10.0) * emb.getItem(i).cast("double") for i in range(3)])
+        neg, neu, pos = softmax_probs([F.lit(10.0) * F.col(f"v.e{i}").cast("double") for i in range(3)])
         probs = [neg.alias("NEGATIVE"), neu.alias("NEUTRAL"), pos.alias("POSITIVE")]
     value = F.col("e.value")
     return j.select(
@@ -90,5 +100,5 @@ def reviews_standin(spark: SparkSession, sf_dir: str, scores: bool = True) -> Da
         (F.lit(1) + F.floor(value) % 5).cast("int").alias("availability"),
         F.when(F.col("e.event_id") % 7 == 0, F.lit(None).cast("int"))
          .otherwise(F.least(F.lit(5), F.lit(1) + F.floor(value / 25)).cast("int")).alias("convenience"),
-        *probs,
+        *probs, *([F.col(f"d.{c}") for c in TEXT_HASHES] if text_hashes else []),
     )

@@ -1,6 +1,7 @@
 """Cases that once gave a wrong result: wall-clock texts, NaN, whiskers, long digits, broadcasts, checkpoint folders."""
 
 import datetime as dt
+import re
 import types
 
 import pytest
@@ -91,3 +92,11 @@ def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1)], "k string, n int")
     shown = SH.number_shown(SH.reverse_order(df, "n", "k")).collect()
     assert [(r.k, r.position) for r in shown] == [("c", 1), ("a", 2), ("b", 3)]
+
+
+def test_no_text_crosses_an_exchange_of_the_flagship(spark):
+    from revlens.plans.q_ml import flagship
+    qe = flagship(spark, SF001)._jdf.queryExecution()
+    plan = spark._jvm.PythonSQLUtils.explainString(qe, "formatted")
+    sent = [b for b in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", b)]
+    assert sent and not [b for b in sent if re.search(r"\b(text|review|embedding)#", b)]
