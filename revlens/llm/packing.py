@@ -25,6 +25,7 @@ from .tokens import default_tokenizer, encoder
 CAPACITY = 2048
 END_ID = 0
 BATCH_TEXT = 16 << 20     # text taken up at once, per task
+SLICE_BYTES = 4 << 20     # text whose pieces are looked up at once
 RANK_ROWS = 50_000        # pieces ranked in one sort
 
 
@@ -92,7 +93,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batch_slices(batches, "text", BATCH_TEXT):
-            ids, ends = enc.encode(b.column("text"))
+            ids, ends = enc.encode(b.column("text"), SLICE_BYTES)
             doc, piece, start, size, crc = [], [], [], [], []
             for i, d in enumerate(b.column("doc_id").to_pylist()):
                 own = np.append(ids[ends[i]:ends[i + 1]], enc.dtype(end_id)).astype("<u4")

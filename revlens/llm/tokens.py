@@ -27,6 +27,7 @@ from .common import text_slices, worker_state
 SLICE_BYTES = 8 << 20
 MAX_PIECES = 300_000      # pieces kept between batches, per Python worker
 MAX_PIECE_CHARS = 48      # longer pieces are encoded, not kept
+ENCODE = 1 << 14          # pieces that the library encodes at a time: its results take far more room than the ids
 
 LETTER, DIGIT, MARK, QUOTE, SPACE, LINE, BLANK, HIGH, OTHER = range(1, 10)
 
@@ -116,6 +117,12 @@ class TextEncoder:
 
     def _add(self, texts: list[str]) -> int:
         """Encode ``texts`` into consecutive slots; the first slot's number."""
+        first = self.n_slots
+        for k in range(0, len(texts), ENCODE):
+            self._append(texts[k:k + ENCODE])
+        return first
+
+    def _append(self, texts: list[str]):
         got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         first, n, total = self.n_slots, len(got), int(lens.sum())
@@ -128,7 +135,6 @@ class TextEncoder:
         self.lens[first:first + n] = lens
         self.starts[first:first + n] = self.n_pool + np.cumsum(lens) - lens
         self.n_slots, self.n_pool = first + n, self.n_pool + total
-        return first
 
     def _slice(self, texts: pa.Array):
         if not self.cuts:

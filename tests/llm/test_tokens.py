@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 import zlib
@@ -263,3 +264,20 @@ def test_joins_are_repaired_at_any_cut(mine, library):
         pieces = [ids[a:b] for a, b in zip(ends, ends[1:])]
         got, _ = bpe_chunks.join_pieces(PATH, [pieces])
         assert got.tolist() == ids_of(library, [text])[0], text
+
+
+def test_pieces_are_encoded_in_bounded_runs(library):
+    class Counted:
+        runs = []
+
+        def encode_batch_fast(self, texts, **k):
+            self.runs.append(len(texts))
+            return LIBRARY.encode_batch_fast(texts, **k)
+
+    many = TextEncoder(PATH)
+    many.tok = Counted()
+    words = ["".join(w) for w in itertools.product("abcdefghij", repeat=5)][:40_000]
+    texts = [" ".join(words[k::100]) for k in range(100)]
+    ids, ends = many.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == ids_of(library, texts)
+    assert sum(Counted.runs) > 1 << 14 >= max(Counted.runs)
