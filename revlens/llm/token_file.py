@@ -30,6 +30,7 @@ from .tokens import default_tokenizer, encoder
 BLOCK_IDS = 1 << 16
 MARK_IDS = 1 << 9
 BATCH_TEXT = 16 << 20    # text taken up at once, per task
+RUN_BYTES = 1 << 14      # new pieces of texts go to the library joined to texts of about this size
 MAX_BITS = 18            # longest code; raised when a vocabulary needs more
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
@@ -146,7 +147,7 @@ def _encode(tokenizer: str, eos: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, RUN_BYTES)
         counts = np.zeros(max(enc.tok.get_vocab_size(), (eos or 0) + 1), np.int64)
         for b in batch_slices(batches, "text", BATCH_TEXT):
             ids, ends = enc.encode(b.column("text"))
@@ -172,7 +173,7 @@ def _encode(tokenizer: str, eos: int | None):
 
 
 def _dtype(tokenizer: str):
-    return encoder(tokenizer).dtype
+    return encoder(tokenizer, RUN_BYTES).dtype
 
 
 def _add_counts(batches):

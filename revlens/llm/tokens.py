@@ -97,10 +97,47 @@ def _sure_cuts_hold(spec: dict) -> bool:
                     for t in spec.get("added_tokens", [])))
 
 
+def _byte_symbols() -> dict[str, int]:
+    """The character by which a byte-level vocabulary spells each byte."""
+    shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _bytes_by_id(spec: dict, tok: Tokenizer) -> np.ndarray | None:
+    """How many bytes of text each id stands for, or None where the vocabulary does not tell: every byte needs an
+    entry, so that none goes unknown, and every entry must spell its bytes and nothing else."""
+    model, vocab = spec["model"], tok.get_vocab(with_added_tokens=True)
+    if (not all(c in model["vocab"] for c in _byte_symbols())
+            or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
+            or not all(t["content"].isascii() for t in spec.get("added_tokens", []))):
+        return None
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    sizes[list(vocab.values())] = [len(s) for s in vocab]
+    return sizes
+
+
+def _raw(texts: pa.Array):
+    """(edges, bytes) of a string array: text i has bytes edges[i] to edges[i + 1]."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if edges[0] == edges[-1]:
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint8)
+    return edges - edges[0], np.frombuffer(texts.buffers()[2], np.uint8)[edges[0]:edges[-1]]
+
+
+def _strings(edges: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data))
+
+
 class TextEncoder:
-    """Encodes Arrow string arrays; one per worker and tokenizer file."""
+    """Encodes Arrow string arrays; one per worker and tokenizer file.
 
-    def __init__(self, path: str):
+    With ``run_bytes`` the library gets new pieces joined to texts of about that size, which takes it less time than a
+    text for each: where one piece may follow another with a sure cut between them, the ids of the whole are those of
+    the pieces in order, and the bytes they stand for tell them apart."""
+
+    def __init__(self, path: str, run_bytes: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -108,30 +145,46 @@ class TextEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.cuts = _sure_cuts_hold(spec)
+        self.run_bytes = run_bytes
+        self.id_bytes = _bytes_by_id(spec, self.tok) if run_bytes and self.cuts else None
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.slots: dict[str, int] = {}
+        self.slots = pa.array([], pa.large_string())      # the pieces kept, by slot number
         self.pool = np.zeros(1 << 20, self.dtype)
         self.starts = np.zeros(1 << 18, np.int64)
         self.lens = np.zeros(1 << 18, np.int64)
         self.n_slots = self.n_pool = 0
 
-    def _add(self, texts: list[str]) -> int:
-        """Encode ``texts`` into consecutive slots; the first slot's number."""
+    def _add(self, pieces: pa.Array) -> int:
+        """Encode ``pieces`` into consecutive slots; the first slot's number."""
         first = self.n_slots
-        for k in range(0, len(texts), ENCODE):
-            self._append(texts[k:k + ENCODE])
+        for k in range(0, len(pieces), ENCODE):
+            self._append(pieces.slice(k, ENCODE))
         return first
 
-    def _append(self, texts: list[str]):
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _append(self, pieces: pa.Array):
+        edges, data = _raw(pieces)
+        begins = np.ones(len(pieces), bool)
+        if self.id_bytes is not None:
+            begins = ~sure_cuts(data)[edges[:-1]]
+            begins[1:] |= np.diff(edges[:-1] // self.run_bytes) > 0
+            begins[0] = True
+        runs = _strings(np.append(edges[:-1][begins], edges[-1]), data).to_pylist()
+        got = [e.ids for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        first, n, total = self.n_slots, len(got), int(lens.sum())
+        first, n, total = self.n_slots, len(pieces), int(lens.sum())
+        ids = np.fromiter(chain.from_iterable(got), self.dtype, total)
+        if len(runs) < n:
+            upto = np.cumsum(self.id_bytes[ids])
+            last = np.searchsorted(upto, edges[1:])
+            if upto[-1] != edges[-1] or not np.array_equal(upto[last], edges[1:]):
+                raise ValueError("ids do not stand for the bytes they were made from")
+            lens = np.diff(last, prepend=-1)
         while self.n_pool + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + n > len(self.lens):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-        self.pool[self.n_pool:self.n_pool + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
+        self.pool[self.n_pool:self.n_pool + total] = ids
         self.lens[first:first + n] = lens
         self.starts[first:first + n] = self.n_pool + np.cumsum(lens) - lens
         self.n_slots, self.n_pool = first + n, self.n_pool + total
@@ -141,31 +194,26 @@ class TextEncoder:
             got = [e.ids for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             ends = np.cumsum([0, *map(len, got)])
             return np.fromiter(chain.from_iterable(got), self.dtype, int(ends[-1])), ends
-        texts = pa.concat_arrays([texts.cast(pa.large_string())])
-        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        if edges[0] == edges[-1]:
-            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
-        data = np.frombuffer(raw, np.uint8)[edges[0]:edges[-1]]
-        edges = edges - edges[0]
+        edges, data = _raw(texts)
+        if not len(data):
+            return np.zeros(0, self.dtype), edges
         cuts = sure_cuts(data)
         cuts[edges] = True
         marks = np.flatnonzero(cuts)
-        pieces = pa.LargeStringArray.from_buffers(len(marks) - 1, pa.py_buffer(marks), pa.py_buffer(data))
-        words = pieces.dictionary_encode()
-        names, slots = words.dictionary.to_pylist(), self.slots
-        at = np.fromiter((slots.get(w, -1) for w in names), np.int64, len(names))
+        words = _strings(marks, data).dictionary_encode()
+        names = words.dictionary
+        at = pc.fill_null(pc.index_in(names, value_set=self.slots), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(at < 0)
-        keep = new[:max(MAX_PIECES - len(slots), 0)]
-        keep = [i for i in keep if len(names[i]) <= MAX_PIECE_CHARS]
-        if keep:
-            base = self._add([names[i] for i in keep])
-            at[keep] = base + np.arange(len(keep))
-            slots.update(zip((names[i] for i in keep), range(base, base + len(keep))))
+        keep = new[:max(MAX_PIECES - len(self.slots), 0)]
+        keep = keep[pc.utf8_length(names.take(keep)).to_numpy() <= MAX_PIECE_CHARS]
+        if len(keep):
+            kept = names.take(keep)
+            at[keep] = self._add(kept) + np.arange(len(keep))
+            self.slots = pa.concat_arrays([self.slots, kept])
         bound = self.n_slots, self.n_pool      # what follows is dropped after this slice
         rest = np.flatnonzero(at < 0)
         if len(rest):
-            at[rest] = self._add([names[i] for i in rest]) + np.arange(len(rest))
+            at[rest] = self._add(names.take(rest)) + np.arange(len(rest))
         slot = at[np.asarray(words.indices)]
         lens = self.lens[slot]
         stops = np.cumsum(lens)
@@ -189,8 +237,8 @@ class TextEncoder:
         return (np.concatenate(out) if out else np.zeros(0, self.dtype)), np.concatenate(ends)
 
 
-def encoder(path: str) -> TextEncoder:
-    return worker_state(("encoder", path), lambda: TextEncoder(path))
+def encoder(path: str, run_bytes: int = 0) -> TextEncoder:
+    return worker_state(("encoder", path, run_bytes), lambda: TextEncoder(path, run_bytes))
 
 
 class Pool:
@@ -211,9 +259,7 @@ class Pool:
 
 def _token_bytes(path: str) -> Pool:
     tok = Tokenizer.from_file(path)
-    shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
-    hidden = [b for b in range(256) if b not in set(shown)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    byte_of = _byte_symbols()
     vocab = tok.get_vocab(with_added_tokens=True)
     parts = [b""] * (max(vocab.values()) + 1)
     for s, i in vocab.items():

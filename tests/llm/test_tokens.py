@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,12 @@ from hypothesis import strategies as st
 from llm_texts import ODD_TEXTS, SF001, no_docs, odd_docs  # noqa: F401
 from tokenizers import Tokenizer
 
-from revlens.llm import bpe_chunks, packing, token_file
+from revlens.llm import bpe_chunks, packing, token_file, tokens
 from revlens.llm.tokens import TextEncoder, default_tokenizer, id_decimals, sure_cuts, token_bytes
 
 PATH = default_tokenizer()
 MINE, LIBRARY = TextEncoder(PATH), Tokenizer.from_file(PATH)
+JOINING = TextEncoder(PATH, 1 << 14)
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +64,69 @@ def test_encoder_keeps_within_its_bounds(library, monkeypatch):
     assert len(enc.slots) <= 5
 
 
+def test_token_file_hands_new_pieces_over_in_runs(library, monkeypatch):
+    """Words met for the first time go to the library as a few long texts, not as a text each."""
+    class Counted:
+        texts = 0
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            Counted.texts += len(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    def counted(*args):
+        enc = TextEncoder(*args)
+        enc.tok = Counted()
+        return enc
+
+    monkeypatch.setattr(token_file, "encoder", counted)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=9)) + rng.choice(["", ",", "!", "7"]) for _ in range(100))
+             for _ in range(50)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in token_file._encode(PATH, 2)(iter([docs])) for r in b.to_pylist() if r["seq"] >= 0]
+    assert [np.frombuffer(r["ids"], np.uint16).tolist() for r in rows] == [ids + [2] for ids in ids_of(library, texts)]
+    assert 0 < Counted.texts < 1000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aZé日9'st.,|<>!#" + SPACES, min_size=1, max_size=8), min_size=1, max_size=12))
+def test_pieces_in_runs_equal_pieces_alone(pieces):
+    """Whatever pieces of texts are put together, in whatever order, each has the ids it has alone."""
+    enc = JOINING
+    bound = enc.n_slots, enc.n_pool
+    first = enc._add(pa.array(pieces, pa.large_string()))
+    got = [enc.pool[enc.starts[k]:enc.starts[k] + enc.lens[k]].tolist() for k in range(first, first + len(pieces))]
+    enc.n_slots, enc.n_pool = bound
+    assert got == ids_of(LIBRARY, pieces)
+
+
+def small_tokenizer(path, symbols, **changes):
+    """A byte-level tokenizer with no merges but one over ``symbols``."""
+    spec = json.load(open(PATH))
+    spec["model"] |= {"vocab": {s: i for i, s in enumerate(symbols)}, "merges": [["a", "b"]]} | changes
+    spec["added_tokens"] = []
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+@pytest.mark.parametrize("case", ["whole alphabet", "a byte missing", "a byte unknown"])
+def test_runs_are_left_where_bytes_do_not_tell(tmp_path, case):
+    """Ids that drop or replace bytes cannot be told apart by them: the pieces then go to the library one by one."""
+    symbols, changes = [*tokens._byte_symbols(), "ab", "[?]"], {}
+    if case != "whole alphabet":
+        symbols.remove("c")
+    if case == "a byte unknown":
+        changes = {"unk_token": "[?]"}
+    path = small_tokenizer(tmp_path / "small.json", symbols, **changes)
+    enc = TextEncoder(path, token_file.RUN_BYTES)
+    assert enc.cuts and (enc.id_bytes is not None) == (case == "whole alphabet")
+    check_encode(enc, Tokenizer.from_file(path), ["ab cab c cc é日 abc ab", "c", "", None, "ab\ncc, c7c 7c."] * 3)
+
+
 def test_other_kinds_go_text_by_text(tmp_path, library):
     spec = json.load(open(PATH))
     spec["pre_tokenizer"]["add_prefix_space"] = True
