@@ -148,7 +148,7 @@ class TextEncoder:
         self.run_bytes = run_bytes
         self.id_bytes = _bytes_by_id(spec, self.tok) if run_bytes and self.cuts else None
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.slots = pa.array([], pa.large_string())      # the pieces kept, by slot number
+        self.slots: dict[str, int] = {}
         self.pool = np.zeros(1 << 20, self.dtype)
         self.starts = np.zeros(1 << 18, np.int64)
         self.lens = np.zeros(1 << 18, np.int64)
@@ -201,15 +201,15 @@ class TextEncoder:
         cuts[edges] = True
         marks = np.flatnonzero(cuts)
         words = _strings(marks, data).dictionary_encode()
-        names = words.dictionary
-        at = pc.fill_null(pc.index_in(names, value_set=self.slots), -1).to_numpy().astype(np.int64)
+        names, slots = words.dictionary, self.slots
+        at = np.fromiter((slots.get(w, -1) for w in names.to_pylist()), np.int64, len(names))
         new = np.flatnonzero(at < 0)
-        keep = new[:max(MAX_PIECES - len(self.slots), 0)]
+        keep = new[:max(MAX_PIECES - len(slots), 0)]
         keep = keep[pc.utf8_length(names.take(keep)).to_numpy() <= MAX_PIECE_CHARS]
         if len(keep):
             kept = names.take(keep)
             at[keep] = self._add(kept) + np.arange(len(keep))
-            self.slots = pa.concat_arrays([self.slots, kept])
+            slots.update(zip(kept.to_pylist(), at[keep].tolist()))
         bound = self.n_slots, self.n_pool      # what follows is dropped after this slice
         rest = np.flatnonzero(at < 0)
         if len(rest):
