@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -154,23 +155,49 @@ def _gather(context, *arrays):
 EVAL_ROWS = 4096                      # rows that are scored at a time
 
 
-def _trained(edges, flat, labels, order, weights, bias, rate, l2):
-    """``weights`` and ``bias`` behind one step for each group of ``order``, in place."""
-    for rows in order:
-        i, g, gb = gradient(edges, flat, labels, rows, weights, bias)
+def _pieces(batches):
+    """(phase, mini-batch, offsets, token ids, labels, rows) of rows that stand together in both, at most ``EVAL_ROWS`` at a
+    time; what comes in is never held longer than one Arrow batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, (phase, batch, labels) = b.column("_ids"), (b.column(c).to_numpy(zero_copy_only=False) for c in ("_s", "_b", "_y"))
+        edges = np.asarray(ids.offsets)
+        edges, flat = edges - edges[0], ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + VOCABULARY // 2
+        cuts = np.flatnonzero((np.diff(phase) != 0) | (np.diff(batch) != 0)) + 1
+        for rows in np.split(np.arange(b.num_rows), cuts):
+            for k in range(0, len(rows), EVAL_ROWS):
+                yield int(phase[rows[0]]), int(batch[rows[0]]), edges, flat, labels, rows[k:k + EVAL_ROWS]
+
+
+def _added(x, y):
+    """The sum of two gradients."""
+    ids, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    g = np.zeros((len(ids), x[1].shape[1]))
+    np.add.at(g, at, np.concatenate([x[1], y[1]]))
+    return ids, g, x[2] + y[2]
+
+
+def _trained(pieces, weights, bias, rate, l2):
+    """``weights`` and ``bias`` behind one step for each mini-batch of ``pieces``, in place."""
+    for _, batch in groupby(pieces, key=lambda piece: piece[1]):
+        n, total = 0, None
+        for _, _, edges, flat, labels, rows in batch:
+            some = gradient(edges, flat, labels, rows, weights, bias)
+            n, total = n + len(rows), _added(total, some) if total else some
+        i, g, gb = total
         if l2:
             weights *= 1 - rate * l2
-        weights[i] -= rate / len(rows) * g
-        bias -= rate / len(rows) * gb
+        weights[i] -= rate / n * g
+        bias -= rate / n * gb
 
 
-def _measured(edges, flat, labels, rows, weights, bias) -> np.ndarray:
-    """Number of ``rows``, sum of their losses and how many are right."""
-    out = np.zeros(3)
-    for k in range(0, len(rows), EVAL_ROWS):
-        some = rows[k:k + EVAL_ROWS]
-        p = softmax(mean_logits(edges, flat, some, weights, bias))
-        out += len(some), _log_loss(p, labels[some]), (p.argmax(1) == labels[some]).sum()
+def _measured(pieces, weights, bias) -> np.ndarray:
+    """Number of rows, sum of their losses and how many are right, of the training rows and of the others."""
+    out = np.zeros((2, 3))
+    for _, is_validation, edges, flat, labels, rows in pieces:
+        p = softmax(mean_logits(edges, flat, rows, weights, bias))
+        out[is_validation] += len(rows), _log_loss(p, labels[rows]), (p.argmax(1) == labels[rows]).sum()
     return out
 
 
@@ -178,32 +205,27 @@ def _epochs(n_classes, epochs, n_batches, tasks, rate, l2, vocabulary):
     def run(batches):
         context = BarrierTaskContext.get()
         me = context.partitionId()
-        ids, lens, columns = [np.zeros(0, np.uint16)], [], {"_y": [], "_e": [], "_b": []}
-        for b in batches:
-            col = b.column("_ids")
-            ids.append(col.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
-            lens.append(np.diff(np.asarray(col.offsets)))
-            for name, held in columns.items():
-                held.append(b.column(name).to_numpy(zero_copy_only=False))
-        none = [np.zeros(0, np.int64)]
-        flat, edges = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(none + lens))])
-        del ids
-        labels, epoch, batch = (np.concatenate(none + columns[c]).astype(np.int64) for c in ("_y", "_e", "_b"))
-        valid = np.flatnonzero(epoch < 0)
+        pieces = _pieces(batches)
+        ahead = next(pieces, None)
+
+        def of(phase):
+            nonlocal ahead
+            while ahead and ahead[0] == phase:
+                yield ahead
+                ahead = next(pieces, None)
+
         weights, bias = np.zeros((vocabulary, n_classes)), np.zeros(n_classes)
         best, kept, out = -1.0, (weights.copy(), bias.copy()), []
+        list(of(-1))
         owners = sorted({k * tasks // n_batches for k in range(n_batches)})
         for e in range(epochs):
-            rows = np.flatnonzero(epoch == e)
-            rows = rows[np.argsort(batch[rows], kind="stable")]
-            order = np.split(rows, np.flatnonzero(np.diff(batch[rows])) + 1) if len(rows) else []
             for owner in owners:                      # the steps are taken one behind the other, the weights handed on
                 if owner == me:
-                    _trained(edges, flat, labels, order, weights, bias, rate, l2)
+                    _trained(of(2 * e), weights, bias, rate, l2)
                 sent = (weights, bias[None]) if owner == me else (weights[:0], bias[None][:0])
                 weights, bias = (x.copy() for x in _gather(context, *sent)[owner])
                 bias = bias[0]
-            sums = np.stack([_measured(edges, flat, labels, r, weights, bias) for r in (rows, valid)])
+            sums = _measured(of(2 * e + 1), weights, bias)
             total = sum(x[0] for x in _gather(context, sums))
             share = total[:, 1:] / np.maximum(total[:, :1], 1)
             out.append((e, int(total[0, 0]), int(total[1, 0]), *share[0], *share[1]))
@@ -222,12 +244,9 @@ def _epochs(n_classes, epochs, n_batches, tasks, rate, l2, vocabulary):
     return run
 
 
-MAX_TRAIN_ROWS = 2_000_000
-
-
 def train_epochs(rows: DataFrame, key: str, text: str, label: str, is_validation: str, n_classes: int, epochs: int = 3,
                  batch_rows: int = 256, rate: float = 2.0, l2: float = 0.0, seed: int = 42, max_tokens: int = TRAIN_TOKENS,
-                 tasks: int = 4, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+                 tasks: int = 4, max_rows: int | None = None) -> DataFrame:
     """One row per epoch: epoch, n_train, n_valid, mean loss and accuracy on both parts behind it, whether it is the best
     (highest validation accuracy, the first of equals) and, for that one, the model (see ``load_model``).
 
@@ -239,26 +258,34 @@ def train_epochs(rows: DataFrame, key: str, text: str, label: str, is_validation
     second to gather, so tasks gather ``tasks + 1`` times an epoch, however many rows there are. A lost executor makes
     Spark run the stage again.
 
-    At most ``max_rows`` rows take part, those with the smallest hash: tasks hold the token ids of their share. Rows with
-    a null label are left out; texts without tokens count with the bias alone."""
+    All rows take part unless ``max_rows`` is given; then those with the smallest hash do. A task reads its rows as a
+    stream that Spark has sorted, once per epoch for the steps and once for the losses, and holds one Arrow batch of them
+    besides the weights. Rows with a null label are left out; texts without tokens count with the bias alone."""
     spark = rows.sparkSession
     h = lambda *x: F.xxhash64(*[F.lit(v) for v in (seed, *x)], key, text)
     base = rows.where(F.col(label).isNotNull())
-    if base.count() > max_rows:
+    if max_rows is not None and base.count() > max_rows:
         base = base.orderBy(h(-1), key).limit(max_rows)
     path = scratch_path(spark, "train-rows")
-    (base.select(token_ids(F.col(text), max_tokens).alias("_ids"), F.col(label).cast("int").alias("_y"),
-                 F.col(is_validation).alias("_v"), F.array(*[h(e) for e in range(epochs)]).alias("_h"))
+    ids = F.transform(token_ids(F.col(text), max_tokens), lambda i: (i - VOCABULARY // 2).cast("short"))
+    (base.select(ids.alias("_ids"), F.col(label).cast("int").alias("_y"),
+                 F.coalesce(F.col(is_validation), F.lit(False)).alias("_v"), F.array(*[h(e) for e in range(epochs)]).alias("_h"))
      .write.option("compression", "zstd").parquet(path))
     held = spark.read.parquet(path)
     n = held.where(~F.col("_v")).count()
     n_batches = max(-(-n // batch_rows), 1)
-    # a training row goes to its batch of every epoch, a validation row (epoch -1) to any task
-    batch = F.transform("_h", lambda x, e: F.struct(e.alias("e"), F.pmod(x, F.lit(n_batches)).alias("b")))
-    once = F.array(F.struct(F.lit(-1).alias("e"), F.pmod(F.get("_h", F.lit(0)), F.lit(n_batches)).alias("b")))
-    dealt = held.select("_ids", "_y", F.explode(F.when(F.col("_v"), once).otherwise(batch)).alias("_p")) \
-        .select("_ids", "_y", F.col("_p.e").alias("_e"), F.col("_p.b").alias("_b"))
-    spread = dealt.repartitionById(tasks, F.floor(F.col("_b") * tasks / n_batches).cast("int"))
+    # phase 2 e has the training rows by the batches of epoch e, phase 2 e + 1 all rows, the validation rows behind
+    batch = lambda x: F.pmod(x, F.lit(n_batches))
+    steps = F.transform("_h", lambda x, e: F.struct((2 * e).alias("s"), batch(x).alias("b"), batch(x).alias("at")))
+    looks = F.transform("_h", lambda x, e: F.struct((2 * e + 1).alias("s"), F.col("_v").cast("long").alias("b"),
+                                                    batch(x).alias("at")))
+    dealt = held.select("_ids", "_y", F.explode(F.when(F.col("_v"), looks).otherwise(F.concat(steps, looks))).alias("_p")) \
+        .select("_ids", "_y", F.col("_p.s").alias("_s"), F.col("_p.b").alias("_b"),
+                F.floor(F.col("_p.at") * tasks / n_batches).cast("int").alias("_t"))
+    # a row before the first phase in every task, because without any rows Spark would start none
+    first = spark.range(tasks).select(F.array().cast("array<short>"), F.lit(0), F.lit(-1), F.lit(0).cast("long"),
+                                      F.col("id").cast("int"))
+    spread = dealt.union(first).repartitionById(tasks, "_t").drop("_t").sortWithinPartitions("_s", "_b")
     out = spread.mapInArrow(
         _epochs(n_classes, epochs, n_batches, tasks, rate, l2, VOCABULARY),
         "epoch int, n_train long, n_valid long, train_loss double, train_accuracy double, valid_loss double, "

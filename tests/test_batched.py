@@ -6,6 +6,7 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,60 @@ def test_training_on_little(spark):
     assert [(r.n_train, r.n_valid) for r in none.collect()] == [(0, 0)] * 2 and none.where("best").count() == 1
     few = B.train_epochs(df, "id", "text", "label", "v", 2, epochs=1, tasks=2, max_rows=20)
     assert few.first().n_train + few.first().n_valid == 20
+
+
+def test_every_row_trains(spark):
+    """More rows than the two million that were once all that took part."""
+    n = 2_000_100
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "good").otherwise("bad").alias("text"),
+                               (F.col("id") % 2 == 0).cast("int").alias("label"), (F.col("id") % 4 < 2).alias("v"))
+    got = B.train_epochs(df, "id", "text", "label", "v", 2, epochs=1, batch_rows=1 << 16, tasks=2).first()
+    assert (got.n_train, got.n_valid, got.valid_accuracy) == (n // 2, n // 2, 1.0)
+
+
+def arrow_rows(rng, phases, n, texts=3):
+    """Arrow batches of ``n`` rows per phase as a task gets them, ten rows each."""
+    for phase in range(phases):
+        for _ in range(n // 10):
+            b = np.sort(rng.integers(0, 2, 10))
+            yield pa.RecordBatch.from_pydict({
+                "_ids": pa.array([rng.integers(-1 << 15, 1 << 15, texts).tolist() for _ in range(10)], pa.list_(pa.int16())),
+                "_y": pa.array(rng.integers(0, 2, 10), pa.int32()), "_s": pa.array([phase] * 10, pa.int32()),
+                "_b": pa.array(b, pa.int64())})
+
+
+def test_a_task_reads_its_rows_as_they_come(monkeypatch):
+    """Rows of an epoch's losses and of later epochs are not read before the steps are taken."""
+    class Context:
+        get, partitionId = classmethod(lambda c: c), classmethod(lambda c: 0)
+
+    taken, at_gathering = [0], []
+
+    def counted():
+        for b in arrow_rows(np.random.default_rng(5), 4, 200):
+            taken[0] += b.num_rows
+            yield b
+
+    def gather(context, *arrays):
+        at_gathering.append(taken[0])
+        return [list(arrays)]
+
+    monkeypatch.setattr(B, "BarrierTaskContext", Context)
+    monkeypatch.setattr(B, "_gather", gather)
+    out = list(B._epochs(2, 2, 2, 1, 1.0, 0.0, B.VOCABULARY)(counted()))
+    assert out[0].column("epoch").to_pylist() == [0, 1]
+    assert at_gathering == [210, 410, 610, 800]                       # one Arrow batch ahead, at the end none
+
+
+def test_a_batch_in_pieces_is_one_step(monkeypatch):
+    rows = list(arrow_rows(np.random.default_rng(6), 1, 40))
+    one = pa.Table.from_batches(rows).sort_by("_b").combine_chunks().to_batches()
+    results = []
+    for batches, most in ((one, 4096), (one, 3), ([x.slice(k, 7) for x in one for k in range(0, 40, 7)], 4096)):
+        monkeypatch.setattr(B, "EVAL_ROWS", most)
+        weights, bias = np.zeros((B.VOCABULARY, 2)), np.zeros(2)
+        B._trained(B._pieces(batches), weights, bias, 1.0, 0.01)
+        results.append((weights, bias, B._measured(B._pieces(batches), weights, bias)))
+    for got in results[1:]:
+        assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(got, results[0]))
+    assert results[0][2][:, 0].sum() == 40
