@@ -1,7 +1,8 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_texts import SF001, no_docs, odd_docs  # noqa: F401
@@ -187,3 +188,81 @@ def test_vectors_of_every_dimension_are_compared(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in product_quantiser.near_duplicates(table).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False),
                    6: (2, 4, False), 7: (1, 7, True), 8: (1, 7, False), 9: (0, 9, True)}
+
+
+def vectors_in_groups(seed, n, dim):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 10, dim))
+    x = np.repeat(centres, 7, axis=0) + rng.normal(scale=0.3, size=(n // 10 * 7, dim))
+    return np.concatenate([x, rng.normal(size=(n - len(x), dim))])
+
+
+@pytest.mark.parametrize("kind,list_rows,slice_rows,partitions", [("float", 8, 60, 8), ("double", 80, 50, 2)])
+def test_vectors_in_blocks_of_lists_equal_brute_force(spark, monkeypatch, kind, list_rows, slice_rows, partitions):
+    """Blocks of several lists, and lists of several blocks."""
+    monkeypatch.setattr(product_quantiser, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(product_quantiser, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(product_quantiser, "PROBE_ROWS", 5)
+    monkeypatch.setattr(product_quantiser, "EXACT_BYTES", 200)
+    x = vectors_in_groups(8, 400, 8).astype(np.float32 if kind == "float" else np.float64).astype(float)
+    rows = [(int(i), v.tolist()) for i, v in zip(np.random.default_rng(9).permutation(len(x)), x)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(2)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in product_quantiser.near_duplicates(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_cosine(rows)
+    assert got == want and sum(n for n, _ in want.values()) > 500
+
+
+def test_a_class_is_placed_once_however_many_lists_it_probes(spark, monkeypatch):
+    """It was stored with its vector, and handed to Arrow, once per list."""
+    counts = {}
+
+    def counted(session, df, name, *more, store=product_quantiser.stored):
+        out = store(session, df, name, *more)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(product_quantiser, "stored", counted)
+    monkeypatch.setattr(product_quantiser, "LIST_ROWS", 10)
+    x = np.random.default_rng(10).normal(size=(500, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert product_quantiser.near_duplicates(table).count() == 500
+    assert counts["placed-vectors"] == counts["vector-classes"] == 500
+
+
+def placed(n, dim, list_rows):
+    x = vectors_in_groups(11, n, dim)
+    q = product_quantiser.Quantiser(x / np.linalg.norm(x, axis=1)[:, None], n // list_rows)
+    raw = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(np.arange(n)), pa.array([1] * n)],
+                                     names=["v", "rep", "n"])
+    return q, pa.Table.from_batches(product_quantiser._place(q, np.sqrt(0.2) / 2, dim, np.float64)([raw])).combine_chunks() \
+        .to_batches()[0]
+
+
+def test_blocks_are_bounded_and_every_two_that_touch_meet_once():
+    q, rows = placed(3000, 16, 40)
+    sizes = Counter(rows.column("home").to_pylist())
+    for most in (20, 100, 700, 5000):
+        blocks = product_quantiser.Blocks(q, sizes, most)
+        own = blocks.of(rows.column("home").to_numpy(), rows.column("rep").to_numpy())
+        held = np.bincount(own, minlength=blocks.count)
+        assert len(held) == blocks.count <= 2 * 3000 / most + len(sizes) * (most < 100) + 1
+        assert held.max() <= most if most > max(sizes.values()) else held.max() < 2 * most
+        pairs = pa.Table.from_batches(product_quantiser._touching(blocks)([rows]))
+        touching = sorted({*zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())})
+        assert {(k, k) for k in own.tolist()} <= set(touching) and all(a <= b for a, b in touching)
+        task = np.full((blocks.count, blocks.count), -1)
+        for k, (a, b) in enumerate(touching):
+            task[a, b] = k
+        dealt = list(product_quantiser._deal(blocks, task)([rows]))
+        assert max(b.num_rows for b in dealt) <= 2 * 3000                  # no batch grows with the lists or blocks
+        met = Counter(r for b in dealt for r in zip(b.column("task").to_pylist(), b.column("coded").to_pylist(),
+                                                    b.column("rep").to_pylist()))
+        assert set(met.values()) == {1}
+        where = dict(zip(rows.column("rep").to_pylist(), own.tolist()))
+        assert len(met) == sum(held[a] + held[b] for a, b in touching)
+        assert all(touching[t][0 if coded else 1] == where[rep] for t, coded, rep in met)
